@@ -99,21 +99,31 @@ def tile_bbox(z: Column, x: Column, y: Column) -> Column:
     return F.when(tile_is_valid(z, x, y), box)
 
 
-def ten_decimals(v: Column) -> Column:
-    """Tile limits are compared at ten decimals of a degree."""
-    return F.rint(v * 1e10) / 1e10
+# Spark SQL text over the columns z, x, y, lng and lat. One parsed expression per rule:
+# these are long formulas, and building them operator by operator from Python is slow.
+ACROSS = "pow(2D, {z})"
+WEST = "(({x}) / pow(2D, {z}) * 360D - 180D)"
+NORTH = "(atan(sinh(pi() * (1D - 2D * ({y}) / pow(2D, {z})))) * 180D / pi())"
 
 
-def in_tile(lng: Column, lat: Column, z: Column, x: Column, y: Column, buffer_deg: Column) -> Column:
-    """Centroid within the buffered tile, also when moved one turn east or west."""
-    n = tiles_across(z)
-    west = ten_decimals(tile_west(x, n) - buffer_deg)
-    east = ten_decimals(tile_west(x + 1, n) + buffer_deg)
-    south = ten_decimals(tile_north(y + 1, n) - buffer_deg)
-    north = ten_decimals(tile_north(y, n) + buffer_deg)
-    inside = (
-        lng.between(west, east)
-        | (lng + 360).between(west, east)
-        | (lng - 360).between(west, east)
-    )
-    return inside & lat.between(south, north)
+def west_sql(x: str = "x", z: str = "z") -> str:
+    return WEST.format(x=x, z=z)
+
+
+def north_sql(y: str = "y", z: str = "z") -> str:
+    return NORTH.format(y=y, z=z)
+
+
+def in_tile(buffer_deg: float, z: str = "z", x: str = "x", y: str = "y") -> Column:
+    """Is centroid ``lng, lat`` in the buffered tile, also one turn east or west of it?
+
+    Limits are compared at ten decimals of a degree.
+    """
+    def at_ten(limit: str) -> str:
+        return f"rint(({limit}) * 1e10D) / 1e10D"
+
+    b = f"{buffer_deg!r}D"
+    west, east = at_ten(f"{west_sql(x, z)} - {b}"), at_ten(f"{west_sql(f'{x} + 1', z)} + {b}")
+    south, north = at_ten(f"{north_sql(f'{y} + 1', z)} - {b}"), at_ten(f"{north_sql(y, z)} + {b}")
+    turns = " OR ".join(f"lng + {t}D BETWEEN {west} AND {east}" for t in (0, 360, -360))
+    return F.expr(f"({turns}) AND lat BETWEEN {south} AND {north}")

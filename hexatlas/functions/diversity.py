@@ -12,17 +12,22 @@ from pyspark.sql import Column, functions as F
 SAMPLE = 50
 
 
-def absent_chance(n: Column, total: Column, sample: int = SAMPLE) -> Column:
+def absent_chance_sql(n: str, total: str, sample: int = SAMPLE) -> str:
     """Chance that a species with ``n`` of ``total`` records is missing from the sample.
 
-    A product of ``sample`` ratios: exact to rounding at any size, where differences of
-    log-gamma lose digits as the counts grow. Once a factor is zero it stays zero, which
-    covers species too frequent to be missed.
+    ``C(N-n, m) / C(N, m)`` is symmetric in n and m, so the product needs only as many
+    ratios as the smaller of the two: a species recorded twice costs two. A product is
+    exact to rounding at any size, where differences of log-gamma lose digits as counts
+    grow; a factor of zero keeps it at zero for species too frequent to be missed.
     """
-    rest = total - n
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(sample - 1)), F.lit(1.0),
-        lambda acc, k: acc * (rest - k) / (total - k))
+    return (f"aggregate(sequence(0, cast(least({n}, {sample}) as int) - 1), 1D, "
+            f"(chance, k) -> chance * ({total} - greatest({n}, {sample}) - k) / ({total} - k))")
+
+
+def expected_species_sql(pairs: str, total: str, sample: int = SAMPLE) -> str:
+    """Expected species in the sample from an array of (``_n`` records, ``_s`` species)."""
+    return (f"aggregate({pairs}, 0D, (acc, p) -> acc + p._s * "
+            f"(1D - {absent_chance_sql('p._n', total, sample)}))")
 
 
 def shannon(total: Column, sum_n_ln_n: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hexatlas.functions.diversity import SAMPLE, absent_chance, shannon, simpson
+from hexatlas.functions.diversity import SAMPLE, expected_species_sql, shannon, simpson
 from hexatlas.functions.systems import CellSystem
 from hexatlas.operators.tiling import PRUNE_RES
 
@@ -23,10 +23,10 @@ def roll_up(counts: DataFrame, system: CellSystem, finest: int, tiers: list[int]
     Parents are taken from the counted rows, never from raw records: what is exploded has
     already been reduced once.
     """
+    own = F.col("cell_id")
     per_tier = F.explode(F.array(*[
         F.struct(F.lit(r).alias("res"),
-                 (F.col("cell_id") if r == finest else
-                  system.parent(F.col("cell_id"), finest, r)).alias("cell_id"))
+                 (own if r == finest else system.parent(own, finest, r)).alias("cell_id"))
         for r in tiers])).alias("_at")
     return (counts.select(per_tier, *keys, measure)
             .groupBy(F.col("_at.res").alias("res"), F.col("_at.cell_id").alias("cell_id"), *keys)
@@ -67,21 +67,20 @@ def indices(species_counts: DataFrame, group: list[str], species: str = "aphiaid
     group with a third of a very large table folds to a few hundred thousand pairs, and
     each pair's sampling product is computed once.
     """
-    n = F.col("_n")
     folded = (species_counts.where(F.col(species).isNotNull())
               .groupBy(*group, F.col(count).alias("_n"))
-              .agg(F.count(F.lit(1)).alias("_species")))
-    times = F.col("_species")
-    as_double = n.cast("double")
+              .agg(F.count(F.lit(1)).alias("_s")))
+    return _from_pairs(folded, group, sample)
+
+
+def _from_pairs(folded: DataFrame, group: list[str], sample: int) -> DataFrame:
     sums = folded.groupBy(*group).agg(
-        F.sum(n * times).alias("n"), F.sum(times).alias("sp"),
-        F.sum(times * as_double * F.ln(as_double)).alias("_nlnn"),
-        F.sum(times * as_double * as_double).alias("_nn"),
-        F.collect_list(F.struct(n.alias("_n"), times.alias("_s"))).alias("_pairs"))
+        F.expr("sum(_n * _s) as n"), F.expr("sum(_s) as sp"),
+        F.expr("sum(_s * cast(_n as double) * ln(_n)) as _nlnn"),
+        F.expr("sum(_s * cast(_n as double) * _n) as _nn"),
+        F.expr("collect_list(struct(_n, _s)) as _pairs"))
     total = F.col("n").cast("double")
-    expected = F.aggregate(
-        "_pairs", F.lit(0.0),
-        lambda acc, p: acc + p["_s"] * (1.0 - absent_chance(p["_n"], total, sample)))
+    expected = F.expr(expected_species_sql("_pairs", "cast(n as double)", sample))
     return sums.select(
         *group, "n", "sp",
         shannon(total, F.col("_nlnn")).alias("shannon"),
@@ -99,23 +98,25 @@ def cell_index(occurrences: DataFrame, system: CellSystem, finest: int = 7,
 
 def taxon_index(occurrences: DataFrame, system: CellSystem, finest: int = 7,
                 resolutions: list[int] = INDEX_RESOLUTIONS,
-                ranks: list[str] = INDEX_RANKS) -> DataFrame:
+                ranks: list[str] = INDEX_RANKS, one_lineage: bool = False) -> DataFrame:
     """Indices per rank, taxon, resolution and cell.
 
     Ranks are unfolded after the roll-up, on rows already summed per cell and species.
+    Records of one species may disagree on its higher taxa, so counts are summed again per
+    taxon; say ``one_lineage`` when the taxonomy comes from a lookup with one row per
+    species, and that shuffle of every species row is left out.
     """
     keys = ["aphiaid", *ranks]
     per_res = roll_up(occurrence_counts(occurrences, keys), system, finest, resolutions,
                       keys, "records")
-    unfolded = per_res.select(
-        "res", "cell_id", "aphiaid", "records",
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.col(r).alias("taxon"))
-                            for r in ranks])).alias("_t"))
-    per_taxon = (unfolded.where(F.col("_t.taxon").isNotNull())
-                 .groupBy(F.col("_t.rank").alias("rank"), F.col("_t.taxon").alias("taxon"),
-                          "res", "cell_id", "aphiaid")
-                 .agg(F.sum("records").alias("records")))
-    return indices(per_taxon, ["rank", "taxon", "res", "cell_id"])
+    group = ["rank", "taxon", "res", "cell_id"]
+    listed = ", ".join(f"struct('{r}' as rank, `{r}` as taxon)" for r in ranks)
+    unfolded = (per_res.withColumn("_t", F.expr(f"explode(array({listed}))"))
+                .where("_t.taxon IS NOT NULL")
+                .select("_t.rank", "_t.taxon", "res", "cell_id", "aphiaid", "records"))
+    if not one_lineage:
+        unfolded = unfolded.groupBy(*group, "aphiaid").agg(F.sum("records").alias("records"))
+    return indices(unfolded, group)
 
 
 def live_index(store: DataFrame, res: int, taxa: DataFrame | None = None,

@@ -20,46 +20,35 @@ POLAR_LIMIT = 89.9
 TILE = ["z", "x", "y"]
 # Candidate tiles are taken this much too wide; the exact test follows.
 SLACK = 1e-9
+# Coarse dimensions up to this exact size may be broadcast (id and two doubles each).
+BROADCAST_CELLS = 100_000
 
 
-def _run(low: Column, high: Column, last: Column) -> Column:
-    """Integers ``low..high`` held within ``0..last``; empty when nothing is left."""
-    lo = F.greatest(low, F.lit(0).cast("long"))
-    hi = F.least(high, last)
-    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(
-        F.array().cast("array<bigint>"))
+def _columns(buffer_deg: float) -> Column:
+    """Tile columns whose buffered span holds ``lng``, as it is or one turn away."""
+    n, b = cells.ACROSS.format(z="z"), f"{buffer_deg!r}D"
 
+    def run(turn: int) -> str:
+        at = f"lng + {turn + 180}D"
+        low = f"greatest(0L, ceil(({at} - {b}) / 360D * {n} - 1D - {SLACK!r}D))"
+        high = f"least(cast({n} as bigint) - 1L, floor(({at} + {b}) / 360D * {n} + {SLACK!r}D))"
+        return f"if({low} <= {high}, sequence({low}, {high}), cast(array() as array<bigint>))"
 
-def _columns(lng: Column, n: Column, buffer_deg: Column, turns: tuple[int, ...]) -> Column:
-    """Tile columns whose buffered span holds ``lng`` moved by any of ``turns``."""
-    last = (n - 1).cast("long")
-    runs = []
-    for turn in turns:
-        at = lng + turn + 180.0
-        low = F.ceil((at - buffer_deg) / 360.0 * n - 1 - SLACK)
-        high = F.floor((at + buffer_deg) / 360.0 * n + SLACK)
-        runs.append(_run(low, high, last))
-    return runs[0] if len(runs) == 1 else F.array_distinct(F.flatten(F.array(*runs)))
+    runs = ", ".join(run(t) for t in (0, 360, -360))
+    return F.expr(f"array_distinct(flatten(array({runs})))")
 
 
-def _rows(lat: Column, n: Column, buffer_deg: Column) -> Column:
-    last = (n - 1).cast("long")
+def _rows(buffer_deg: float) -> Column:
+    """Tile rows whose buffered span holds ``lat``."""
+    n, b = cells.ACROSS.format(z="z"), f"{buffer_deg!r}D"
 
-    def row(v: Column) -> Column:
-        held = F.greatest(F.lit(-89.9999), F.least(F.lit(89.9999), v))
-        return cells.tile_row_at(held, n)
+    def row(lat: str) -> str:
+        held = f"greatest(-89.9999D, least(89.9999D, {lat}))"
+        return f"{n} / 2D * (1D - asinh(tan(radians({held}))) / pi())"
 
-    low = F.ceil(row(lat + buffer_deg) - 1 - SLACK)
-    high = F.floor(row(lat - buffer_deg) + SLACK)
-    return _run(low, high, last)
-
-
-def _spread(df: DataFrame, buffer_deg: Column, turns: tuple[int, ...]) -> DataFrame:
-    """Candidate tiles of each row at its own zoom ``z``."""
-    n = cells.tiles_across(F.col("z"))
-    return (df
-            .withColumn("x", F.explode(_columns(F.col("lng"), n, buffer_deg, turns)))
-            .withColumn("y", F.explode(_rows(F.col("lat"), n, buffer_deg))))
+    low = f"greatest(0L, ceil({row(f'lat + {b}')} - 1D - {SLACK!r}D))"
+    high = f"least(cast({n} as bigint) - 1L, floor({row(f'lat - {b}')} + {SLACK!r}D))"
+    return F.expr(f"if({low} <= {high}, sequence({low}, {high}), cast(array() as array<bigint>))")
 
 
 def to_tiles(located: DataFrame, zooms: list[int], edge_deg: float,
@@ -69,13 +58,13 @@ def to_tiles(located: DataFrame, zooms: list[int], edge_deg: float,
     A row goes to a tile once even when two turns of longitude match; equal rows of a
     layer stay separate rows. No join and no shuffle: tiles come from arithmetic.
     """
-    buffer_deg = F.lit(edge_deg * edges)
-    rows = located.withColumn("z", F.explode(F.array(*[F.lit(int(z)) for z in zooms])))
-    spread = _spread(rows, buffer_deg, (0, 360, -360))
-    keep = cells.in_tile(F.col("lng"), F.col("lat"), F.col("z"), F.col("x"), F.col("y"),
-                         buffer_deg)
-    return spread.where(keep).withColumns({"x": F.col("x").cast("int"),
-                                           "y": F.col("y").cast("int")})
+    buffer_deg = edge_deg * edges
+    levels = ", ".join(str(int(z)) for z in zooms)
+    spread = (located.withColumn("z", F.expr(f"explode(array({levels}))"))
+              .withColumn("x", F.explode(_columns(buffer_deg)))
+              .withColumn("y", F.explode(_rows(buffer_deg))))
+    return (spread.where(cells.in_tile(buffer_deg))
+            .withColumns({"x": F.col("x").cast("int"), "y": F.col("y").cast("int")}))
 
 
 def one_tile(located: DataFrame, z: int, x: int, y: int, edge_deg: float,
@@ -84,9 +73,7 @@ def one_tile(located: DataFrame, z: int, x: int, y: int, edge_deg: float,
     side = 2 ** z
     if not (0 <= x < side and 0 <= y < side):
         raise ValueError(f"tile {x}/{y} does not exist at zoom {z}")
-    keep = cells.in_tile(F.col("lng"), F.col("lat"), F.lit(z), F.lit(x), F.lit(y),
-                         F.lit(edge_deg * edges))
-    return located.where(keep)
+    return located.where(cells.in_tile(edge_deg * edges, *(str(int(v)) for v in (z, x, y))))
 
 
 def count_copies(layer: DataFrame) -> DataFrame:
@@ -137,55 +124,60 @@ def tile_documents(records: DataFrame) -> DataFrame:
     return listed.select(*TILE, F.to_json(F.struct("cells")).alias("body"))
 
 
+def _dimension(system: CellSystem, like: DataFrame, res: int) -> DataFrame:
+    """All cells of a resolution, to be broadcast only when their exact number is small."""
+    dim = system.dimension(like.sparkSession, res)
+    return F.broadcast(dim) if system.size_at(res) <= BROADCAST_CELLS else dim
+
+
 def covering(tiles: DataFrame, system: CellSystem, prune_res: int = PRUNE_RES) -> DataFrame:
     """``z, x, y, hex_prune``: coarse cells whose centroid is in a tile's widened box.
 
     Tiles whose widened box passes the antimeridian get no rows (read everything there).
-    Each coarse cell is spread over the tiles near it by arithmetic and then matched to
-    the wanted tiles by equality, so no range join is needed.
+    Boxes and coarse cells meet on a grid of bins two edges wide, by equality: a deep tile
+    touches a handful of bins, and the few shallow tiles cannot touch more than all bins.
     """
     edge = system.edge_deg(prune_res)
-    margin = F.lit(edge * COVER_BUFFER_EDGES)
-    wanted = tiles.select(*[F.col(c).cast("int").alias(c) for c in TILE]).distinct()
-    zooms = wanted.select("z").distinct().agg(F.collect_set("z").alias("zs")).scalar()
-    dim = (system.dimension(tiles.sparkSession, prune_res)
-           .withColumn("_zs", zooms).withColumn("z", F.explode("_zs")).drop("_zs"))
-    near = _spread(dim, margin, (0,))
-    n = cells.tiles_across(F.col("z"))
-    west = cells.tile_west(F.col("x"), n) - margin
-    east = cells.tile_west(F.col("x") + 1, n) + margin
-    south = F.greatest(F.lit(-POLAR_LIMIT), cells.tile_north(F.col("y") + 1, n) - margin)
-    north = F.least(F.lit(POLAR_LIMIT), cells.tile_north(F.col("y"), n) + margin)
-    kept = near.where(
-        (west >= -180.0) & (east <= 180.0)
-        & F.col("lng").between(west, east) & F.col("lat").between(south, north))
-    return (kept.select(F.col("z"), F.col("x").cast("int").alias("x"),
-                        F.col("y").cast("int").alias("y"), F.col("cell_id").alias("hex_prune"))
-            .join(wanted, TILE, "left_semi"))
+    margin, step = f"{edge * COVER_BUFFER_EDGES!r}D", f"{edge * 2!r}D"
+    boxes = tiles.selectExpr(*[f"cast({c} as int) as {c}" for c in TILE]).distinct().selectExpr(
+        *TILE,
+        f"{cells.west_sql()} - {margin} as _w", f"{cells.west_sql('x + 1')} + {margin} as _e",
+        f"greatest(-{POLAR_LIMIT}D, {cells.north_sql('y + 1')} - {margin}) as _s",
+        f"least({POLAR_LIMIT}D, {cells.north_sql()} + {margin}) as _n",
+    ).where("_w >= -180D AND _e <= 180D")
+    binned = (boxes
+              .withColumn("_bx", F.expr(f"explode(sequence(floor(_w / {step}), floor(_e / {step})))"))
+              .withColumn("_by", F.expr(f"explode(sequence(floor(_s / {step}), floor(_n / {step})))")))
+    dim = _dimension(system, tiles, prune_res).selectExpr(
+        "cell_id as hex_prune", "lng", "lat",
+        f"floor(lng / {step}) as _bx", f"floor(lat / {step}) as _by")
+    return (binned.join(dim, ["_bx", "_by"])
+            .where("lng BETWEEN _w AND _e AND lat BETWEEN _s AND _n")
+            .select(*TILE, "hex_prune"))
 
 
 def prune_keys(tiles: DataFrame, system: CellSystem, prune_res: int = PRUNE_RES,
                max_cover: int = MAX_COVER_CELLS) -> DataFrame:
-    """Distinct coarse cells that the wanted tiles may read.
+    """Coarse cells that the wanted tiles may read: a subset of the coarse dimension.
 
     A tile without a covering set, or with one above the limit, reads everything, so one
-    such tile brings in every coarse cell. The result is a subset of the coarse dimension.
+    such tile brings in every coarse cell.
     """
-    cover = covering(tiles, system, prune_res)
-    sized = cover.groupBy(*TILE).agg(F.count(F.lit(1)).alias("_size"))
-    usable = sized.where(F.col("_size") <= max_cover)
-    asked = tiles.select(*[F.col(c).cast("int").alias(c) for c in TILE]).distinct()
-    unbounded = asked.join(usable, TILE, "left_anti").agg(
-        (F.count(F.lit(1)) > 0).alias("b")).scalar()
+    wanted = tiles.selectExpr(*[f"cast({c} as int) as {c}" for c in TILE]).distinct()
+    found = wanted.join(covering(wanted, system, prune_res), TILE, "left")
+    size = F.count("hex_prune").over(Window.partitionBy(*TILE))
+    # NULL stands for "everything"
+    usable = F.when(size.between(1, max_cover), F.col("hex_prune"))
+    keys = found.select(usable.alias("hex_prune")).distinct()
+    unbounded = keys.agg(F.max(F.col("hex_prune").isNull()).alias("b")).scalar()
     everything = (system.dimension(tiles.sparkSession, prune_res)
                   .withColumn("_all", unbounded).where("_all")
                   .select(F.col("cell_id").alias("hex_prune")))
-    bounded = cover.join(usable, TILE, "left_semi").select("hex_prune")
-    return bounded.unionByName(everything).distinct()
+    return keys.where("hex_prune IS NOT NULL").unionByName(everything)
 
 
 def prune_scan(source: DataFrame, tiles: DataFrame, system: CellSystem, layer_res: int,
-               prune_res: int = PRUNE_RES, broadcast_below: int = 100_000) -> DataFrame:
+               prune_res: int = PRUNE_RES) -> DataFrame:
     """Restrict a table that carries ``hex_prune`` to what the wanted tiles can show.
 
     Apply it to the scan, before any join or aggregate of the layer. It must not be
@@ -194,8 +186,8 @@ def prune_scan(source: DataFrame, tiles: DataFrame, system: CellSystem, layer_re
     if layer_res < prune_res or "hex_prune" not in source.columns:
         return source
     keys = prune_keys(tiles, system, prune_res)
-    if system.size_at(prune_res) <= broadcast_below:
-        # the keys are a subset of the coarse dimension, whose size is known exactly
+    if system.size_at(prune_res) <= BROADCAST_CELLS:
+        # keys come from the coarse dimension, at most twice each
         keys = F.broadcast(keys)
     return source.join(keys, "hex_prune", "left_semi")
 

@@ -61,7 +61,8 @@ def all_taxa(spark: SparkSession, sf: str) -> DataFrame:
         f"FROM ({_tiers_sql(list(range(1, 8)))})" for rank in ("phylum", "class", "order")),
     "rank, taxon, res, cell_id"))
 def per_taxon(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(D.taxon_index(S.occurrences(spark, sf), S.LATTICE, FINEST))
+    # taxonomy is joined from part, one row per species
+    return rounded(D.taxon_index(S.occurrences(spark, sf), S.LATTICE, FINEST, one_lineage=True))
 
 
 # the taxa below one part type, and the ids in its tree
