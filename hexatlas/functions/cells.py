@@ -114,15 +114,15 @@ def north_sql(y: str = "y", z: str = "z") -> str:
     return NORTH.format(y=y, z=z)
 
 
-def in_tile(buffer_deg: float, z: str = "z", x: str = "x", y: str = "y") -> Column:
+def in_tile(buffer_deg: str, z: str = "z", x: str = "x", y: str = "y") -> Column:
     """Is centroid ``lng, lat`` in the buffered tile, also one turn east or west of it?
 
-    Limits are compared at ten decimals of a degree.
+    Arguments are column names or literals. Limits are compared at ten decimals of a degree.
     """
     def at_ten(limit: str) -> str:
         return f"rint(({limit}) * 1e10D) / 1e10D"
 
-    b = f"{buffer_deg!r}D"
+    b = buffer_deg
     west, east = at_ten(f"{west_sql(x, z)} - {b}"), at_ten(f"{west_sql(f'{x} + 1', z)} + {b}")
     south, north = at_ten(f"{north_sql(f'{y} + 1', z)} - {b}"), at_ten(f"{north_sql(y, z)} + {b}")
     turns = " OR ".join(f"lng + {t}D BETWEEN {west} AND {east}" for t in (0, 360, -360))

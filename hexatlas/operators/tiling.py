@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hexatlas.functions import cells
 from hexatlas.functions.systems import CellSystem
-from hexatlas.functions.values import finite
 
 # Tile buffer and covering buffer in cell edges, row and covering limits,
 # resolution of the stored prune column, polar limit of a covering box in degrees.
@@ -24,47 +25,53 @@ SLACK = 1e-9
 BROADCAST_CELLS = 100_000
 
 
-def _columns(buffer_deg: float) -> Column:
+def _columns() -> Column:
     """Tile columns whose buffered span holds ``lng``, as it is or one turn away."""
-    n, b = cells.ACROSS.format(z="z"), f"{buffer_deg!r}D"
+    n = cells.ACROSS.format(z="z")
 
     def run(turn: int) -> str:
         at = f"lng + {turn + 180}D"
-        low = f"greatest(0L, ceil(({at} - {b}) / 360D * {n} - 1D - {SLACK!r}D))"
-        high = f"least(cast({n} as bigint) - 1L, floor(({at} + {b}) / 360D * {n} + {SLACK!r}D))"
+        low = f"greatest(0L, ceil(({at} - _buffer) / 360D * {n} - 1D - {SLACK!r}D))"
+        high = f"least(cast({n} as bigint) - 1L, floor(({at} + _buffer) / 360D * {n} + {SLACK!r}D))"
         return f"if({low} <= {high}, sequence({low}, {high}), cast(array() as array<bigint>))"
 
     runs = ", ".join(run(t) for t in (0, 360, -360))
     return F.expr(f"array_distinct(flatten(array({runs})))")
 
 
-def _rows(buffer_deg: float) -> Column:
+def _rows() -> Column:
     """Tile rows whose buffered span holds ``lat``."""
-    n, b = cells.ACROSS.format(z="z"), f"{buffer_deg!r}D"
+    n = cells.ACROSS.format(z="z")
 
     def row(lat: str) -> str:
         held = f"greatest(-89.9999D, least(89.9999D, {lat}))"
         return f"{n} / 2D * (1D - asinh(tan(radians({held}))) / pi())"
 
-    low = f"greatest(0L, ceil({row(f'lat + {b}')} - 1D - {SLACK!r}D))"
-    high = f"least(cast({n} as bigint) - 1L, floor({row(f'lat - {b}')} + {SLACK!r}D))"
+    low = f"greatest(0L, ceil({row('lat + _buffer')} - 1D - {SLACK!r}D))"
+    high = f"least(cast({n} as bigint) - 1L, floor({row('lat - _buffer')} + {SLACK!r}D))"
     return F.expr(f"if({low} <= {high}, sequence({low}, {high}), cast(array() as array<bigint>))")
 
 
-def to_tiles(located: DataFrame, zooms: list[int], edge_deg: float,
-             edges: float = TILE_BUFFER_EDGES) -> DataFrame:
-    """Every tile of the zooms in which each row is drawn, in one narrow pass.
+def aimed(located: DataFrame, zooms: list[int], edge_deg: float,
+          edges: float = TILE_BUFFER_EDGES) -> DataFrame:
+    """Say which zooms the rows of one resolution are drawn at, and with what buffer."""
+    levels = ", ".join(str(int(z)) for z in zooms)
+    return located.withColumns({"_zooms": F.expr(f"array({levels})"),
+                                "_buffer": F.lit(edge_deg * edges)})
+
+
+def to_tiles(aimed_rows: DataFrame) -> DataFrame:
+    """Every tile in which each row is drawn, as ``z, x, y``, in one narrow pass.
 
     A row goes to a tile once even when two turns of longitude match; equal rows of a
     layer stay separate rows. No join and no shuffle: tiles come from arithmetic.
     """
-    buffer_deg = edge_deg * edges
-    levels = ", ".join(str(int(z)) for z in zooms)
-    spread = (located.withColumn("z", F.expr(f"explode(array({levels}))"))
-              .withColumn("x", F.explode(_columns(buffer_deg)))
-              .withColumn("y", F.explode(_rows(buffer_deg))))
-    return (spread.where(cells.in_tile(buffer_deg))
-            .withColumns({"x": F.col("x").cast("int"), "y": F.col("y").cast("int")}))
+    spread = (aimed_rows.withColumn("z", F.explode("_zooms"))
+              .withColumn("x", F.explode(_columns()))
+              .withColumn("y", F.explode(_rows())))
+    return (spread.where(cells.in_tile("_buffer"))
+            .withColumns({"x": F.col("x").cast("int"), "y": F.col("y").cast("int")})
+            .drop("lng", "lat", "_zooms", "_buffer"))
 
 
 def one_tile(located: DataFrame, z: int, x: int, y: int, edge_deg: float,
@@ -73,7 +80,8 @@ def one_tile(located: DataFrame, z: int, x: int, y: int, edge_deg: float,
     side = 2 ** z
     if not (0 <= x < side and 0 <= y < side):
         raise ValueError(f"tile {x}/{y} does not exist at zoom {z}")
-    return located.where(cells.in_tile(edge_deg * edges, *(str(int(v)) for v in (z, x, y))))
+    return located.where(
+        cells.in_tile(f"{edge_deg * edges!r}D", *(str(int(v)) for v in (z, x, y))))
 
 
 def count_copies(layer: DataFrame) -> DataFrame:
@@ -209,10 +217,16 @@ def prune_one_tile(source: DataFrame, system: CellSystem, z: int, x: int, y: int
     return source.where(F.col("hex_prune").isin([r["hex_prune"] for r in found]))
 
 
-def layer_tiles(layer: DataFrame, system: CellSystem, res: int, zooms: list[int],
+def layer_tiles(layers: list[tuple[DataFrame, int, list[int]]], system: CellSystem,
                 cap: int | None = MAX_ROWS_PER_TILE) -> DataFrame:
-    """Checked layer rows of one resolution to capped tile records."""
-    rows = layer if cap is None else count_copies(layer)
-    located = system.with_centroid(rows, res).where(finite(F.col("lng")))
-    tiled = to_tiles(located, zooms, system.edge_deg(res)).drop("lng", "lat")
+    """Checked layer rows, each with its resolution and zooms, to capped tile records.
+
+    The resolutions are put together first, so a pyramid is one spread and one ranking.
+    """
+    parts = []
+    for layer, res, zooms in layers:
+        rows = layer if cap is None else count_copies(layer)
+        located = system.with_centroid(rows, res).where("lng IS NOT NULL AND lat IS NOT NULL")
+        parts.append(aimed(located, zooms, system.edge_deg(res)))
+    tiled = to_tiles(reduce(DataFrame.unionByName, parts))
     return tile_records(tiled if cap is None else cap_tiles(tiled, cap))

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from hexatlas.functions.cells import MAX_RES, MIN_RES, cell_hex, res_for_zoom
 from hexatlas.functions.systems import CellSystem
 from hexatlas.operators.layers import Layer, hex_layer
 from hexatlas.operators.tiling import (
     MAX_ROWS_PER_TILE, TILE, cap_tiles, count_copies, layer_tiles, one_tile)
-from pyspark.sql import functions as F
 
 
 def checked_res(z: float, res: int | None) -> int:
@@ -28,9 +26,8 @@ def pyramid(layer: Layer, system: CellSystem, zooms: list[int], res: int | None
     by_res: dict[int, list[int]] = defaultdict(list)
     for z in zooms:
         by_res[checked_res(z, res)].append(z)
-    parts = [layer_tiles(hex_layer(layer(r)), system, r, zs, cap)
-             for r, zs in sorted(by_res.items())]
-    return reduce(DataFrame.unionByName, parts)
+    layers = [(hex_layer(layer(r)), r, zs) for r, zs in sorted(by_res.items())]
+    return layer_tiles(layers, system, cap)
 
 
 def single_tile(layer: Layer, system: CellSystem, z: int, x: int, y: int,

@@ -97,7 +97,7 @@ def capped(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.table(spark, sf, "orders").select(
         S.cell_of_customer(F.col("o_custkey"), 4).alias("cell_id"),
         F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("n"))
-    return T.layer_tiles(hex_layer(rows), S.LATTICE, 4, [0, 1, 2], cap=200)
+    return T.layer_tiles([(hex_layer(rows), 4, [0, 1, 2])], S.LATTICE, cap=200)
 
 
 def supplier_tiles(spark: SparkSession, sf: str, z: int) -> DataFrame:
@@ -153,7 +153,7 @@ def pruned(spark: SparkSession, sf: str) -> DataFrame:
         (F.sum("cents").cast("double") / F.count(F.lit(1)) / 100).alias("value"),
         F.count(F.lit(1)).alias("n"))
     located = S.LATTICE.with_centroid(hex_layer(layer), 4)
-    drawn = T.to_tiles(located, [5], S.LATTICE.edge_deg(4))
+    drawn = T.to_tiles(T.aimed(located, [5], S.LATTICE.edge_deg(4)))
     return drawn.select(*T.TILE, "cell_id", "value", "n").join(tiles, T.TILE, "left_semi")
 
 
@@ -194,7 +194,7 @@ def ancestors(spark: SparkSession, sf: str) -> DataFrame:
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     layer = hex_layer(S.order_layer(spark, sf, 3).withColumn(
         "n", F.when(F.col("n") > 10, F.col("n"))))
-    docs = T.tile_documents(T.layer_tiles(layer, S.LATTICE, 3, [4]))
+    docs = T.tile_documents(T.layer_tiles([(layer, 3, [4])], S.LATTICE))
     # read the documents back, so that what is compared is what a client would see
     cells_back = docs.select(*T.TILE, F.explode(F.from_json(
         "body", "cells array<map<string,string>>")["cells"]).alias("c"))
