@@ -112,15 +112,22 @@ def tile_parity(left: DataFrame, right: DataFrame, bands: list[str],
     Both sides go through one aggregation by pixel; no pixel is paired with another.
     """
     on = [*tile, *pixel]
-    value = F.struct(*bands)
-    both = (left.select(*on, value.alias("v"), F.lit(1).alias("s"))
-            .unionByName(right.select(*on, value.alias("v"), F.lit(2).alias("s"))))
+    # one plain column per band and side keeps the aggregation on its hash path
+    def side(df: DataFrame, mine: str, other: str) -> DataFrame:
+        return df.select(
+            *on, F.lit(mine == "a").alias("_left"), F.lit(mine == "b").alias("_right"),
+            *[F.col(c).alias(f"{mine}_{c}") for c in bands],
+            *[F.lit(None).cast(df.schema[c].dataType).alias(f"{other}_{c}") for c in bands])
+
+    both = side(left, "a", "b").unionByName(side(right, "b", "a"))
     per_pixel = both.groupBy(*on).agg(
-        F.max(F.when(F.col("s") == 1, F.col("v"))).alias("a"),
-        F.max(F.when(F.col("s") == 2, F.col("v"))).alias("b"))
+        F.max("_left").alias("_left"), F.max("_right").alias("_right"),
+        *[F.max(f"{s}_{c}").alias(f"{s}_{c}") for s in "ab" for c in bands])
+    same = F.col("_left") & F.col("_right")
+    for c in bands:
+        same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
     return per_pixel.groupBy(*tile).agg(
-        F.count(F.lit(1)).alias("pixels"),
-        F.sum((~F.col("a").eqNullSafe(F.col("b"))).cast("long")).alias("differing"))
+        F.count(F.lit(1)).alias("pixels"), F.sum((~same).cast("long")).alias("differing"))
 
 
 def parity_totals(per_tile: DataFrame) -> DataFrame:

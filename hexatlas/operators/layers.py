@@ -113,10 +113,9 @@ def hex_summary(layer: DataFrame, exact: bool = False, accuracy: int = 10000) ->
     v = F.col("value")
     basic = [F.min(v).alias("min"), F.max(v).alias("max")]
     if not exact:
-        return rows.agg(*basic,
-                        F.percentile_approx(v, 0.02, accuracy).alias("p02"),
-                        F.percentile_approx(v, 0.98, accuracy).alias("p98"),
-                        F.count(F.lit(1)).alias("n"))
+        both = F.percentile_approx(v, [0.02, 0.98], accuracy).alias("_q")
+        return rows.agg(*basic, both, F.count(F.lit(1)).alias("n")).select(
+            "min", "max", F.get("_q", F.lit(0)).alias("p02"), F.get("_q", F.lit(1)).alias("p98"), "n")
     return _beside(rows.agg(*basic, F.count(F.lit(1)).alias("n")),
                    exact_percentiles(rows, "value", {"p02": 0.02, "p98": 0.98}),
                    ["min", "max", "p02", "p98", "n"])

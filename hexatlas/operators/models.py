@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hexatlas.operators.ranking import dense_ids
 from hexatlas.operators.space import box_overlap
@@ -70,7 +70,8 @@ def page(found: DataFrame, limit: int = 10, after: str | None = None) -> DataFra
     matched = found.agg(F.count(F.lit(1)).alias("c")).scalar()
     rest = found if after is None else found.where(F.col("item_id") > after)
     rows = rest.orderBy("item_id").limit(limit)
-    returned = rows.agg(F.count(F.lit(1)).alias("c")).scalar()
+    # over the page itself, which has at most ``limit`` rows
+    returned = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
     return rows.withColumns({"number_matched": matched, "number_returned": returned})
 
 

@@ -16,13 +16,14 @@ MAX_MAP_ROWS = 1_000_000
 TILE_PIXELS = 256
 
 
-def value_map(layer: DataFrame, order: str | None = None,
+def value_map(layer: DataFrame, order: str | None = None, unique_order: bool = False,
               max_rows: int | None = MAX_MAP_ROWS) -> DataFrame:
     """One finite value per positive ``cell_id``.
 
-    With ``order`` the row that comes last wins; without it the greatest value does. More
-    than ``max_rows`` input rows, counted before filtering, fail the job; None lifts the
-    limit.
+    With ``order`` the row that comes last wins, and of rows that share the last place the
+    greatest value; without it the greatest value does. Say ``unique_order`` when no two
+    rows of a cell share a place: the aggregation then needs no sort. More than
+    ``max_rows`` input rows, counted before filtering, fail the job; None lifts the limit.
     """
     if order is None:
         clean = grid_layer(layer.select("cell_id", "value"))
@@ -32,8 +33,8 @@ def value_map(layer: DataFrame, order: str | None = None,
                              F.col("value").cast("double").alias("value"),
                              F.col(order).alias("_o"))
         clean = clean.where(finite(F.col("value")) & (F.col("cell_id") > 0))
-        mapped = clean.groupBy("cell_id").agg(
-            F.max_by("value", F.struct("_o", "value")).alias("value"))
+        place = F.col("_o") if unique_order else F.struct("_o", "value")
+        mapped = clean.groupBy("cell_id").agg(F.max_by("value", place).alias("value"))
     if max_rows is None:
         return mapped
     seen = layer.agg(F.count(F.lit(1)).alias("c")).scalar()
@@ -121,12 +122,13 @@ def rewrap(pixels: DataFrame, left: float, step_x: float, width: int) -> DataFra
 
 
 def tile_pixels(raster: DataFrame, z: int, left: float, top: float, step_x: float,
-                step_y: float) -> DataFrame:
-    """Pixels ``z, x, y, px, py, cell_id, mask`` of all tiles of a zoom, nearest source pixel.
+                step_y: float, tile: tuple[int, int] | None = None) -> DataFrame:
+    """Pixels ``z, x, y, px, py, cell_id, mask`` of all tiles of a zoom, or of ``tile``.
 
-    Longitude picks the source column and latitude the source row independently. The two
-    axis tables have ``256 * 2^z`` rows each, whatever the raster holds, and the raster is
-    joined to them by equality; tile pixels outside the raster get no row.
+    Each takes the nearest source pixel: longitude picks the column and latitude the row
+    independently. The two axis tables have ``256 * 2^z`` rows each, whatever the raster
+    holds, and the raster is joined to them by equality; tile pixels outside the raster
+    get no row.
     """
     spark = raster.sparkSession
     across = TILE_PIXELS * 2 ** z
@@ -135,14 +137,16 @@ def tile_pixels(raster: DataFrame, z: int, left: float, top: float, step_x: floa
     lat = F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * (at + 0.5) / across))) * 180.0 / F.lit(math.pi)
     side = F.lit(TILE_PIXELS)
 
-    def axis(source: Column, name: str, tile: str, pixel: str) -> DataFrame:
-        return spark.range(across).select(
+    def axis(source: Column, name: str, number: str, pixel: str, only: int | None) -> DataFrame:
+        first, last = (0, across) if only is None else (only * TILE_PIXELS, (only + 1) * TILE_PIXELS)
+        return spark.range(first, last).select(
             source.cast("bigint").alias(name),
-            F.floor(at / side).cast("int").alias(tile), (at % side).cast("int").alias(pixel))
+            F.floor(at / side).cast("int").alias(number), (at % side).cast("int").alias(pixel))
 
-    cols = axis(F.floor((lng - left) / step_x), "col", "x", "px")
-    rows = axis(F.floor((top - lat) / step_y), "row", "y", "py")
-    if z <= 10:
+    x, y = tile or (None, None)
+    cols = axis(F.floor((lng - left) / step_x), "col", "x", "px", x)
+    rows = axis(F.floor((top - lat) / step_y), "row", "y", "py", y)
+    if z <= 10 or tile:
         # at most 262,144 rows each
         cols, rows = F.broadcast(cols), F.broadcast(rows)
     return (raster.join(cols, "col").join(rows, "row")

@@ -105,6 +105,17 @@ def request_decoding(spark: SparkSession, sf: str) -> DataFrame:
                       F.sha2("text", 256).alias("text_sha"), "too_large")
 
 
+@query("P9_urlsafe_decoding", """
+    SELECT page_id, page_id%4<>0 AS ok, CASE WHEN page_id%4<>0 THEN sha256(html) END AS text_sha FROM pages""")
+def urlsafe_decoding(spark: SparkSession, sf: str) -> DataFrame:
+    # unpadded url-safe form of whole pages; every fourth has a character outside its alphabet
+    plain = F.regexp_replace(F.base64(F.col("html").cast("binary")), r"\s", "")
+    sent = F.rtrim(F.translate(plain, "+/", "-_"), F.lit("="))
+    sent = F.when(F.col("page_id") % 4 == 0, F.concat(sent, F.lit("*"))).otherwise(sent)
+    out = decoded_requests(S.table(spark, sf, "pages").select("page_id", sent.alias("q")), urlsafe=True)
+    return out.select("page_id", F.col("text").isNotNull().alias("ok"), F.sha2("text", 256).alias("text_sha"))
+
+
 @query("P11_json_safe",
        f"SELECT event_id-100 AS cell_id, CASE WHEN isnan({_ODD}) THEN 'NaN' WHEN isinf({_ODD}) "
        f"THEN CASE WHEN {_ODD}>0 THEN 'Infinity' ELSE '-Infinity' END "
@@ -149,7 +160,7 @@ _MAP = (f"SELECT {grid_cell_sql('o_custkey')} AS cell_id, "
 
 @query("J1_value_map", _MAP)
 def last_values(spark: SparkSession, sf: str) -> DataFrame:
-    return value_map(S.grid_values(spark, sf), order="seq", max_rows=None)
+    return value_map(S.grid_values(spark, sf), order="seq", unique_order=True, max_rows=None)
 
 
 @query("A2_grid_summary",
@@ -158,7 +169,7 @@ def last_values(spark: SparkSession, sf: str) -> DataFrame:
        "round(quantile_cont(value,0.5),6) AS p50, round(quantile_cont(value,0.98),6) AS p98 "
        f"FROM ({_MAP})")
 def map_summary(spark: SparkSession, sf: str) -> DataFrame:
-    s = L.grid_summary(value_map(S.grid_values(spark, sf), order="seq", max_rows=None))
+    s = L.grid_summary(value_map(S.grid_values(spark, sf), order="seq", unique_order=True, max_rows=None))
     return s.select("n", "min", "max", F.round("mean", 6).alias("mean"),
                     F.round("std", 4).alias("std"),
                     *[F.round(c, 6).alias(c) for c in ("p2", "p50", "p98")])

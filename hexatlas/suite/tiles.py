@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexatlas.functions import cells
+from hexatlas.functions.systems import Hexagons
 from hexatlas.operators import tiling as T
 from hexatlas.operators.layers import hex_layer
 from hexatlas.plans import standins as S
 from hexatlas.plans.hex_tiles import pyramid, single_tile
+from hexatlas.session import scratch_path
+from hexatlas.sources.stores import write_tile_documents
 from hexatlas.suite.base import (
     cell_sql, hexed, lat_of, layer_sql, lng_of, located_sql, north_sql, query, risen, tiled_sql,
     tiles_sql, turned)
@@ -85,6 +88,40 @@ def whole_pyramid(spark: SparkSession, sf: str) -> DataFrame:
     return pyramid(layer_of(spark, sf), S.LATTICE, [3, 4, 5, 6])
 
 
+# hexagon indexes of customers at resolution 5; a cell lies where its least customer does
+_HEX5 = f"((1::BIGINT << 59) | (5::BIGINT << 52) | (({{k}}%122) << 45) | ((({{k}}//2)%7) << 42) | ((({{k}}//5)%7) << 39) | {(1 << 39) - 1})"
+
+
+def _hex5(k):
+    index = F.lit((1 << 59) | (5 << 52) | ((1 << 39) - 1)).cast("bigint")
+    return (index.bitwiseOR(F.shiftleft(k % 122, 45))
+            .bitwiseOR(F.shiftleft(S.whole_quotient(k, 2) % 7, 42))
+            .bitwiseOR(F.shiftleft(S.whole_quotient(k, 5) % 7, 39)))
+
+
+_EDGE5 = "(1106.54::DOUBLE/(sqrt(7.0::DOUBLE)**5)/111.32::DOUBLE*1.5)"
+
+
+@query("T5_hexagon_tiles", f"""
+    WITH d AS (SELECT cell_id, {turned('k')}/1000.0::DOUBLE-180.0 AS lng, {risen('k')}/1000.0::DOUBLE-90.0 AS lat
+      FROM (SELECT {_HEX5.format(k='c_custkey')} AS cell_id, min(c_custkey) AS k FROM customer GROUP BY 1)),
+    l AS (SELECT {_HEX5.format(k='o_custkey')} AS cell_id, max(o_totalprice) AS value, count(*) AS n FROM orders GROUP BY 1)
+    SELECT z, x, y, {hexed('cell_id')} AS h3id, value, n FROM l JOIN d USING (cell_id), ({tiles_sql(6)}) g
+    WHERE (lng BETWEEN round(w-{_EDGE5},10) AND round(e+{_EDGE5},10)
+        OR lng+360 BETWEEN round(w-{_EDGE5},10) AND round(e+{_EDGE5},10)
+        OR lng-360 BETWEEN round(w-{_EDGE5},10) AND round(e+{_EDGE5},10))
+      AND lat BETWEEN round(s-{_EDGE5},10) AND round(t+{_EDGE5},10)""")
+def hexagon_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    places = S.table(spark, sf, "customer").groupBy(_hex5(F.col("c_custkey")).alias("cell_id")).agg(
+        F.min("c_custkey").alias("k"))
+    k = F.col("k")
+    dim = places.select("cell_id", F.lit(5).alias("res"), ((S.lng_m(k) + 180000) / 1000.0 - 180.0).alias("lng"),
+                        ((S.lat_m(k) + 90000) / 1000.0 - 90.0).alias("lat"))
+    layer = S.table(spark, sf, "orders").groupBy(_hex5(F.col("o_custkey")).alias("cell_id")).agg(
+        F.max("o_totalprice").alias("value"), F.count(F.lit(1)).alias("n"))
+    return pyramid(lambda res: layer, Hexagons(dim), [6])
+
+
 # order rows as layer rows, so that cells repeat
 _RAW = f"SELECT {cell_sql('o_custkey', 4)} AS cell_id, o_totalprice AS value, o_orderkey AS n FROM orders"
 
@@ -194,8 +231,10 @@ def ancestors(spark: SparkSession, sf: str) -> DataFrame:
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     layer = hex_layer(S.order_layer(spark, sf, 3).withColumn(
         "n", F.when(F.col("n") > 10, F.col("n"))))
-    docs = T.tile_documents(T.layer_tiles([(layer, 3, [4])], S.LATTICE))
+    path = scratch_path(spark, "tiles")
+    write_tile_documents(T.tile_documents(T.layer_tiles([(layer, 3, [4])], S.LATTICE)), path)
     # read the documents back, so that what is compared is what a client would see
+    docs = spark.read.parquet(path)
     cells_back = docs.select(*T.TILE, F.explode(F.from_json(
         "body", "cells array<map<string,string>>")["cells"]).alias("c"))
     return cells_back.select(
