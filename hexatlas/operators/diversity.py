@@ -34,8 +34,13 @@ def roll_up(counts: DataFrame, system: CellSystem, finest: int, tiers: list[int]
 
 
 def occurrence_counts(occurrences: DataFrame, keys: list[str]) -> DataFrame:
-    """Records per finest cell and key; repeated records combine before the shuffle."""
-    return occurrences.groupBy("cell_id", *keys).agg(F.count(F.lit(1)).alias("records"))
+    """Records per finest cell and key; repeated records combine before the shuffle.
+
+    Input that is already counted (it has ``records``) is summed instead, so every store
+    can be built from one counted table.
+    """
+    records = F.sum("records") if "records" in occurrences.columns else F.count(F.lit(1))
+    return occurrences.groupBy("cell_id", *keys).agg(records.alias("records"))
 
 
 def occurrence_store(occurrences: DataFrame, system: CellSystem, finest: int = 7,
@@ -119,17 +124,31 @@ def taxon_index(occurrences: DataFrame, system: CellSystem, finest: int = 7,
     return indices(unfolded, group)
 
 
-def live_index(store: DataFrame, res: int, taxa: DataFrame | None = None,
-               years: tuple[int, int] | None = None, where: Column | None = None) -> DataFrame:
-    """Indices from the occurrence store for any taxon set and year range."""
-    rows = store.where(F.col("res") == res)
+def tier_for(res: int, tiers: list[int] = STORE_TIERS) -> int:
+    """Coarsest store tier that still resolves ``res``; the finest tier beyond that."""
+    return min((t for t in tiers if t >= res), default=max(tiers))
+
+
+def live_index(store: DataFrame, res: int, system: CellSystem | None = None,
+               taxa: DataFrame | None = None, years: tuple[int, int] | None = None,
+               where: Column | None = None) -> DataFrame:
+    """Indices from the occurrence store for any taxon set and year range.
+
+    A resolution between the tiers is rolled up from the next finer one (give ``system``).
+    """
+    tier = tier_for(res)
+    rows = store.where(F.col("res") == tier)
     if years is not None:
         rows = rows.where(F.col("date_year").between(*years))
     if where is not None:
         rows = rows.where(where)
     if taxa is not None:
         rows = of_taxa(rows, taxa)
-    per_species = rows.groupBy("cell_id", "aphiaid").agg(F.sum("records").alias("records"))
+    cell = F.col("cell_id")
+    if res < tier:
+        cell = system.parent(cell, tier, res)
+    per_species = rows.groupBy(cell.alias("cell_id"), "aphiaid").agg(
+        F.sum("records").alias("records"))
     return indices(per_species, ["cell_id"])
 
 

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # a tile's covering set is an IN list: test each id against row groups, not one wide range
+    "spark.sql.parquet.pushdown.inFilterThreshold": "256",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

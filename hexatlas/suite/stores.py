@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hexatlas.functions.cells import MAX_RES, MIN_RES
 from hexatlas.operators import diversity as D
-from hexatlas.operators.layers import with_res_columns
+from hexatlas.operators.layers import hex_layer, with_res_columns
 from hexatlas.operators.models import keyed_by_id, model_registry
-from hexatlas.plans import standins as S
+from hexatlas.plans import index_store, standins as S
 from hexatlas.plans.raster_tiles import model_layer
 from hexatlas.session import scratch_path
 from hexatlas.sources import registry, releases, stores
@@ -230,3 +230,52 @@ def wide(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     return with_res_columns(S.table(spark, sf, "customer").select("c_custkey"),
                             S.cell_of_customer(k, 10), lambda c, r: S.LATTICE.parent(c, 10, r))
+
+
+_BUILT = f"""
+    WITH occ AS ({OCCURRENCES}), t AS ({_tiers_sql(list(range(1, 8)))}),
+    s AS (SELECT res, cell_id, aphiaid, phylum, class, "order", date_year, count(*) AS c FROM t GROUP BY ALL)
+    SELECT 'occ_h3' AS store, res, count(*) AS n_rows, CAST(sum(c) AS BIGINT) AS records FROM s WHERE res IN (3,5,7) GROUP BY 2
+    UNION ALL SELECT 'idx_h3', res, count(DISTINCT cell_id), CAST(sum(c) AS BIGINT) FROM s GROUP BY 2
+    UNION ALL SELECT 'idx_h3_taxon', res, count(DISTINCT cell_id) + count(DISTINCT (cell_id, class)) + count(DISTINCT (cell_id, "order")),
+      CAST(3*sum(c) AS BIGINT) FROM s GROUP BY 2"""
+
+
+def _built(spark: SparkSession, sf: str) -> str:
+    base = scratch_path(spark, "store")
+    index_store.build(S.occurrences(spark, sf), S.LATTICE, base, one_lineage=True)
+    return base
+
+
+@query("S8_store_build", _BUILT)
+def built(spark: SparkSession, sf: str) -> DataFrame:
+    base = _built(spark, sf)
+    parts = [spark.read.parquet(f"{base}/{t}").groupBy("res").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(m).alias("records")).select(F.lit(t).alias("store"), "res", "n_rows", "records")
+        for t, m in zip(index_store.TABLES, ("records", "n", "n"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _metric_sql(res: int, where: str) -> str:
+    return (f"SELECT {cell_sql('k', res)} AS cell_id, count(DISTINCT aphiaid)::DOUBLE AS value, count(*) AS n "
+            f"FROM occ WHERE {where} GROUP BY 1")
+
+
+# the same metric from each table: precomputed, per taxon, live at a tier, live between tiers, and clamped
+@query("S8_store_layers", f"WITH occ AS ({OCCURRENCES}) " + " UNION ALL ".join(
+    f"SELECT '{name}' AS source, * FROM ({_metric_sql(res, where)})" for name, res, where in (
+        ("cells", 4, "true"), ("taxon", 6, "class='SMALL'"), ("years", 5, "date_year BETWEEN 1996 AND 1998"),
+        ("between", 2, "date_year>=1999"), ("clamped", 7, "true"))))
+def store_layers(spark: SparkSession, sf: str) -> DataFrame:
+    base = _built(spark, sf)
+
+    def asked(name: str, res: int, **filters) -> DataFrame:
+        at = index_store.layer(spark, base, "sp", S.LATTICE, **filters)
+        return hex_layer(at(res)).select(F.lit(name).alias("source"), "cell_id", "value", "n")
+
+    parts = [asked("cells", 4), asked("taxon", 6, taxon=("class", "SMALL")), asked("years", 5, years=(1996, 1998)),
+             asked("between", 2, years=(1999, 9999)), asked("clamped", 9)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
