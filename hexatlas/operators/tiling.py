@@ -52,12 +52,12 @@ def _rows() -> Column:
     return F.expr(f"if({low} <= {high}, sequence({low}, {high}), cast(array() as array<bigint>))")
 
 
-def aimed(located: DataFrame, zooms: list[int], edge_deg: float,
+def aimed(located: DataFrame, zooms: list[int], edge_deg: float | dict[int, float],
           edges: float = TILE_BUFFER_EDGES) -> DataFrame:
-    """Say which zooms the rows of one resolution are drawn at, and with what buffer."""
-    levels = ", ".join(str(int(z)) for z in zooms)
-    return located.withColumns({"_zooms": F.expr(f"array({levels})"),
-                                "_buffer": F.lit(edge_deg * edges)})
+    """Say which zooms rows are drawn at, and the cell edge that sets each zoom's buffer."""
+    edge = edge_deg if isinstance(edge_deg, dict) else {z: edge_deg for z in zooms}
+    levels = ", ".join(f"named_struct('z', {int(z)}, 'b', {edge[z] * edges!r}D)" for z in zooms)
+    return located.withColumn("_aims", F.expr(f"array({levels})"))
 
 
 def to_tiles(aimed_rows: DataFrame) -> DataFrame:
@@ -66,12 +66,13 @@ def to_tiles(aimed_rows: DataFrame) -> DataFrame:
     A row goes to a tile once even when two turns of longitude match; equal rows of a
     layer stay separate rows. No join and no shuffle: tiles come from arithmetic.
     """
-    spread = (aimed_rows.withColumn("z", F.explode("_zooms"))
+    spread = (aimed_rows.withColumn("_aim", F.explode("_aims"))
+              .withColumns({"z": F.col("_aim.z"), "_buffer": F.col("_aim.b")})
               .withColumn("x", F.explode(_columns()))
               .withColumn("y", F.explode(_rows())))
     return (spread.where(cells.in_tile("_buffer"))
             .withColumns({"x": F.col("x").cast("int"), "y": F.col("y").cast("int")})
-            .drop("lng", "lat", "_zooms", "_buffer"))
+            .drop("lng", "lat", "_aims", "_aim", "_buffer"))
 
 
 def one_tile(located: DataFrame, z: int, x: int, y: int, edge_deg: float,
@@ -217,16 +218,18 @@ def prune_one_tile(source: DataFrame, system: CellSystem, z: int, x: int, y: int
     return source.where(F.col("hex_prune").isin([r["hex_prune"] for r in found]))
 
 
-def layer_tiles(layers: list[tuple[DataFrame, int, list[int]]], system: CellSystem,
+def layer_tiles(layers: list[tuple[DataFrame, int, dict[int, int]]], system: CellSystem,
                 cap: int | None = MAX_ROWS_PER_TILE) -> DataFrame:
-    """Checked layer rows, each with its resolution and zooms, to capped tile records.
+    """Checked layers to capped tile records.
 
-    The resolutions are put together first, so a pyramid is one spread and one ranking.
+    Each layer comes with the resolution of its cells and, per zoom, the resolution whose
+    edge sets the buffer (finer than the cells' own where a store stops early). All are
+    put together first, so a pyramid is one spread and one ranking.
     """
     parts = []
     for layer, res, zooms in layers:
         rows = layer if cap is None else count_copies(layer)
         located = system.with_centroid(rows, res).where("lng IS NOT NULL AND lat IS NOT NULL")
-        parts.append(aimed(located, zooms, system.edge_deg(res)))
+        parts.append(aimed(located, list(zooms), {z: system.edge_deg(r) for z, r in zooms.items()}))
     tiled = to_tiles(reduce(DataFrame.unionByName, parts))
     return tile_records(tiled if cap is None else cap_tiles(tiled, cap))

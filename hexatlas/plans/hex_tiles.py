@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexatlas.functions.cells import MAX_RES, MIN_RES, cell_hex, res_for_zoom
 from hexatlas.functions.systems import CellSystem
+from hexatlas.operators.diversity import INDEX_RESOLUTIONS
 from hexatlas.operators.layers import Layer, hex_layer
 from hexatlas.operators.tiling import (
-    MAX_ROWS_PER_TILE, TILE, cap_tiles, count_copies, layer_tiles, one_tile)
+    MAX_ROWS_PER_TILE, TILE, cap_tiles, count_copies, layer_tiles, one_tile, prune_one_tile)
+from hexatlas.plans import index_store
 
 
 def checked_res(z: float, res: int | None) -> int:
@@ -21,21 +23,39 @@ def checked_res(z: float, res: int | None) -> int:
 
 
 def pyramid(layer: Layer, system: CellSystem, zooms: list[int], res: int | None = None,
-            cap: int | None = MAX_ROWS_PER_TILE) -> DataFrame:
-    """Records of every tile of the zooms. Zooms that share a resolution share one scan."""
-    by_res: dict[int, list[int]] = defaultdict(list)
+            cap: int | None = MAX_ROWS_PER_TILE, top: int = MAX_RES) -> DataFrame:
+    """Records of every tile of the zooms. Zooms that share a resolution share one scan.
+
+    ``top`` is the finest resolution the layer has: deeper zooms draw those cells.
+    """
+    by_res: dict[int, dict[int, int]] = defaultdict(dict)
     for z in zooms:
-        by_res[checked_res(z, res)].append(z)
-    layers = [(hex_layer(layer(r)), r, zs) for r, zs in sorted(by_res.items())]
-    return layer_tiles(layers, system, cap)
+        drawn = checked_res(z, res)
+        by_res[min(drawn, top)][z] = drawn
+    return layer_tiles([(hex_layer(layer(r)), r, zs) for r, zs in sorted(by_res.items())], system, cap)
 
 
 def single_tile(layer: Layer, system: CellSystem, z: int, x: int, y: int,
-                res: int | None = None, cap: int = MAX_ROWS_PER_TILE) -> DataFrame:
+                res: int | None = None, cap: int = MAX_ROWS_PER_TILE, top: int = MAX_RES) -> DataFrame:
     """Records ``h3id, value, n`` of one tile."""
-    r = checked_res(z, res)
+    drawn = checked_res(z, res)
+    r = min(drawn, top)
     rows = system.with_centroid(count_copies(hex_layer(layer(r))), r)
-    inside = one_tile(rows, z, x, y, system.edge_deg(r)).drop("lng", "lat")
+    inside = one_tile(rows, z, x, y, system.edge_deg(drawn)).drop("lng", "lat")
     at = {c: F.lit(v) for c, v in zip(TILE, (z, x, y))}
     return cap_tiles(inside.withColumns(at), cap).select(
         cell_hex(F.col("cell_id")).alias("h3id"), "value", "n")
+
+
+def stored_tile(spark: SparkSession, base: str, metric: str, system: CellSystem, z: int, x: int,
+                y: int, res: int | None = None, **filters) -> DataFrame:
+    """One tile of a diversity metric from the store, reading only what the tile can show.
+
+    The tile's covering set is pushed into the scan of whichever table answers, before any
+    aggregation; ``filters`` are those of :func:`hexatlas.plans.index_store.layer`.
+    """
+    drawn = checked_res(z, res)
+    layer = index_store.layer(
+        spark, base, metric, system,
+        scan=lambda df: prune_one_tile(df, system, z, x, y, drawn), **filters)
+    return single_tile(layer, system, z, x, y, res, top=max(INDEX_RESOLUTIONS))

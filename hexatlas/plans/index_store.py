@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexatlas.functions.systems import CellSystem
@@ -33,12 +35,13 @@ def build(occurrences: DataFrame, system: CellSystem, base: str, finest: int = 7
 
 def layer(spark: SparkSession, base: str, metric: str, system: CellSystem | None = None,
           taxon: tuple[str, str] | None = None, taxa: DataFrame | None = None,
-          years: tuple[int, int] | None = None) -> Layer:
+          years: tuple[int, int] | None = None,
+          scan: Callable[[DataFrame], DataFrame] = lambda df: df) -> Layer:
     """A metric as a layer, from the cheapest table that can answer.
 
     No filter reads the precomputed cells; one ``(rank, taxon)`` of a precomputed rank
     reads its rows of the taxon table; a taxon set, a finer rank or a year range is
-    computed live from the occurrence store.
+    computed live from the occurrence store. ``scan`` may narrow the table that is read.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -49,13 +52,14 @@ def layer(spark: SparkSession, base: str, metric: str, system: CellSystem | None
     def at(res: int) -> DataFrame:
         r = min(res, max(D.INDEX_RESOLUTIONS))
         if taxa is None and years is None and taxon is None:
-            return as_layer(spark.read.parquet(f"{base}/idx_h3").where(F.col("res") == r))
+            return as_layer(scan(spark.read.parquet(f"{base}/idx_h3")).where(F.col("res") == r))
         if taxa is None and years is None and taxon[0] in D.INDEX_RANKS:
             rank, name = taxon
-            rows = spark.read.parquet(f"{base}/idx_h3_taxon").where(
+            rows = scan(spark.read.parquet(f"{base}/idx_h3_taxon")).where(
                 (F.col("rank") == rank) & (F.col("res") == r) & (F.col("taxon") == name))
             return as_layer(rows)
         where = None if taxon is None else F.col(taxon[0]) == taxon[1]
-        return as_layer(D.live_index(spark.read.parquet(f"{base}/occ_h3"), r, system, taxa, years, where))
+        store = scan(spark.read.parquet(f"{base}/occ_h3"))
+        return as_layer(D.live_index(store, r, system, taxa, years, where))
 
     return at

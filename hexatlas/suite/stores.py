@@ -9,10 +9,12 @@ from hexatlas.operators import diversity as D
 from hexatlas.operators.layers import hex_layer, with_res_columns
 from hexatlas.operators.models import keyed_by_id, model_registry
 from hexatlas.plans import index_store, standins as S
+from hexatlas.plans.hex_tiles import stored_tile
 from hexatlas.plans.raster_tiles import model_layer
 from hexatlas.session import scratch_path
 from hexatlas.sources import registry, releases, stores
-from hexatlas.suite.base import MODEL_CELLS, OCCURRENCES, cell_sql, query
+from hexatlas.suite.base import (
+    MODEL_CELLS, OCCURRENCES, cell_sql, hexed, lat_of, lng_of, north_sql, query)
 from hexatlas.suite.diversity import _indices_sql, _tiers_sql, rounded
 
 TABLES = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
@@ -279,3 +281,22 @@ def store_layers(spark: SparkSession, sf: str) -> DataFrame:
     for p in parts[1:]:
         whole = whole.unionByName(p)
     return whole
+
+
+# drawn at resolution 8: the cells stop at 7, the buffer does not
+def _deep_sql(source: str, where: str) -> str:
+    z, x, y, b = 3, 2, 3, 360.0 / (1 << 10) * 1.5
+    n = f"{2 ** z}::DOUBLE"
+    w, e = f"round({x}/{n}*360.0-180.0-{b},10)", f"round({x + 1}/{n}*360.0-180.0+{b},10)"
+    s, t = f"round({north_sql(str(y + 1), n)}-{b},10)", f"round({north_sql(str(y), n)}+{b},10)"
+    return (f"SELECT '{source}' AS source, {hexed('cell_id')} AS h3id, value, n FROM (SELECT *, {lng_of('cell_id', 7)} AS lng, "
+            f"{lat_of('cell_id', 7)} AS lat FROM ({_metric_sql(7, where)})) WHERE lng BETWEEN {w} AND {e} AND lat BETWEEN {s} AND {t}")
+
+
+@query("T8_stored_tile", f"WITH occ AS ({OCCURRENCES}) " + _deep_sql("cells", "true") + " UNION ALL "
+       + _deep_sql("years", "date_year BETWEEN 1996 AND 1998"))
+def stored_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    base = _built(spark, sf)
+    parts = [stored_tile(spark, base, "sp", S.LATTICE, 3, 2, 3, res=8, **f).select(F.lit(name).alias("source"), "h3id", "value", "n")
+             for name, f in (("cells", {}), ("years", {"years": (1996, 1998)}))]
+    return parts[0].unionByName(parts[1])

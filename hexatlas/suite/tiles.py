@@ -134,7 +134,7 @@ def capped(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.table(spark, sf, "orders").select(
         S.cell_of_customer(F.col("o_custkey"), 4).alias("cell_id"),
         F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("n"))
-    return T.layer_tiles([(hex_layer(rows), 4, [0, 1, 2])], S.LATTICE, cap=200)
+    return T.layer_tiles([(hex_layer(rows), 4, {0: 4, 1: 4, 2: 4})], S.LATTICE, cap=200)
 
 
 def supplier_tiles(spark: SparkSession, sf: str, z: int) -> DataFrame:
@@ -232,7 +232,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     layer = hex_layer(S.order_layer(spark, sf, 3).withColumn(
         "n", F.when(F.col("n") > 10, F.col("n"))))
     path = scratch_path(spark, "tiles")
-    write_tile_documents(T.tile_documents(T.layer_tiles([(layer, 3, [4])], S.LATTICE)), path)
+    write_tile_documents(T.tile_documents(T.layer_tiles([(layer, 3, {4: 3})], S.LATTICE)), path)
     # read the documents back, so that what is compared is what a client would see
     docs = spark.read.parquet(path)
     cells_back = docs.select(*T.TILE, F.explode(F.from_json(

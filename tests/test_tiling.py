@@ -48,7 +48,7 @@ def test_assignment_equals_brute_force(spark, z, b):
 
 def test_duplicate_rows_stay_and_wraps_do_not_multiply(spark):
     layer = spark.createDataFrame([(LAT_CELL, 1.0, 1), (LAT_CELL, 1.0, 1)], "cell_id bigint, value double, n bigint")
-    got = T.layer_tiles([(layer, 1, [0])], LAT).collect()
+    got = T.layer_tiles([(layer, 1, {0: 1})], LAT).collect()
     assert len(got) == 2
 
 
@@ -67,7 +67,7 @@ def test_cap_keeps_the_first_rows_by_cell_and_counts_copies(spark):
 def test_a_third_of_all_rows_in_one_copy(spark):
     hot = spark.range(200_000).selectExpr(f"{LAT_CELL}L cell_id", "1D value", "1L n")
     rest = spark.range(400).selectExpr(f"(1L << 52) | ((id div 8 % 8) << 26) | (id % 8) cell_id", "2D value", "id n")
-    capped = T.layer_tiles([(hot.unionByName(rest), 1, [0])], LAT, cap=1000)
+    capped = T.layer_tiles([(hot.unionByName(rest), 1, {0: 1})], LAT, cap=1000)
     assert capped.count() == 1000
 
 
@@ -160,7 +160,43 @@ def test_hexagons_take_centroids_from_the_dimension(spark):
     dim = spark.createDataFrame([(0x85283473FFFFFFF, 5, -122.0, 37.3), (0x832834FFFFFFFFF, 3, -121.0, 38.0)],
                                 "cell_id bigint, res int, lng double, lat double")
     layer = spark.createDataFrame([(0x85283473FFFFFFF, 1.5)], "cell_id bigint, value double")
-    rows = single_tile(lambda res: layer, Hexagons(dim), 8, 41, 99).collect()
+    rows = single_tile(lambda res: layer, Hexagons(dim), 8, 41, 99, res=5).collect()
     assert [tuple(r) for r in rows] == [("85283473fffffff", 1.5, None)]
     whole = pyramid(lambda res: layer, Hexagons(dim), [6]).collect()
     assert {r["h3id"] for r in whole} == {"85283473fffffff"}
+
+
+def test_stored_tile_reads_little_and_loses_nothing(spark, tmp_path):
+    from hexatlas.plans import index_store
+    from hexatlas.plans.hex_tiles import stored_tile
+
+    occ = spark.range(30000).selectExpr("id * 137507 % 360000 - 180000 x", "id * 61803 % 160000 - 80000 y", "id").select(
+        LAT.cell_at(F.col("x"), F.col("y"), 7).alias("cell_id"), (F.col("id") % 11).alias("aphiaid"), F.lit("p").alias("phylum"),
+        F.concat(F.lit("c"), F.col("id") % 3).alias("class"), F.lit("o").alias("order"), (F.col("id") % 5 + 2000).cast("int").alias("date_year"))
+    base = str(tmp_path / "store")
+    index_store.build(occ, LAT, base)
+    for filters in ({}, {"taxon": ("class", "c1")}, {"years": (2001, 2003)}):
+        got = stored_tile(spark, base, "n", LAT, 6, 40, 30, **filters)
+        want = single_tile(index_store.layer(spark, base, "n", LAT, **filters), LAT, 6, 40, 30)
+        assert got.count() > 0 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("hex_prune INSET" in plan or "hex_prune IN" in plan or "In(hex_prune" in plan) == ("taxon" not in filters)
+    with pytest.raises(ValueError):
+        index_store.layer(spark, base, "weight")
+
+
+def test_deep_zooms_draw_the_finest_cells_with_their_own_buffer(spark):
+    cell = (7 << 52) | (256 << 26) | 256        # centroid a hair east and north of 0, 0
+    layer = lambda res: spark.createDataFrame([(cell, float(res))], "cell_id bigint, value double")
+    rows = pyramid(layer, LAT, [11, 12], top=7).collect()
+    half = LAT.edge_deg(7) / 2
+    want = {(z, x, y) for z, drawn in ((11, 9), (12, 10))
+            for (_, x, y) in brute_near(half, half / 2, z, LAT.edge_deg(drawn) * 1.5)}
+    assert {(r["z"], r["x"], r["y"]) for r in rows} == want and {r["value"] for r in rows} == {7.0}
+
+
+def brute_near(lng, lat, z, b):
+    n = 2 ** z
+    mid = n // 2
+    return {(0, x, y) for x in range(mid - 12, mid + 12) for y in range(mid - 12, mid + 12)
+            if box(z, x, y)[0] - b <= lng <= box(z, x, y)[1] + b and box(z, x, y)[2] - b <= lat <= box(z, x, y)[3] + b}
