@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hexatlas.functions import colour
 from hexatlas.functions.values import finite
-from hexatlas.operators.layers import grid_layer
 from hexatlas.operators.tiling import TILE
 
 # Limit on layer rows, tile side in pixels.
@@ -25,24 +24,27 @@ def value_map(layer: DataFrame, order: str | None = None, unique_order: bool = F
     rows of a cell share a place: the aggregation then needs no sort. More than
     ``max_rows`` input rows, counted before filtering, fail the job; None lifts the limit.
     """
+    cell, value = F.col("cell_id"), F.col("value")
+    rows = layer.select(cell.cast("bigint").alias("cell_id"), value.cast("double").alias("value"),
+                        *([F.col(order).alias("_o")] if order else []))
+    usable = finite(value) & (cell > 0)
     if order is None:
-        clean = grid_layer(layer.select("cell_id", "value"))
-        mapped = clean.groupBy("cell_id").agg(F.max("value").alias("value"))
+        best = F.max(F.when(usable, value))
     else:
-        clean = layer.select(F.col("cell_id").cast("bigint").alias("cell_id"),
-                             F.col("value").cast("double").alias("value"),
-                             F.col(order).alias("_o"))
-        clean = clean.where(finite(F.col("value")) & (F.col("cell_id") > 0))
+        # rows without a place are never picked
         place = F.col("_o") if unique_order else F.struct("_o", "value")
-        mapped = clean.groupBy("cell_id").agg(F.max_by("value", place).alias("value"))
+        best = F.max_by("value", F.when(usable, place))
     if max_rows is None:
-        return mapped
-    seen = layer.agg(F.count(F.lit(1)).alias("c")).scalar()
-    return (mapped.withColumn("_seen", seen)
-            .where(F.when(F.col("_seen") > max_rows,
-                          F.raise_error(F.lit(f"row cap {max_rows} exceeded")).cast("boolean"))
-                   .otherwise(F.lit(True)))
-            .drop("_seen"))
+        return rows.where(usable).groupBy("cell_id").agg(best.alias("value"))
+    # Counted in the same pass: the total is taken from the map's own shuffle. It is shared
+    # only while both uses need the same columns and neither has a filter of its own below
+    # it, hence the value in the subquery and the test on value and count further down.
+    counted = rows.groupBy("cell_id").agg(best.alias("value"), F.count(F.lit(1)).alias("_c"))
+    seen = counted.agg(F.struct(F.sum("_c").alias("c"), F.max("value")).alias("s")).scalar()["c"]
+    too_many = F.raise_error(F.lit(f"row cap {max_rows} exceeded")).cast("double")
+    checked = F.when((F.col("_seen") > max_rows) & (F.col("_c") > 0), too_many).otherwise(value)
+    return (counted.withColumn("_seen", seen).select("cell_id", checked.alias("value"))
+            .where(value.isNotNull()))
 
 
 def require_rows(mapped: DataFrame) -> DataFrame:

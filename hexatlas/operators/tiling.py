@@ -85,8 +85,14 @@ def one_tile(located: DataFrame, z: int, x: int, y: int, edge_deg: float,
         cells.in_tile(f"{edge_deg * edges!r}D", *(str(int(v)) for v in (z, x, y))))
 
 
-def count_copies(layer: DataFrame) -> DataFrame:
-    """Equal rows as one row with ``_copies``; no shuffle when already grouped by cell."""
+def count_copies(layer: DataFrame, unique: bool = False) -> DataFrame:
+    """Equal rows as one row with ``_copies``.
+
+    No shuffle when the layer is already grouped by cell, nor when it is known to have
+    ``unique`` cells, as those of a precomputed index are.
+    """
+    if unique:
+        return layer.withColumn("_copies", F.lit(1).cast("bigint"))
     return layer.groupBy("cell_id", "value", "n").agg(F.count(F.lit(1)).alias("_copies"))
 
 
@@ -219,7 +225,7 @@ def prune_one_tile(source: DataFrame, system: CellSystem, z: int, x: int, y: int
 
 
 def layer_tiles(layers: list[tuple[DataFrame, int, dict[int, int]]], system: CellSystem,
-                cap: int | None = MAX_ROWS_PER_TILE) -> DataFrame:
+                cap: int | None = MAX_ROWS_PER_TILE, unique: bool = False) -> DataFrame:
     """Checked layers to capped tile records.
 
     Each layer comes with the resolution of its cells and, per zoom, the resolution whose
@@ -228,7 +234,7 @@ def layer_tiles(layers: list[tuple[DataFrame, int, dict[int, int]]], system: Cel
     """
     parts = []
     for layer, res, zooms in layers:
-        rows = layer if cap is None else count_copies(layer)
+        rows = layer if cap is None else count_copies(layer, unique)
         located = system.with_centroid(rows, res).where("lng IS NOT NULL AND lat IS NOT NULL")
         parts.append(aimed(located, list(zooms), {z: system.edge_deg(r) for z, r in zooms.items()}))
     tiled = to_tiles(reduce(DataFrame.unionByName, parts))

@@ -23,24 +23,27 @@ def checked_res(z: float, res: int | None) -> int:
 
 
 def pyramid(layer: Layer, system: CellSystem, zooms: list[int], res: int | None = None,
-            cap: int | None = MAX_ROWS_PER_TILE, top: int = MAX_RES) -> DataFrame:
+            cap: int | None = MAX_ROWS_PER_TILE, top: int = MAX_RES,
+            unique: bool = False) -> DataFrame:
     """Records of every tile of the zooms. Zooms that share a resolution share one scan.
 
-    ``top`` is the finest resolution the layer has: deeper zooms draw those cells.
+    ``top`` is the finest resolution the layer has: deeper zooms draw those cells. Say
+    ``unique`` when no cell repeats, as in a layer of the diversity store.
     """
     by_res: dict[int, dict[int, int]] = defaultdict(dict)
     for z in zooms:
         drawn = checked_res(z, res)
         by_res[min(drawn, top)][z] = drawn
-    return layer_tiles([(hex_layer(layer(r)), r, zs) for r, zs in sorted(by_res.items())], system, cap)
+    return layer_tiles([(hex_layer(layer(r)), r, zs) for r, zs in sorted(by_res.items())], system, cap, unique)
 
 
 def single_tile(layer: Layer, system: CellSystem, z: int, x: int, y: int,
-                res: int | None = None, cap: int = MAX_ROWS_PER_TILE, top: int = MAX_RES) -> DataFrame:
+                res: int | None = None, cap: int = MAX_ROWS_PER_TILE, top: int = MAX_RES,
+                unique: bool = False) -> DataFrame:
     """Records ``h3id, value, n`` of one tile."""
     drawn = checked_res(z, res)
     r = min(drawn, top)
-    rows = system.with_centroid(count_copies(hex_layer(layer(r))), r)
+    rows = system.with_centroid(count_copies(hex_layer(layer(r)), unique), r)
     inside = one_tile(rows, z, x, y, system.edge_deg(drawn)).drop("lng", "lat")
     at = {c: F.lit(v) for c, v in zip(TILE, (z, x, y))}
     return cap_tiles(inside.withColumns(at), cap).select(
@@ -58,4 +61,4 @@ def stored_tile(spark: SparkSession, base: str, metric: str, system: CellSystem,
     layer = index_store.layer(
         spark, base, metric, system,
         scan=lambda df: prune_one_tile(df, system, z, x, y, drawn), **filters)
-    return single_tile(layer, system, z, x, y, res, top=max(INDEX_RESOLUTIONS))
+    return single_tile(layer, system, z, x, y, res, top=max(INDEX_RESOLUTIONS), unique=True)

@@ -17,6 +17,11 @@ DEFAULTS = {
     # a tile's covering set is an IN list: test each id against row groups, not one wide range
     "spark.sql.parquet.pushdown.inFilterThreshold": "256",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # host state grows with the fleet: keep it on disk, not on the heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # call-site capture costs more than building most of these expressions
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -179,3 +179,12 @@ def test_parity(spark):
     assert tuple(parity_totals(tile_parity(a, a, ["v"])).head()) == (1, 1, 0)
     nulls = a.withColumn("v", F.lit(None).cast("int"))
     assert tile_parity(nulls, nulls, ["v"]).head()["differing"] == 0
+
+
+def test_the_row_cap_needs_no_second_scan(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 50 + 1 cell_id", "id * 1D value", "id seq").write.parquet(str(tmp_path / "l"))
+    mapped = R.value_map(spark.read.parquet(str(tmp_path / "l")), order="seq", unique_order=True, max_rows=1000)
+    assert mapped.count() == 50
+    mapped.collect()
+    final = mapped._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")
+    assert "ReusedExchange" in mapped._jdf.queryExecution().executedPlan().toString() and len(final) > 1
