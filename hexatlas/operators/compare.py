@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from hexatlas.operators.ranking import hashed_splits, with_bucket
+
 TOLERANCE = 1e-9
+# copies of one record are written out this many at a time
+CHUNK = 1_000_000
 _NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
@@ -19,14 +23,40 @@ def type_mismatches(left: DataFrame, right: DataFrame, keys: list[str]) -> list[
     return [c for c in shared if a[c] != b[c] and not (_is_number(a[c]) and _is_number(b[c]))]
 
 
+def _positions(records: DataFrame) -> DataFrame:
+    """One row per copy of ``_k, _is_left, _rec, _c`` with its place ``_i`` within key and side.
+
+    Places follow record order. Records are cut into buckets at split points drawn from the
+    data and ranked by weight inside (key, side, bucket); a key with a third of all rows is
+    many tasks. Copies take consecutive places and are only written out afterwards, in
+    chunks, so a record repeated a billion times is ranked as one row.
+    """
+    within = ["_k", "_is_left", "_bucket"]
+    bucketed = with_bucket(records, "_rec", hashed_splits(records, "_rec"))
+    # at most one row per bucket for each key and side
+    earlier = (Window.partitionBy("_k", "_is_left").orderBy("_bucket")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = (bucketed.groupBy(*within).agg(F.sum("_c").alias("_w"))
+               .select(*within, F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_before")))
+    upto = F.sum("_c").over(Window.partitionBy(*within).orderBy("_rec")
+                            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = (bucketed.join(offsets, within)
+              .withColumn("_first", F.col("_before") + upto - F.col("_c")))
+    return (placed
+            .withColumn("_start", F.expr(f"explode(sequence(0L, _c - 1L, {CHUNK}L))"))
+            .withColumn("_j", F.expr(f"explode(sequence(_start, least(_start + {CHUNK}L, _c) - 1L))"))
+            .select("_k", "_is_left", "_rec", (F.col("_first") + F.col("_j")).alias("_i")))
+
+
 def result_diff(left: DataFrame, right: DataFrame, keys: list[str],
-                tolerance: float = TOLERANCE) -> DataFrame:
+                tolerance: float = TOLERANCE, unique_keys: bool = False) -> DataFrame:
     """Differences between two result sets as ``keys..., field, kind, a, b``; empty = parity.
 
     ``kind`` is ``missing_left``, ``missing_right`` (a record or a whole column on one side
     only), ``count`` (a key repeated unequally often), ``type`` or ``value``. Rows equal on
     both sides cancel in one aggregation that combines before its shuffle, however often
-    they repeat; only what is left over is matched by key.
+    they repeat. What is left is compared by key, and repeats of a key by position; say
+    ``unique_keys`` when no side repeats a key, and nothing needs a position.
     """
     a_types, b_types = dict(left.dtypes), dict(right.dtypes)
     fields = [c for c in left.columns if c in b_types and c not in keys]
@@ -34,50 +64,48 @@ def result_diff(left: DataFrame, right: DataFrame, keys: list[str],
     compared = [c for c in fields if c not in mistyped]
 
     def kind_of(c: str) -> str:
-        if a_types[c] == b_types[c]:
-            return a_types[c]
-        return "double"
+        return a_types[c] if a_types[c] == b_types[c] else "double"
+
+    # keys travel as one struct, which is never NULL even when a key is
+    record = F.struct(*[F.col(c).cast(kind_of(c)).alias(c) for c in compared]) if compared \
+        else F.struct(F.lit(0).alias("_none"))
 
     def side(df: DataFrame, sign: int) -> DataFrame:
-        return df.select(*keys, *[F.col(c).cast(kind_of(c)).alias(c) for c in compared],
-                         F.lit(sign).alias("_sign"))
-
-    net = (side(left, 1).unionByName(side(right, -1))
-           .groupBy(*keys, *compared).agg(F.sum("_sign").alias("_net"))
-           .where(F.col("_net") != 0))
-    record = F.struct(*compared) if compared else F.struct(F.lit(0).alias("_none"))
-    left_over = net.select(
-        *keys, record.alias("_rec"), (F.col("_net") > 0).alias("_is_left"),
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_net"))).alias("_copy")).drop("_copy")
-
-    # sizes, positions and pairs all need the same partitioning by key: one shuffle
-    of_key = Window.partitionBy(*keys)
-    placed = left_over.withColumns({
-        "_na": F.sum(F.col("_is_left").cast("bigint")).over(of_key),
-        "_nb": F.sum((~F.col("_is_left")).cast("bigint")).over(of_key),
-    }).withColumn("_i", F.row_number().over(
-        Window.partitionBy(*keys, "_is_left").orderBy("_rec")))
-    paired = placed.groupBy(*keys, "_i").agg(
-        F.max(F.when(F.col("_is_left"), F.col("_rec"))).alias("_a"),
-        F.max(F.when(~F.col("_is_left"), F.col("_rec"))).alias("_b"),
-        F.max("_na").alias("_na"), F.max("_nb").alias("_nb"))
+        return df.select(F.struct(*keys).alias("_k"), record.alias("_rec"), F.lit(sign).alias("_sign"))
+
+    excess = (side(left, 1).unionByName(side(right, -1))
+              .groupBy("_k", "_rec").agg(F.sum("_sign").alias("_net"))
+              .where(F.col("_net") != 0)
+              .select("_k", "_rec", (F.col("_net") > 0).alias("_is_left"), F.abs("_net").alias("_c")))
+    sizes = excess.groupBy("_k").agg(
+        F.sum(F.when(F.col("_is_left"), F.col("_c")).otherwise(0)).alias("_na"),
+        F.sum(F.when(F.col("_is_left"), 0).otherwise(F.col("_c"))).alias("_nb"))
 
-    unequal = F.col("_na") != F.col("_nb")
     one_sided = F.when(F.col("_na") == 0, "missing_left").when(F.col("_nb") == 0, "missing_right") \
         .otherwise("count")
-    found = [F.when(unequal & (F.col("_i") == 1), F.struct(
-        F.lit("").alias("field"), one_sided.alias("kind"),
-        F.col("_na").cast("string").alias("a"), F.col("_nb").cast("string").alias("b")))]
+    uneven = sizes.where("_na <> _nb").select(
+        "_k", F.lit("").alias("field"), one_sided.alias("kind"),
+        F.col("_na").cast("string").alias("a"), F.col("_nb").cast("string").alias("b"))
+
+    even = excess.join(sizes.where("_na = _nb").select("_k"), "_k", "left_semi")
+    placed = even.withColumn("_i", F.lit(0)) if unique_keys else _positions(even)
+    paired = placed.groupBy("_k", "_i").agg(
+        F.max(F.when(F.col("_is_left"), F.col("_rec"))).alias("_a"),
+        F.max(F.when(~F.col("_is_left"), F.col("_rec"))).alias("_b"))
+    found = []
     for c in compared:
         x, y = F.col(f"_a.{c}"), F.col(f"_b.{c}")
         same = x.eqNullSafe(y)
         if kind_of(c) in ("double", "float"):
             same = same | F.coalesce(F.abs(x - y) <= tolerance, F.lit(False))
-        found.append(F.when(~unequal & ~same, F.struct(
+        found.append(F.when(~same, F.struct(
             F.lit(c).alias("field"), F.lit("value").alias("kind"),
             x.cast("string").alias("a"), y.cast("string").alias("b"))))
-    rows = paired.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("d")) \
-        .select(*keys, "d.field", "d.kind", "d.a", "d.b")
+    rows = uneven
+    if found:
+        valued = paired.select("_k", F.explode(F.array_compact(F.array(*found))).alias("d"))
+        rows = uneven.unionByName(valued.select("_k", "d.field", "d.kind", "d.a", "d.b"))
+    rows = rows.select(*[F.col(f"_k.{k}").alias(k) for k in keys], "field", "kind", "a", "b")
 
     # differences of shape hold for the whole table: one row each, with empty keys
     shape = [(c, "missing_right", a_types[c], None) for c in left.columns if c not in b_types] + \

@@ -26,7 +26,7 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
              .groupBy(S.cell_of_customer(F.col("o_custkey"), 5).alias("cell_id"))
              .agg((F.sum(S.cents(F.col("o_totalprice"))).cast("double") / F.count(F.lit(1)) / 100).alias("value"),
                   F.count(F.lit(1)).alias("n")))
-    return result_diff(S.order_layer(spark, sf, 5), other, ["cell_id"]).select("cell_id", "field", "kind")
+    return result_diff(S.order_layer(spark, sf, 5), other, ["cell_id"], unique_keys=True).select("cell_id", "field", "kind")
 
 
 @query("J6_parity_of_copies", "SELECT 2*count(*) AS compared, 0::BIGINT AS differences FROM orders")

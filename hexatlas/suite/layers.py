@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexatlas.functions import cells, keys
-from hexatlas.functions.values import clamp_res, finite, json_safe
+from hexatlas.functions.values import clamp_res, json_safe
 from hexatlas.operators import layers as L
 from hexatlas.operators.raster import value_map
 from hexatlas.operators.requests import decoded_requests, request_counts

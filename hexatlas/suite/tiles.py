@@ -13,7 +13,7 @@ from hexatlas.plans.hex_tiles import pyramid, single_tile
 from hexatlas.session import scratch_path
 from hexatlas.sources.stores import write_tile_documents
 from hexatlas.suite.base import (
-    cell_sql, hexed, lat_of, layer_sql, lng_of, located_sql, north_sql, query, risen, tiled_sql,
+    cell_sql, hexed, lat_of, lng_of, north_sql, query, risen, tiled_sql,
     tiles_sql, turned)
 
 

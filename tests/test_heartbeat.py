@@ -14,7 +14,7 @@ def at(minute, second=0):
 
 def beat(host, ts, web="up"):
     return {"timestamp": ts, "hostname": host, "uptime_since": "x", "disk_free": "1T", "mem_free": "8G",
-            "services": {"caddy": web, "shiny": "up"}}
+            "services": {"web": web, "apps": "up"}}
 
 
 def frame(spark, beats):
@@ -27,7 +27,7 @@ def instant(text):
 
 def test_latest(spark):
     df = frame(spark, [beat("a", at(5)), beat("a", at(9), "last"), beat("a", at(7)), beat("a", "junk"), beat("b", None)])
-    got = {r["hostname"]: (r["timestamp"], r["services"]["caddy"]) for r in H.latest_beats(df).collect()}
+    got = {r["hostname"]: (r["timestamp"], r["services"]["web"]) for r in H.latest_beats(df).collect()}
     assert got == {"a": (at(9), "last"), "b": (None, "up")}
 
 
@@ -43,7 +43,7 @@ def test_status_kinds(spark):
     rows = {r["hostname"]: r for r in H.host_status(H.latest_beats(df), hosts, instant(at(62))).collect()}
     assert {h: r["status"] for h, r in rows.items()} == {
         "ok": "OK", "down": "DOWN", "empty": "PARSE ERROR", "none": "PARSE ERROR", "junk": "PARSE ERROR", "gone": "MISSING"}
-    assert rows["down"]["services"] == {"caddy": "exited", "shiny": "up"} and rows["ok"]["services"] is None
+    assert rows["down"]["services"] == {"web": "exited", "apps": "up"} and rows["ok"]["services"] is None
     assert rows["down"]["age_min"] == 52
 
 

@@ -54,13 +54,12 @@ def test_query_text():
 
 def test_sql_layers(spark):
     obs = spark.createDataFrame([(1, 10, 2.0, 42), (1, 10, 4.0, 42), (2, 20, 9.0, 7)],
-                                "hex_h3res5 bigint, hex_h3res4 bigint, std_tally double, species_id int")
-    text = "SELECT hex_h3res{{res}} AS cell_id, AVG(std_tally) AS value, COUNT(*) AS n FROM bio_obs WHERE species_id = 42 GROUP BY 1"
-    layer = L.sql_layer(spark, text, bio_obs=obs)
+                                "hex_h3res5 bigint, hex_h3res4 bigint, depth double, gear int")
+    text = "SELECT hex_h3res{{res}} AS cell_id, avg(depth) AS value, count(1) AS n FROM hauls WHERE gear = 42 GROUP BY 1"
+    layer = L.sql_layer(spark, text, hauls=obs)
     assert [tuple(r) for r in L.hex_layer(layer(5)).collect()] == [(1, 3.0, 2)]
     assert [tuple(r) for r in L.hex_layer(layer(4)).collect()] == [(10, 3.0, 2)]
-    literal = L.sql_layer(spark, "SELECT * FROM (VALUES (599405990948208639::BIGINT, 1.5, 10::BIGINT), "
-                                 "(599405991417970687::BIGINT, 2.5, 4::BIGINT)) AS t(cell_id, value, n)")
+    literal = L.sql_layer(spark, "SELECT * FROM VALUES (11::BIGINT, 0.25, 3), (12::BIGINT, 0.75, 1) AS v(cell_id, value, n)")
     assert L.hex_layer(literal(5)).count() == 2
     with pytest.raises(L.LayerContractError):
         L.hex_layer(L.sql_layer(spark, "SELECT 1 AS cell_id, 2 AS v")(5))
@@ -96,14 +95,14 @@ def test_a_long_request_is_decoded_whole(spark):
 
 
 def test_keys(spark):
-    df = spark.createDataFrame([("db1", "q", 1, 2, 3, 5, None, "mt")],
+    df = spark.createDataFrame([("main", "text", 4, 9, 6, 3, None, "17.25")],
                                "db string, q string, z int, x int, y int, r int, rel string, m string")
     c = F.col
     tile = df.select(keys.tile_key(c("db"), c("q"), c("z"), c("x"), c("y"), c("r"), c("rel"), c("m"))).head()[0]
     stats = df.select(keys.summary_key(c("db"), c("q"), c("rel"), c("m"))).head()[0]
     other = df.select(keys.summary_key(c("db"), c("q"), c("rel"), c("m"), c("r"))).head()[0]
-    assert tile == hashlib.sha256(b"db1|q|1|2|3|5||mt").hexdigest()
-    assert stats == hashlib.sha256(b"stats|db1|q||mt").hexdigest() and other != stats
+    assert tile == hashlib.sha256(b"main|text|4|9|6|3||17.25").hexdigest()
+    assert stats == hashlib.sha256(b"stats|main|text||17.25").hexdigest() and other != stats
 
 
 def test_canonical_urls(spark):
@@ -146,7 +145,7 @@ def test_summaries(spark):
 
 @pytest.mark.parametrize("splits", [1, 5, 127])
 def test_dense_ids(spark, splits):
-    names = [f"ms_merge|{(i * 7919) % 1000:04d}" for i in range(700)] * 3 + [None]
+    names = [f"model|{(i * 7919) % 1000:04d}" for i in range(700)] * 3 + [None]
     df = spark.createDataFrame([(n,) for n in names], "k string")
     got = {r["k"]: r["i"] for r in dense_ids(df, "k", "i", splits=splits).collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted({n for n in names if n}))}
