@@ -129,9 +129,9 @@ def tier_for(res: int, tiers: list[int] = STORE_TIERS) -> int:
     return min((t for t in tiers if t >= res), default=max(tiers))
 
 
-def live_index(store: DataFrame, res: int, system: CellSystem | None = None,
-               taxa: DataFrame | None = None, years: tuple[int, int] | None = None,
-               where: Column | None = None) -> DataFrame:
+def live_index(store: DataFrame, res: int, taxa: DataFrame | None = None,
+               years: tuple[int, int] | None = None, where: Column | None = None,
+               system: CellSystem | None = None) -> DataFrame:
     """Indices from the occurrence store for any taxon set and year range.
 
     A resolution between the tiers is rolled up from the next finer one (give ``system``).
@@ -146,6 +146,8 @@ def live_index(store: DataFrame, res: int, system: CellSystem | None = None,
         rows = of_taxa(rows, taxa)
     cell = F.col("cell_id")
     if res < tier:
+        if system is None:
+            raise ValueError(f"resolution {res} is between tiers: a cell system is needed")
         cell = system.parent(cell, tier, res)
     per_species = rows.groupBy(cell.alias("cell_id"), "aphiaid").agg(
         F.sum("records").alias("records"))

@@ -60,6 +60,6 @@ def layer(spark: SparkSession, base: str, metric: str, system: CellSystem | None
             return as_layer(rows)
         where = None if taxon is None else F.col(taxon[0]) == taxon[1]
         store = scan(spark.read.parquet(f"{base}/occ_h3"))
-        return as_layer(D.live_index(store, r, system, taxa, years, where))
+        return as_layer(D.live_index(store, r, taxa, years, where, system))
 
     return at

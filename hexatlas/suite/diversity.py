@@ -113,4 +113,4 @@ def live(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT {cell_sql('k', 4)} AS cell_id, aphiaid, 1 AS w FROM occ WHERE class='SMALL'", "cell_id"))
 def live_between(spark: SparkSession, sf: str) -> DataFrame:
     kept = D.occurrence_store(S.occurrences(spark, sf), S.LATTICE, FINEST)
-    return rounded(D.live_index(kept, 4, S.LATTICE, where=F.col("class") == "SMALL"))
+    return rounded(D.live_index(kept, 4, where=F.col("class") == "SMALL", system=S.LATTICE))
