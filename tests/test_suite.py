@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare
+from hexatlas.suite import QUERIES
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -15,7 +16,7 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_every_query_has_expected_sql():
-    assert set(entry.oracle_sql()) == set(NAMES)
+    assert set(NAMES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
