@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline, each with its registered query."""
 
 from hexatlas.llm.base import ORACLES, QUERIES
-from hexatlas.llm import decontamination, merkle, mixing, quality, simhash, warc  # noqa: F401
+from hexatlas.llm import decontamination, merkle, mixing, quality, simhash, toxicity, warc  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES"]
