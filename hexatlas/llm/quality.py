@@ -16,7 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from hexatlas.llm.base import query, table
 
@@ -128,18 +129,21 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMP
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
     """``docs`` with ``expected_grade`` and ``tails`` (``P(grade > k)`` for each k from 0).
 
-    Columns of these names are replaced; all others, the text included, are passed through.
+    Columns of these names are replaced; all others, the text included, go through as they are.
     """
     kept = [c for c in docs.columns if c not in ("expected_grade", "tails")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tails = np.concatenate([model.tails(features(t)[None, :]) for t in b["text"]]) if len(b) else np.zeros((0, 1))
-            yield b.assign(expected_grade=tails.sum(axis=1), tails=list(tails))
+            texts = b.column(kept.index("text")).to_pylist()
+            tails = [model.tails(features(t)[None, :])[0] for t in texts]
+            grades = pa.array([float(t.sum()) for t in tails], pa.float64())
+            lists = pa.array([t.tolist() for t in tails], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, grades, lists], [*kept, "expected_grade", "tails"])
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-                       + ["expected_grade double", "tails array<double>"])
-    return docs.select(*kept).mapInPandas(run, schema)
+    out = T.StructType([*[docs.schema[c] for c in kept], T.StructField("expected_grade", T.DoubleType()),
+                        T.StructField("tails", T.ArrayType(T.DoubleType()))])
+    return docs.select(*kept).mapInArrow(run, out)
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:
@@ -161,6 +165,15 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
                          F.col("tails")[1].alias("p_above_1"), (F.col("tails")[0] >= KEEP).alias("keep"))
 
 
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose grade is more likely above the lowest than not, as they were."""
+    model = train(docs, ratings_of(labels), GRADES)
+    names = docs.columns
+    plain = docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(names) if c != "text"})
+    scored = score(plain, model).where(F.col("tails")[0] >= KEEP).drop("expected_grade", "tails")
+    return scored.withColumnsRenamed({f"_{i}": c for i, c in enumerate(names) if c != "text"}).select(*names)
+
+
 @query("op9_quality")
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -338,6 +338,23 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", with_text: bool = F
     return result
 
 
+def without_repeats(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text`` and ``n_chars``, if there is one, counted anew.
+
+    A document of which nothing is left goes; one that had no text stays. Other columns are kept.
+    """
+    found = deduplicated(docs.select(id_column, "text"), id_column, with_text=True)
+    changed = found.where(F.col("n_removed") > 0).select(
+        F.col("key").alias("_key"), F.col("kept").alias("_kept")).dropDuplicates(["_key"])
+    keyed = docs.withColumn("_own", F.xxhash64(F.col(id_column), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    both = keyed.join(changed, F.col("_own") == F.col("_key"), "left").where(F.col("_kept").isNull() | (F.col("_kept") != ""))
+    text = F.coalesce(F.col("_kept"), F.col("text"))
+    counted = {"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept"))} \
+        if "n_chars" in docs.columns else {}
+    return both.withColumns({**counted, "text": text}).select(
+        *[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
 @query("op7_substrings")
 def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key")
