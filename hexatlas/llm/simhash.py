@@ -17,7 +17,6 @@ Only distinct fingerprints are compared: copies are one row here, whatever their
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -67,61 +66,57 @@ def with_fingerprint(docs: DataFrame, id_column: str = "doc_id", shingle: int =
     return rows.mapInPandas(run, "doc_id long, fp long")
 
 
-def _without(value: Column, *bits: int) -> Column:
-    mask = 0
-    for b in bits:
-        mask |= 1 << b
-    return value.bitwiseAND(F.lit(np.uint64(~mask & (2**64 - 1)).astype(np.int64).item()))
-
-
 def _segment(value: Column, low: bool) -> Column:
     mask = 0xFFFFFFFF if low else 0xFFFFFFFF << 32
     return value.bitwiseAND(F.lit(np.uint64(mask).astype(np.int64).item()))
 
 
+def _bit(slot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), slot)
+
+
 def variants(fps: DataFrame) -> DataFrame:
     """``slot, key, fp``: the 64 one-wildcard segment variants of each fingerprint.
 
     Slot names the bit left out, and with it the segment.
     """
-    each = [F.struct(F.lit(i).alias("slot"), _without(_segment(F.col("fp"), i < 32), i).alias("key"))
-            for i in range(64)]
-    return fps.select("fp", F.explode(F.array(*each)).alias("v")).select("v.slot", "v.key", "fp")
+    each = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("slot"))
+    segment = F.when(F.col("slot") < 32, _segment(F.col("fp"), True)).otherwise(_segment(F.col("fp"), False))
+    return each.select("slot", segment.bitwiseAND(F.bitwise_not(_bit(F.col("slot")))).alias("key"), "fp")
+
+
+def _members(fps: DataFrame, groups: DataFrame) -> DataFrame:
+    """``slot, key, n, fp``: the fingerprints of some variants (``slot, key, n``).
+
+    A variant stands for two values of its segment, so fingerprints are met by their two
+    segments instead of by their 64 variants again.
+    """
+    both = groups.select("slot", "key", "n", (F.col("slot") < 32).alias("low"), F.explode(
+        F.array("key", F.col("key").bitwiseOR(_bit(F.col("slot"))))).alias("segment"))
+    own = fps.select("fp", F.lit(True).alias("low"), _segment(F.col("fp"), True).alias("segment")).union(
+        fps.select("fp", F.lit(False).alias("low"), _segment(F.col("fp"), False).alias("segment")))
+    return own.join(both, ["low", "segment"]).select("slot", "key", "n", "fp")
 
 
 def _two_wildcards(members: DataFrame) -> DataFrame:
     """Star links of the members (``slot, fp``) of large variants.
 
     Where the segment of the slot agrees but for the slot's bit, the rest may differ in one bit
-    (keys: slot and any bit of the other segment) or, if the slot's bit agrees as well, in two
-    bits of the other segment.
+    (keys: the slot and any bit of the other segment) or, if the slot's bit agrees as well, in
+    two bits of the other segment.
     """
-    def pairs(low: bool) -> Column:
-        other = range(32, 64) if low else range(32)
-        exact = [F.struct(F.lit(i * 64 + j).alias("slot"), _without(F.col("fp"), i, j).alias("key"))
-                 for i, j in combinations(other, 2)]
-        return F.array(*exact)
-
-    def crossed() -> Column:
-        low = F.col("slot") < 32
-        keys = []
-        for k in range(32):
-            j = F.when(low, F.lit(k + 32)).otherwise(F.lit(k))
-            mask = F.expr("shiftleft(1L, slot)").bitwiseOR(
-                F.when(low, F.lit(np.uint64(1 << (k + 32)).astype(np.int64).item())).otherwise(F.lit(1 << k)))
-            slot = F.least(F.col("slot"), j) * 64 + F.greatest(F.col("slot"), j)
-            keys.append(F.struct(slot.cast("int").alias("slot"),
-                                 F.col("fp").bitwiseAND(F.bitwise_not(mask)).alias("key")))
-        return F.array(*keys)
-
-    sides = members.select((F.col("slot") < 32).alias("low"), "fp").distinct()
-    keyed = members.select("fp", F.explode(crossed()).alias("v"))
-    for low in (True, False):
-        keyed = keyed.union(sides.where(F.col("low") == low).select("fp", F.explode(pairs(low)).alias("v")))
-    keyed = keyed.select("v.slot", "v.key", "fp")
-    least = keyed.groupBy("slot", "key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")) \
+    other = F.when(F.col("low"), F.lit(32)).otherwise(F.lit(0))
+    sided = members.select("fp", "slot", (F.col("slot") < 32).alias("low"))
+    crossed = sided.select("fp", F.col("slot").alias("i"), F.explode(F.sequence(other, other + 31)).alias("j"))
+    inner = sided.select("fp", "low").distinct().select(
+        "fp", "low", F.explode(F.sequence(other, other + 30)).alias("i")).select(
+        "fp", "i", F.explode(F.sequence(F.col("i") + 1, other + 31)).alias("j"))
+    keyed = crossed.union(inner).select(
+        F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("fp").bitwiseAND(
+            F.bitwise_not(_bit(F.col("i")).bitwiseOR(_bit(F.col("j"))))).alias("key"), "fp")
+    least = keyed.groupBy("i", "j", "key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")) \
         .where(F.col("least") < F.col("most")).drop("most")
-    return keyed.join(least, ["slot", "key"]).where(F.col("fp") != F.col("least")).select(
+    return keyed.join(least, ["i", "j", "key"]).where(F.col("fp") != F.col("least")).select(
         F.col("fp").alias("a"), F.col("least").alias("b"))
 
 
@@ -136,8 +131,7 @@ def links(fps: DataFrame, few: int = FEW) -> DataFrame:
         "simhash-groups")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     two = shared.where(F.col("n") == 2).select("a", "b").where(near)
-    more = shared.where(F.col("n") > 2).select("slot", "key", "n")
-    members = written(variants(fps).join(more, ["slot", "key"]), "simhash-members")
+    members = written(_members(fps, shared.where(F.col("n") > 2).select("slot", "key", "n")), "simhash-members")
     left = members.where(F.col("n") <= few).select("slot", "key", F.col("fp").alias("a"))
     right = left.withColumnRenamed("a", "b")
     several = left.join(right, ["slot", "key"]).where(F.col("a") > F.col("b")).where(near).select("a", "b")
