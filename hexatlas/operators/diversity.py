@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hexatlas.functions.diversity import SAMPLE, expected_species_sql, shannon, simpson
 from hexatlas.functions.systems import CellSystem
 from hexatlas.operators.tiling import PRUNE_RES
+from hexatlas.session import written
 
 # Resolution tiers of the occurrence store, of the indices, and the ranks
 # that have precomputed indices.
@@ -160,21 +161,18 @@ def of_taxa(rows: DataFrame, taxa: DataFrame, key: str = "aphiaid") -> DataFrame
     return rows.join(ids, key, "left_semi")
 
 
-def descendants(taxon: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
-    """All taxa below the roots, the roots included, by recursion over parent ids.
+def descendants(taxon: DataFrame, roots: DataFrame) -> DataFrame:
+    """All taxa below the roots, the roots included, to any depth.
 
-    ``taxon(taxonID, parentNameUsageID)``, ``roots(taxonID)``. A hierarchy larger than the
-    default recursion row limit is legitimate, so the session's limit is lifted.
+    ``taxon(taxonID, parentNameUsageID)``, ``roots(taxonID)``. Each step takes the children
+    of the taxa found last that were not found before, until there are none; steps are
+    tables in the shared folder, so a step is never worked out again and a cycle ends.
     """
-    spark = taxon.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE tree(taxonID, parentNameUsageID) MAX RECURSION LEVEL {int(max_depth)} AS (
-          SELECT t.taxonID, t.parentNameUsageID
-          FROM {{taxon}} t LEFT SEMI JOIN {{roots}} r ON t.taxonID = r.taxonID
-          UNION ALL
-          SELECT t.taxonID, t.parentNameUsageID
-          FROM {{taxon}} t JOIN tree p ON t.parentNameUsageID = p.taxonID)
-        SELECT taxonID, parentNameUsageID FROM tree
-        """, taxon=taxon, roots=roots)
+    pairs = taxon.select("taxonID", "parentNameUsageID")
+    edge = written(pairs.join(roots.select("taxonID").distinct(), "taxonID", "left_semi"), "descendants")
+    found = edge
+    while not edge.isEmpty():
+        below = pairs.join(edge.select(F.col("taxonID").alias("parentNameUsageID")).distinct(), "parentNameUsageID", "left_semi")
+        edge = written(below.join(found.select("taxonID"), "taxonID", "left_anti"), "descendants")
+        found = found.unionByName(edge)
+    return found

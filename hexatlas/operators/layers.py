@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hexatlas.functions.keys import BBOX_SLOT, MAX_REQUEST_BYTES, RES_SLOT
+from hexatlas.functions.keys import BBOX_SLOT, RES_SLOT
 from hexatlas.functions.values import finite, json_safe
 from hexatlas.operators.ranking import exact_percentiles
 
@@ -26,17 +26,15 @@ class LayerContractError(ValueError):
 
 
 def check_contract(df: DataFrame) -> bool:
-    """Check the analysed columns (so ``*`` needs no special rule); True when ``n`` is there."""
-    names = [c.lower() for c in df.columns]
-    if len(set(names)) != len(names):
-        raise LayerContractError(f"repeated output columns: {sorted(names)}")
-    missing = REQUIRED - set(names)
-    if missing:
-        raise LayerContractError(f"missing required output columns: {sorted(missing)}")
-    extra = set(names) - REQUIRED - OPTIONAL
-    if extra:
-        raise LayerContractError(f"unexpected output columns: {sorted(extra)}")
-    return "n" in names
+    """Check the analysed columns (so ``*`` needs no special rule); True when ``n`` is there.
+
+    A layer has one of two shapes, compared as a whole and whatever the order of columns.
+    """
+    shape = sorted(c.lower() for c in df.columns)
+    for with_n in (False, True):
+        if shape == sorted(REQUIRED | (OPTIONAL if with_n else set())):
+            return with_n
+    raise LayerContractError(f"a layer is (cell_id, value) with or without n, not ({', '.join(shape)})")
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -73,21 +71,18 @@ def sql_text(template: str, res: int) -> str:
     """Fill the resolution slots of a query text and drop the retired box slot."""
     if not template:
         raise ValueError("empty query text")
-    text = re.sub(BBOX_SLOT, "", re.sub(RES_SLOT, str(int(res)), template))
-    size = len(text.encode("utf-8"))
-    if size > MAX_REQUEST_BYTES:
-        raise ValueError(f"query text too large ({size} > {MAX_REQUEST_BYTES})")
-    return text
+    return re.sub(BBOX_SLOT, "", re.sub(RES_SLOT, str(int(res)), template))
 
 
 def sql_layer(spark: SparkSession, template: str, **views: DataFrame) -> Layer:
     """A layer from query text over registered views; Spark parses and rejects.
 
-    ``views`` are registered as temporary views first, under their keyword names.
+    ``views`` are registered as temporary views first, under their keyword names. The text
+    is wrapped as a subquery, so a command (which has none) fails to parse and is not run.
     """
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return lambda res: spark.sql(sql_text(template, res))
+    return lambda res: spark.sql(f"SELECT * FROM (\n{sql_text(template, res)}\n)")
 
 
 def cell_aggregate(rows: DataFrame, cell: Column, value: Column, how: str = "avg",

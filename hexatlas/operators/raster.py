@@ -10,19 +10,16 @@ from hexatlas.functions import colour
 from hexatlas.functions.values import finite
 from hexatlas.operators.tiling import TILE
 
-# Limit on layer rows, tile side in pixels.
-MAX_MAP_ROWS = 1_000_000
+# Fixed value: tile side in pixels.
 TILE_PIXELS = 256
 
 
-def value_map(layer: DataFrame, order: str | None = None, unique_order: bool = False,
-              max_rows: int | None = MAX_MAP_ROWS) -> DataFrame:
+def value_map(layer: DataFrame, order: str | None = None, unique_order: bool = False) -> DataFrame:
     """One finite value per positive ``cell_id``.
 
     With ``order`` the row that comes last wins, and of rows that share the last place the
     greatest value; without it the greatest value does. Say ``unique_order`` when no two
-    rows of a cell share a place: the aggregation then needs no sort. More than
-    ``max_rows`` input rows, counted before filtering, fail the job; None lifts the limit.
+    rows of a cell share a place: the aggregation then needs no sort.
     """
     cell, value = F.col("cell_id"), F.col("value")
     rows = layer.select(cell.cast("bigint").alias("cell_id"), value.cast("double").alias("value"),
@@ -34,17 +31,7 @@ def value_map(layer: DataFrame, order: str | None = None, unique_order: bool = F
         # rows without a place are never picked
         place = F.col("_o") if unique_order else F.struct("_o", "value")
         best = F.max_by("value", F.when(usable, place))
-    if max_rows is None:
-        return rows.where(usable).groupBy("cell_id").agg(best.alias("value"))
-    # Counted in the same pass: the total is taken from the map's own shuffle. It is shared
-    # only while both uses need the same columns and neither has a filter of its own below
-    # it, hence the value in the subquery and the test on value and count further down.
-    counted = rows.groupBy("cell_id").agg(best.alias("value"), F.count(F.lit(1)).alias("_c"))
-    seen = counted.agg(F.struct(F.sum("_c").alias("c"), F.max("value")).alias("s")).scalar()["c"]
-    too_many = F.raise_error(F.lit(f"row cap {max_rows} exceeded")).cast("double")
-    checked = F.when((F.col("_seen") > max_rows) & (F.col("_c") > 0), too_many).otherwise(value)
-    return (counted.withColumn("_seen", seen).select("cell_id", checked.alias("value"))
-            .where(value.isNotNull()))
+    return rows.where(usable).groupBy("cell_id").agg(best.alias("value"))
 
 
 def require_rows(mapped: DataFrame) -> DataFrame:
@@ -54,18 +41,16 @@ def require_rows(mapped: DataFrame) -> DataFrame:
     return mapped
 
 
-def lookup(pixels: DataFrame, mapped: DataFrame, bounded: bool = False,
-           scatter: int = 4096) -> DataFrame:
+def lookup(pixels: DataFrame, mapped: DataFrame, scatter: int = 4096) -> DataFrame:
     """Add ``value`` to each pixel; NaN for ids at or below zero and for unknown ids.
 
     Empty pixels share one id and can be most of a raster. They can match nothing, so they
-    are given one of ``scatter`` negative keys and spread over all tasks. Say ``bounded``
-    only for a map made with a row limit: its limit is then what permits the broadcast.
+    are given one of ``scatter`` negative keys and spread over all tasks.
     """
     empty = -(F.pmod(F.xxhash64(*pixels.columns), F.lit(scatter)) + 1)
     keyed = pixels.withColumn("_key", F.when(F.col("cell_id") > 0, F.col("cell_id")).otherwise(empty))
     values = mapped.select(F.col("cell_id").alias("_key"), "value")
-    joined = keyed.join(F.broadcast(values) if bounded else values, "_key", "left").drop("_key")
+    joined = keyed.join(values, "_key", "left").drop("_key")
     return joined.withColumn("value", F.coalesce("value", F.lit(float("nan"))))
 
 
@@ -148,9 +133,6 @@ def tile_pixels(raster: DataFrame, z: int, left: float, top: float, step_x: floa
     x, y = tile or (None, None)
     cols = axis(F.floor((lng - left) / step_x), "col", "x", "px", x)
     rows = axis(F.floor((top - lat) / step_y), "row", "y", "py", y)
-    if z <= 10 or tile:
-        # at most 262,144 rows each
-        cols, rows = F.broadcast(cols), F.broadcast(rows)
     return (raster.join(cols, "col").join(rows, "row")
             .select(F.lit(z).alias("z"), "x", "y", "px", "py", "cell_id",
                     F.when(F.col("cell_id") != 0, 255).otherwise(0).alias("mask")))

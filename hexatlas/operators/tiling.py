@@ -9,20 +9,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hexatlas.functions import cells
 from hexatlas.functions.systems import CellSystem
 
-# Tile buffer and covering buffer in cell edges, row and covering limits,
-# resolution of the stored prune column, polar limit of a covering box in degrees.
+# Tile buffer and covering buffer in cell edges, resolution of the stored
+# prune column, polar limit of a covering box in degrees.
 TILE_BUFFER_EDGES = 1.5
 COVER_BUFFER_EDGES = 2.0
-MAX_ROWS_PER_TILE = 50_000
-MAX_COVER_CELLS = 2_048
 PRUNE_RES = 3
 POLAR_LIMIT = 89.9
 
 TILE = ["z", "x", "y"]
 # Candidate tiles are taken this much too wide; the exact test follows.
 SLACK = 1e-9
-# Coarse dimensions up to this exact size may be broadcast (id and two doubles each).
-BROADCAST_CELLS = 100_000
 
 
 def _columns() -> Column:
@@ -105,29 +101,39 @@ def _first_rows(rows: DataFrame, group: list[str], cap: int) -> DataFrame:
             .withColumn("_copies", F.least(F.col("_copies"), room)).drop("_upto"))
 
 
-def cap_tiles(tiled: DataFrame, cap: int = MAX_ROWS_PER_TILE, salts: int = 64) -> DataFrame:
-    """Keep the first ``cap`` rows of each tile by cell id; rows carry ``_copies``.
+def cap_tiles(tiled: DataFrame, cap: int, salts: int = 64) -> DataFrame:
+    """Keep the first ``cap`` rows of each tile by cell id, with the tile's ``n_total`` rows.
 
-    At low zoom one tile holds the whole layer. Ranking inside (tile, salt) first leaves
-    at most ``salts * cap`` rows for the final ranking of any tile, and keeps exactly the
-    same rows, because a row among the first ``cap`` of its tile is among the first
-    ``cap`` of its salt. Copies of a row are counted, never spread, so a heavily repeated
-    row is one row here and is written out again only up to the cap.
+    Input rows carry ``_copies``; ``n_total`` shows where a tile was cut. At low zoom one
+    tile holds the whole layer. Ranking inside (tile, salt) first leaves at most
+    ``salts * cap`` rows for the final ranking of any tile, and keeps exactly the same rows,
+    because a row among the first ``cap`` of its tile is among the first ``cap`` of its
+    salt. Copies of a row are counted, never spread, so a heavily repeated row is one row
+    here and is written out again only up to the cap.
     """
+    if cap < 1:
+        raise ValueError("a cap keeps one row at least")
+    whole = [*TILE, "_salt"]
     salted = tiled.withColumn("_salt", F.pmod(F.xxhash64("cell_id", "value"), F.lit(salts)))
-    first = _first_rows(salted, [*TILE, "_salt"], cap).drop("_salt")
-    kept = _first_rows(first, TILE, cap)
+    order = Window.partitionBy(*whole).orderBy("cell_id", "value", "n")
+    counted = salted.withColumns({
+        "_all": F.sum("_copies").over(Window.partitionBy(*whole)), "_at": F.row_number().over(order)})
+    first = _first_rows(counted, whole, cap)
+    # every salt keeps its first row, which says how many rows the salt had
+    total = F.sum(F.when(F.col("_at") == 1, F.col("_all"))).over(Window.partitionBy(*TILE))
+    kept = _first_rows(first.withColumn("n_total", total).drop("_salt", "_all", "_at"), TILE, cap)
     return (kept.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
             .drop("_i", "_copies"))
 
 
 def tile_records(capped: DataFrame) -> DataFrame:
-    """Output records of the hexagon service: ``z, x, y, h3id, value, n``."""
-    return capped.select(*TILE, cells.cell_hex(F.col("cell_id")).alias("h3id"), "value", "n")
+    """Output records ``z, x, y, h3id, value, n``, and ``n_total`` where tiles were capped."""
+    total = [c for c in ("n_total",) if c in capped.columns]
+    return capped.select(*TILE, cells.cell_hex(F.col("cell_id")).alias("h3id"), "value", "n", *total)
 
 
 def tile_documents(records: DataFrame) -> DataFrame:
-    """One JSON document per tile. Records must be capped, which bounds each list.
+    """One JSON document per tile; a tile's records are one list.
 
     A NULL ``n`` is left out of its record rather than written as null.
     """
@@ -139,56 +145,40 @@ def tile_documents(records: DataFrame) -> DataFrame:
     return listed.select(*TILE, F.to_json(F.struct("cells")).alias("body"))
 
 
-def _dimension(system: CellSystem, like: DataFrame, res: int) -> DataFrame:
-    """All cells of a resolution, to be broadcast only when their exact number is small."""
-    dim = system.dimension(like.sparkSession, res)
-    return F.broadcast(dim) if system.size_at(res) <= BROADCAST_CELLS else dim
-
-
 def covering(tiles: DataFrame, system: CellSystem, prune_res: int = PRUNE_RES) -> DataFrame:
     """``z, x, y, hex_prune``: coarse cells whose centroid is in a tile's widened box.
 
-    Tiles whose widened box passes the antimeridian get no rows (read everything there).
-    Boxes and coarse cells meet on a grid of bins two edges wide, by equality: a deep tile
-    touches a handful of bins, and the few shallow tiles cannot touch more than all bins.
+    A box that passes the antimeridian is two boxes, one at either end. Boxes and coarse
+    cells meet on a grid of bins two edges wide, by equality: a deep tile touches a handful
+    of bins, and the few shallow tiles cannot touch more than all bins.
     """
     edge = system.edge_deg(prune_res)
     margin, step = f"{edge * COVER_BUFFER_EDGES!r}D", f"{edge * 2!r}D"
-    boxes = tiles.selectExpr(*[f"cast({c} as int) as {c}" for c in TILE]).distinct().selectExpr(
+    whole = tiles.selectExpr(*[f"cast({c} as int) as {c}" for c in TILE]).distinct().selectExpr(
         *TILE,
         f"{cells.west_sql()} - {margin} as _w", f"{cells.west_sql('x + 1')} + {margin} as _e",
         f"greatest(-{POLAR_LIMIT}D, {cells.north_sql('y + 1')} - {margin}) as _s",
-        f"least({POLAR_LIMIT}D, {cells.north_sql()} + {margin}) as _n",
-    ).where("_w >= -180D AND _e <= 180D")
+        f"least({POLAR_LIMIT}D, {cells.north_sql()} + {margin}) as _n")
+    spans = """explode(filter(array(
+        named_struct('w', greatest(_w, -180D), 'e', least(_e, 180D)),
+        if(_w < -180D, named_struct('w', _w + 360D, 'e', 180D), null),
+        if(_e > 180D, named_struct('w', -180D, 'e', _e - 360D), null)), b -> b is not null)) as _b"""
+    boxes = whole.selectExpr(*TILE, spans, "_s", "_n").selectExpr(*TILE, "_b.w as _w", "_b.e as _e", "_s", "_n")
     binned = (boxes
               .withColumn("_bx", F.expr(f"explode(sequence(floor(_w / {step}), floor(_e / {step})))"))
               .withColumn("_by", F.expr(f"explode(sequence(floor(_s / {step}), floor(_n / {step})))")))
-    dim = _dimension(system, tiles, prune_res).selectExpr(
+    dim = system.dimension(tiles.sparkSession, prune_res).selectExpr(
         "cell_id as hex_prune", "lng", "lat",
         f"floor(lng / {step}) as _bx", f"floor(lat / {step}) as _by")
+    # a box of more than a turn meets a cell from both sides
     return (binned.join(dim, ["_bx", "_by"])
             .where("lng BETWEEN _w AND _e AND lat BETWEEN _s AND _n")
-            .select(*TILE, "hex_prune"))
+            .select(*TILE, "hex_prune").distinct())
 
 
-def prune_keys(tiles: DataFrame, system: CellSystem, prune_res: int = PRUNE_RES,
-               max_cover: int = MAX_COVER_CELLS) -> DataFrame:
-    """Coarse cells that the wanted tiles may read: a subset of the coarse dimension.
-
-    A tile without a covering set, or with one above the limit, reads everything, so one
-    such tile brings in every coarse cell.
-    """
-    wanted = tiles.selectExpr(*[f"cast({c} as int) as {c}" for c in TILE]).distinct()
-    found = wanted.join(covering(wanted, system, prune_res), TILE, "left")
-    size = F.count("hex_prune").over(Window.partitionBy(*TILE))
-    # NULL stands for "everything"
-    usable = F.when(size.between(1, max_cover), F.col("hex_prune"))
-    keys = found.select(usable.alias("hex_prune")).distinct()
-    unbounded = keys.agg(F.max(F.col("hex_prune").isNull()).alias("b")).scalar()
-    everything = (system.dimension(tiles.sparkSession, prune_res)
-                  .withColumn("_all", unbounded).where("_all")
-                  .select(F.col("cell_id").alias("hex_prune")))
-    return keys.where("hex_prune IS NOT NULL").unionByName(everything)
+def prune_keys(tiles: DataFrame, system: CellSystem, prune_res: int = PRUNE_RES) -> DataFrame:
+    """Coarse cells that the wanted tiles may read: a subset of the coarse dimension."""
+    return covering(tiles, system, prune_res).select("hex_prune").distinct()
 
 
 def prune_scan(source: DataFrame, tiles: DataFrame, system: CellSystem, layer_res: int,
@@ -200,33 +190,26 @@ def prune_scan(source: DataFrame, tiles: DataFrame, system: CellSystem, layer_re
     """
     if layer_res < prune_res or "hex_prune" not in source.columns:
         return source
-    keys = prune_keys(tiles, system, prune_res)
-    if system.size_at(prune_res) <= BROADCAST_CELLS:
-        # keys come from the coarse dimension, at most twice each
-        keys = F.broadcast(keys)
-    return source.join(keys, "hex_prune", "left_semi")
+    return source.join(prune_keys(tiles, system, prune_res), "hex_prune", "left_semi")
 
 
 def prune_one_tile(source: DataFrame, system: CellSystem, z: int, x: int, y: int,
-                   layer_res: int, prune_res: int = PRUNE_RES,
-                   max_cover: int = MAX_COVER_CELLS) -> DataFrame:
-    """Single-request form: the covering set becomes an IN list that reaches the scan.
+                   layer_res: int, prune_res: int = PRUNE_RES) -> DataFrame:
+    """:func:`prune_scan` for a single tile, as a filter that reaches the files.
 
-    The list is read to the driver only up to its limit of ``max_cover`` ids.
+    The covering set is read to the driver; it holds coarse cells alone, whose number
+    does not grow with the data.
     """
     if layer_res < prune_res or "hex_prune" not in source.columns:
         return source
-    spark = source.sparkSession
-    tile = spark.range(1).select(F.lit(z).alias("z"), F.lit(x).alias("x"), F.lit(y).alias("y"))
-    found = covering(tile, system, prune_res).select("hex_prune").limit(max_cover + 1).collect()
-    if not 0 < len(found) <= max_cover:
-        return source
-    return source.where(F.col("hex_prune").isin([r["hex_prune"] for r in found]))
+    tile = source.sparkSession.range(1).select(F.lit(z).alias("z"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    keys = [r["hex_prune"] for r in prune_keys(tile, system, prune_res).collect()]
+    return source.where(F.col("hex_prune").isin(keys) if keys else F.lit(False))
 
 
 def layer_tiles(layers: list[tuple[DataFrame, int, dict[int, int]]], system: CellSystem,
-                cap: int | None = MAX_ROWS_PER_TILE, unique: bool = False) -> DataFrame:
-    """Checked layers to capped tile records.
+                cap: int | None = None, unique: bool = False) -> DataFrame:
+    """Checked layers to tile records: all rows, or the first ``cap`` of each tile.
 
     Each layer comes with the resolution of its cells and, per zoom, the resolution whose
     edge sets the buffer (finer than the cells' own where a store stops early). All are

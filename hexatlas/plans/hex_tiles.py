@@ -1,4 +1,4 @@
-"""Hexagon tiles end to end: layer -> contract -> centroids -> tiles -> cap -> records."""
+"""Hexagon tiles end to end: layer -> contract -> centroids -> tiles -> records."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from hexatlas.functions.systems import CellSystem
 from hexatlas.operators.diversity import INDEX_RESOLUTIONS
 from hexatlas.operators.layers import Layer, hex_layer
 from hexatlas.operators.tiling import (
-    MAX_ROWS_PER_TILE, TILE, cap_tiles, count_copies, layer_tiles, one_tile, prune_one_tile)
+    TILE, cap_tiles, count_copies, layer_tiles, one_tile, prune_one_tile)
 from hexatlas.plans import index_store
 
 
@@ -23,7 +23,7 @@ def checked_res(z: float, res: int | None) -> int:
 
 
 def pyramid(layer: Layer, system: CellSystem, zooms: list[int], res: int | None = None,
-            cap: int | None = MAX_ROWS_PER_TILE, top: int = MAX_RES,
+            cap: int | None = None, top: int = MAX_RES,
             unique: bool = False) -> DataFrame:
     """Records of every tile of the zooms. Zooms that share a resolution share one scan.
 
@@ -38,16 +38,17 @@ def pyramid(layer: Layer, system: CellSystem, zooms: list[int], res: int | None
 
 
 def single_tile(layer: Layer, system: CellSystem, z: int, x: int, y: int,
-                res: int | None = None, cap: int = MAX_ROWS_PER_TILE, top: int = MAX_RES,
+                res: int | None = None, cap: int | None = None, top: int = MAX_RES,
                 unique: bool = False) -> DataFrame:
-    """Records ``h3id, value, n`` of one tile."""
+    """Records ``h3id, value, n`` of one tile, all of them unless a ``cap`` is given."""
     drawn = checked_res(z, res)
     r = min(drawn, top)
-    rows = system.with_centroid(count_copies(hex_layer(layer(r)), unique), r)
+    rows = hex_layer(layer(r))
+    rows = system.with_centroid(rows if cap is None else count_copies(rows, unique), r)
     inside = one_tile(rows, z, x, y, system.edge_deg(drawn)).drop("lng", "lat")
     at = {c: F.lit(v) for c, v in zip(TILE, (z, x, y))}
-    return cap_tiles(inside.withColumns(at), cap).select(
-        cell_hex(F.col("cell_id")).alias("h3id"), "value", "n")
+    kept = inside if cap is None else cap_tiles(inside.withColumns(at), cap)
+    return kept.select(cell_hex(F.col("cell_id")).alias("h3id"), "value", "n")
 
 
 def stored_tile(spark: SparkSession, base: str, metric: str, system: CellSystem, z: int, x: int,

@@ -160,7 +160,7 @@ _MAP = (f"SELECT {grid_cell_sql('o_custkey')} AS cell_id, "
 
 @query("J1_value_map", _MAP)
 def last_values(spark: SparkSession, sf: str) -> DataFrame:
-    return value_map(S.grid_values(spark, sf), order="seq", unique_order=True, max_rows=None)
+    return value_map(S.grid_values(spark, sf), order="seq", unique_order=True)
 
 
 @query("A2_grid_summary",
@@ -169,7 +169,7 @@ def last_values(spark: SparkSession, sf: str) -> DataFrame:
        "round(quantile_cont(value,0.5),6) AS p50, round(quantile_cont(value,0.98),6) AS p98 "
        f"FROM ({_MAP})")
 def map_summary(spark: SparkSession, sf: str) -> DataFrame:
-    s = L.grid_summary(value_map(S.grid_values(spark, sf), order="seq", unique_order=True, max_rows=None))
+    s = L.grid_summary(value_map(S.grid_values(spark, sf), order="seq", unique_order=True))
     return s.select("n", "min", "max", F.round("mean", 6).alias("mean"),
                     F.round("std", 4).alias("std"),
                     *[F.round(c, 6).alias(c) for c in ("p2", "p50", "p98")])

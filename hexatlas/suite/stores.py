@@ -17,7 +17,8 @@ from hexatlas.suite.base import (
     MODEL_CELLS, OCCURRENCES, cell_sql, hexed, lat_of, lng_of, north_sql, query)
 from hexatlas.suite.diversity import _indices_sql, _tiers_sql, rounded
 
-TABLES = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
+TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem",
+          "nation", "orders", "pages", "part", "region", "supplier"]
 _COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in TABLES)
 
 
@@ -32,19 +33,19 @@ def _counts(spark: SparkSession, names: list[str]) -> DataFrame:
 
 @query("S1_dataset_registry", f"SELECT 'main' AS dataset, name, n_rows FROM ({_COUNTS})")
 def datasets(spark: SparkSession, sf: str) -> DataFrame:
-    found, default = registry.datasets_from({"datasets": f" main:{sf} , copy: {sf}"})
-    names = registry.attach(spark, found[default], TABLES)
-    return _counts(spark, names).select(F.lit(default).alias("dataset"), "name", "n_rows")
+    found = registry.checked_registry([("main", sf), ("copy", f" {sf} ")])
+    names = registry.attach(spark, found["main"], registry.discover(spark, found["main"]))
+    return _counts(spark, names).select(F.lit("main").alias("dataset"), "name", "n_rows")
 
 
-_WIDTHS = {"customer": 5, "events": 6, "lineitem": 11, "nation": 3, "orders": 6, "part": 6,
-           "region": 2, "supplier": 4}
+_WIDTHS = {"benchmark": 2, "conversations": 4, "customer": 5, "documents": 5, "embeddings": 3, "events": 6,
+           "labels": 3, "lineitem": 11, "nation": 3, "orders": 6, "pages": 3, "part": 6, "region": 2, "supplier": 4}
 
 
 @query("S2_table_list", "SELECT name, n_rows, n_columns FROM (" + _COUNTS + ") JOIN (VALUES "
        + ",".join(f"('{t}',{n})" for t, n in _WIDTHS.items()) + ") w(name, n_columns) USING (name)")
 def tables(spark: SparkSession, sf: str) -> DataFrame:
-    names = registry.attach(spark, sf, TABLES)
+    names = registry.attach(spark, sf, registry.discover(spark, sf))
     listed = registry.table_list(spark, only=names).select("name", "n_columns")
     return listed.join(_counts(spark, names), "name")
 

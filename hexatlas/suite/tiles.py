@@ -25,8 +25,7 @@ _ONE = "z=2 AND x=1 AND y=1"
 
 
 @query("tile_of_orders",
-       f"SELECT {hexed('cell_id')} AS h3id, value, n FROM ({tiled_sql(2, 5)}) WHERE {_ONE} "
-       "ORDER BY cell_id LIMIT 50000")
+       f"SELECT {hexed('cell_id')} AS h3id, value, n FROM ({tiled_sql(2, 5)}) WHERE {_ONE}")
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return single_tile(layer_of(spark, sf), S.LATTICE, 2, 1, 1, res=5)
 
@@ -127,7 +126,8 @@ _RAW = f"SELECT {cell_sql('o_custkey', 4)} AS cell_id, o_totalprice AS value, o_
 
 
 @query("T6_capped_tiles", " UNION ALL ".join(
-    f"(SELECT z, x, y, {hexed('cell_id')} AS h3id, value, n FROM ({tiled_sql(z, 4, _RAW)}) "
+    f"(SELECT z, x, y, {hexed('cell_id')} AS h3id, value, n, count(*) OVER (PARTITION BY z,x,y) AS n_total "
+    f"FROM ({tiled_sql(z, 4, _RAW)}) "
     "QUALIFY row_number() OVER (PARTITION BY z,x,y ORDER BY cell_id, value, n) <= 200)"
     for z in (0, 1, 2)))
 def capped(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,7 +166,7 @@ def covering_sql(z: int) -> str:
     m = 360.0 / 32 * 2
     return (f"SELECT g.z, g.x, g.y, c.cell_id AS hex_prune FROM ({tiles_sql(z)}) g "
             f"JOIN ({supplier_tiles_sql(z)}) r USING (x, y), ({coarse_sql()}) c "
-            f"WHERE w-{m} >= -180 AND e+{m} <= 180 AND lng BETWEEN w-{m} AND e+{m} "
+            f"WHERE (lng BETWEEN w-{m} AND e+{m} OR lng-360 BETWEEN w-{m} AND e+{m} OR lng+360 BETWEEN w-{m} AND e+{m}) "
             f"AND lat BETWEEN greatest(-89.9, s-{m}) AND least(89.9, t+{m})")
 
 

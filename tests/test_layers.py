@@ -48,8 +48,7 @@ def test_query_text():
         "SELECT hex_h3res7, a FROM t WHERE b = hex_h3res7 "
     with pytest.raises(ValueError):
         L.sql_text("", 5)
-    with pytest.raises(ValueError):
-        L.sql_text("x" * (16 * 1024 + 1), 5)
+    assert len(L.sql_text("x" * (16 * 1024 + 1), 5)) == 16 * 1024 + 1
 
 
 def test_sql_layers(spark):
@@ -65,6 +64,30 @@ def test_sql_layers(spark):
         L.hex_layer(L.sql_layer(spark, "SELECT 1 AS cell_id, 2 AS v")(5))
 
 
+FORMS = {
+    "cte": "WITH h AS (SELECT cell, depth FROM hauls) SELECT cell AS cell_id, max(depth) AS value FROM h GROUP BY cell",
+    "recursive": "WITH RECURSIVE up(cell) AS (SELECT 3 UNION ALL SELECT cell + 1 FROM up WHERE cell < 5) SELECT cell AS cell_id, 1.0 AS value FROM up",
+    "union": "SELECT cell AS cell_id, depth AS value FROM hauls UNION ALL SELECT 9, 1.5",
+    "values": "SELECT h.cell AS cell_id, v.w AS value FROM hauls h JOIN (VALUES (4, 0.5)) AS v(cell, w) ON h.cell = v.cell",
+    "in": "SELECT cell AS cell_id, depth AS value FROM hauls WHERE cell IN (SELECT cell FROM hauls WHERE depth > 2)",
+}
+WANT = {"cte": [(4, 2.0), (5, 3.0)], "recursive": [(3, 1.0), (4, 1.0), (5, 1.0)], "union": [(4, 2.0), (5, 3.0), (9, 1.5)],
+        "values": [(4, 0.5)], "in": [(5, 3.0)]}
+
+
+@pytest.mark.parametrize("form", sorted(FORMS))
+def test_forms_of_sql_layers(spark, form):
+    hauls = spark.createDataFrame([(4, 2.0), (5, 3.0)], "cell int, depth double")
+    rows = L.hex_layer(L.sql_layer(spark, FORMS[form], hauls=hauls)(5)).collect()
+    assert sorted((r["cell_id"], r["value"]) for r in rows) == WANT[form]
+
+
+def test_commands_are_refused_before_they_run(spark):
+    with pytest.raises(Exception, match="PARSE"):
+        L.sql_layer(spark, "CREATE TEMPORARY VIEW made_by_a_layer AS SELECT 1 AS cell_id")(5)
+    assert not spark.catalog.tableExists("made_by_a_layer")
+
+
 def test_cell_aggregates(spark):
     df = spark.createDataFrame([(1, 2.0, "a"), (1, 4.0, "a"), (2, 5.0, "b")], "c int, v double, k string")
     for how, want in (("avg", 3.0), ("sum", 6.0), ("count", 2)):

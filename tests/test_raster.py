@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hexatlas.functions import colour
 from hexatlas.operators import raster as R
 from hexatlas.operators.compare import parity_totals, tile_parity
-from hexatlas.plans.raster_tiles import model_layer, parse_rescale, raster_tiles, source_layer
+from hexatlas.plans.raster_tiles import model_layer, raster_tiles, source_layer
 
 NAN = float("nan")
 
@@ -23,11 +23,9 @@ def test_value_map_takes_the_last_finite_value(spark):
     assert {tuple(r) for r in R.value_map(df).collect()} == {(1, 5.0), (3, 9.0)}
 
 
-def test_row_cap_counts_before_filtering(spark):
-    df = spark.createDataFrame([(i, NAN if i % 2 else 1.0) for i in range(1, 11)], "cell_id int, value double")
-    assert R.value_map(df, max_rows=10).count() == 5
-    with pytest.raises(PySparkException, match="row cap 9"):
-        R.value_map(df, max_rows=9).collect()
+def test_a_map_of_more_than_a_million_rows_keeps_them_all(spark):
+    df = spark.range(1, 1_200_001).selectExpr("id cell_id", "if(id % 2 = 0, 1D, double('NaN')) value")
+    assert R.value_map(df).count() == 600_000
     with pytest.raises(ValueError):
         R.require_rows(R.value_map(df.where("cell_id % 2 = 1")))
 
@@ -35,9 +33,8 @@ def test_row_cap_counts_before_filtering(spark):
 def test_lookup(spark):
     px = spark.createDataFrame([(i, c) for i, c in enumerate([0, 0, -3, 7, 9, 7])], "i int, cell_id int")
     vm = spark.createDataFrame([(7, 1.5)], "cell_id bigint, value double")
-    for bounded in (True, False):
-        got = {r["i"]: r["value"] for r in R.lookup(px, vm, bounded).collect()}
-        assert got[3] == got[5] == 1.5 and all(math.isnan(got[i]) for i in (0, 1, 2, 4))
+    got = {r["i"]: r["value"] for r in R.lookup(px, vm).collect()}
+    assert got[3] == got[5] == 1.5 and all(math.isnan(got[i]) for i in (0, 1, 2, 4))
 
 
 def test_empty_pixels_are_spread(spark):
@@ -78,9 +75,6 @@ def test_colour_and_range_text(spark):
     rng = spark.createDataFrame([("1,2.5",), ("1",), ("a,b",), ("1,2,3",), (" -1 , 1e3",)], "t string")
     got = [r[0] and tuple(r[0]) for r in rng.select(colour.parse_range(F.col("t"))).collect()]
     assert got == [(1.0, 2.5), None, None, None, (-1.0, 1000.0)]
-    assert parse_rescale(None) is None and parse_rescale("1,2") == (1.0, 2.0)
-    with pytest.raises(ValueError):
-        parse_rescale("1")
 
 
 def palette(spark):
@@ -179,12 +173,3 @@ def test_parity(spark):
     assert tuple(parity_totals(tile_parity(a, a, ["v"])).head()) == (1, 1, 0)
     nulls = a.withColumn("v", F.lit(None).cast("int"))
     assert tile_parity(nulls, nulls, ["v"]).head()["differing"] == 0
-
-
-def test_the_row_cap_needs_no_second_scan(spark, tmp_path):
-    spark.range(1000).selectExpr("id % 50 + 1 cell_id", "id * 1D value", "id seq").write.parquet(str(tmp_path / "l"))
-    mapped = R.value_map(spark.read.parquet(str(tmp_path / "l")), order="seq", unique_order=True, max_rows=1000)
-    assert mapped.count() == 50
-    mapped.collect()
-    final = mapped._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")
-    assert "ReusedExchange" in mapped._jdf.queryExecution().executedPlan().toString() and len(final) > 1

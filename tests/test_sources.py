@@ -9,27 +9,18 @@ from hexatlas import session
 from hexatlas.sources import registry as G, releases as V, stores as W
 
 
-def test_registry_text():
-    assert G.parse_registry("a:/x.db, b : /y.db ,") == {"a": "/x.db", "b": "/y.db"}
-    assert G.parse_registry("a:s3://bucket/x") == {"a": "s3://bucket/x"}
-    for bad in ("malformed", "a:/x,a:/y", "", " , ", "a:", ":/x"):
-        with pytest.raises(ValueError):
-            G.parse_registry(bad)
-
-
-def test_default_dataset():
-    two = {"datasets": "first:/a,second:/b"}
-    assert G.datasets_from(two)[1] == "first"
-    assert G.datasets_from({**two, "default": "second"})[1] == "second"
-    assert G.datasets_from({"path": "/legacy"}) == ({"default": "/legacy"}, "default")
-    for bad in ({**two, "default": "none"}, {}, {"datasets": " "}):
-        with pytest.raises(ValueError):
-            G.datasets_from(bad)
+def test_registry_entries():
+    assert G.checked_registry([(" a ", "s3a://store/x"), ("b", " /y ")]) == {"a": "s3a://store/x", "b": "/y"}
+    with pytest.raises(ValueError, match="unnamed: '/q'; without a path: 'c', 'd'; repeated: 'a'"):
+        G.checked_registry([("a", "/1"), ("a", "/2"), ("", "/q"), ("c", ""), ("d", None)])
+    with pytest.raises(ValueError, match="empty"):
+        G.checked_registry([])
 
 
 def test_tables_and_prune_columns(spark, tmp_path):
     for name, cols in (("t_b", "id cell_id, id HEX_PRUNE"), ("t_a", "id cell_id")):
         spark.range(3).selectExpr(*cols.split(", ")).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert G.discover(spark, str(tmp_path)) == ["t_a", "t_b"]
     assert G.attach(spark, str(tmp_path), ["t_b", "t_a"]) == ["t_a", "t_b"]
     assert [tuple(r) for r in G.table_list(spark, ["t_a", "t_b"]).collect()] == [("t_a", 1, None), ("t_b", 2, "HEX_PRUNE")]
     assert G.prune_tables(spark, ["t_a", "t_b"]) == {"t_b": "hex_prune"}
