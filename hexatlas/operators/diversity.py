@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hexatlas.functions.diversity import SAMPLE, expected_species_sql, shannon, simpson
@@ -19,19 +21,20 @@ TAXONOMY = ["aphiaid", "phylum", "class", "order", "family", "genus", "species"]
 
 def roll_up(counts: DataFrame, system: CellSystem, finest: int, tiers: list[int],
             keys: list[str], measure: str) -> DataFrame:
-    """Sum a measure counted at the finest resolution at each coarser one.
+    """A measure counted per finest cell and key, summed at each coarser resolution.
 
-    Parents are taken from the counted rows, never from raw records: what is exploded has
-    already been reduced once.
+    A cascade: every tier comes from the next finer one, which has far fewer rows than the
+    records, and the finest is passed through as it is. The tiers of one plan share their
+    exchanges, so none is worked out twice.
     """
-    own = F.col("cell_id")
-    per_tier = F.explode(F.array(*[
-        F.struct(F.lit(r).alias("res"),
-                 (own if r == finest else system.parent(own, finest, r)).alias("cell_id"))
-        for r in tiers])).alias("_at")
-    return (counts.select(per_tier, *keys, measure)
-            .groupBy(F.col("_at.res").alias("res"), F.col("_at.cell_id").alias("cell_id"), *keys)
-            .agg(F.sum(measure).alias(measure)))
+    parts, rows, at = [], counts.select("cell_id", *keys, measure), finest
+    for res in sorted(tiers, reverse=True):
+        if res != at:
+            up = system.parent(F.col("cell_id"), at, res).alias("cell_id")
+            rows = rows.select(up, *keys, measure).groupBy("cell_id", *keys).agg(F.sum(measure).alias(measure))
+            at = res
+        parts.append(rows.select(F.lit(res).alias("res"), "cell_id", *keys, measure))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def occurrence_counts(occurrences: DataFrame, keys: list[str]) -> DataFrame:
