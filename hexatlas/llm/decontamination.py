@@ -40,26 +40,28 @@ def row_key() -> Column:
 
 
 class Phrases:
-    """The distinct phrases of ``items`` (``item_id, text``) and what they consist of.
+    """The phrases of ``items`` (``item_id, text``) and what they consist of.
 
     A phrase is ``length`` consecutive words of an item; an item of fewer words, but not none,
-    is one phrase. ``phrases``: phrase_id, words. ``owners``: phrase_id, item_id. ``terms``:
-    term, word, with the empty word as the end mark.
+    is one phrase. Items of equal words are one sequence. ``sequences``: seq, words. ``owners``:
+    seq, item_id. ``phrases``: seq, first, offset, word, size (a row per word of each phrase).
+    ``terms``: term, word, with the empty word as the end mark.
     """
 
     def __init__(self, items: DataFrame, length: int = LENGTH):
-        listed = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")) \
-            .where(F.size("w") > 0)
-        starts = F.sequence(F.lit(0), F.greatest(F.size("w") - length, F.lit(0)))
-        cut = listed.select("item_id", "w", F.explode(starts).alias("s")).select(
-            "item_id", F.slice("w", F.col("s") + 1, F.lit(length)).alias("words")).distinct()
-        cut = written(cut, "phrases-cut")
-        self.phrases = written(cut.select("words").distinct().select(
-            F.monotonically_increasing_id().alias("phrase_id"), "words"), "phrases")
-        self.owners = cut.join(self.phrases, "words").select("phrase_id", "item_id")
-        used = self.phrases.select(F.explode("words").alias("word")).union(
+        listed = written(items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words"))
+                         .where(F.size("words") > 0), "items")
+        self.sequences = written(listed.select("words").distinct().select(
+            F.monotonically_increasing_id().alias("seq"), "words"), "sequences")
+        self.owners = listed.join(self.sequences, "words").select("seq", "item_id").distinct()
+        firsts = F.sequence(F.lit(0), F.greatest(F.size("words") - length, F.lit(0)))
+        self.phrases = self.sequences.select("seq", "words", F.explode(firsts).alias("first")).select(
+            "seq", "first", F.slice("words", F.col("first") + 1, F.lit(length)).alias("p")).select(
+            "seq", "first", F.size("p").alias("size"), F.posexplode("p").alias("at", "word")).select(
+            "seq", "first", "size", (F.col("first") + F.col("at")).alias("offset"), "word")
+        used = self.sequences.select(F.explode("words").alias("word")).union(
             items.sparkSession.range(1).select(F.lit("").alias("word"))).distinct()
-        self.terms = written(used.select(F.monotonically_increasing_id().alias("term"), "word"), "phrase-terms")
+        self.terms = written(used.select(F.monotonically_increasing_id().alias("term"), "word"), "terms")
 
 
 def build_index(docs: DataFrame, phrases: Phrases) -> DataFrame:
@@ -77,52 +79,72 @@ def build_index(docs: DataFrame, phrases: Phrases) -> DataFrame:
 
 
 def _rarest(index: DataFrame, phrases: Phrases, rarest: int) -> DataFrame:
-    """``phrase_id, term, offset, needed, rank``: the rarest terms of each phrase."""
+    """``seq, first, size, offset, term, rank``: the rarest terms of each phrase."""
     often = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    each = (phrases.phrases.select("phrase_id", F.size("words").alias("length"), F.posexplode("words").alias("offset", "word"))
-            .join(phrases.terms, "word").join(often, "term", "left"))
-    order = Window.partitionBy("phrase_id").orderBy(F.coalesce("n", F.lit(0)), "offset")
+    each = phrases.phrases.join(phrases.terms, "word").join(often, "term", "left")
+    order = Window.partitionBy("seq", "first").orderBy(F.coalesce("n", F.lit(0)), "offset")
     return written(each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rarest).select(
-        "phrase_id", "term", "offset", "rank", F.least("length", F.lit(rarest)).alias("needed")), "rarest")
+        "seq", "first", "size", "offset", "term", "rank"), "rarest")
 
 
-def _shifted(index: DataFrame, rare: DataFrame) -> DataFrame:
-    """Postings of the rarest terms as starts of the phrases that hold them."""
-    return (index.where(~F.col("last")).select("key", "pos", "term").join(_sent(rare), "term")
-            .select("key", "phrase_id", (F.col("pos") - F.col("offset")).alias("start"), "offset", "rank", "needed"))
+def _bit(offset: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(offset, F.lit(64)).cast("int"))
+
+
+def _candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
+    """``key, seq, start, first, size``: places at which all of a phrase's rarest terms stand.
+
+    Lists are met by the place at which the whole sequence would start, so a posting is one row
+    for all phrases that look it up. Which offsets were met is a set of 64 bits, offsets that
+    are 64 words apart sharing one: that can only let more places through to be compared.
+    """
+    lookups = rare.select("term", "seq", "offset").distinct()
+    shifted = index.where(~F.col("last")).select("key", "pos", "term").join(_sent(lookups), "term").select(
+        "key", "seq", (F.col("pos") - F.col("offset")).alias("start"), _bit(F.col("offset")).alias("bit"))
+    met = shifted.groupBy("key", "seq", "start").agg(F.bit_or("bit").alias("met"))
+    asked = rare.groupBy("seq", "first", "size").agg(F.bit_or(_bit(F.col("offset"))).alias("all"))
+    sets = asked.groupBy("seq").agg(F.collect_list(F.struct("first", "size", "all")).alias("sets"))
+    # one term alone is enough only where a phrase looks up no more
+    least = asked.groupBy("seq").agg(F.min(F.bit_count("all")).alias("least"))
+    open_ = met.join(_sent(sets.join(least, "seq")), "seq").where(F.bit_count("met") >= F.col("least"))
+    agreed = F.filter("sets", lambda x: x["all"].bitwiseAND(F.col("met")) == x["all"])
+    return open_.select("key", "seq", "start", F.explode(agreed).alias("p")).select(
+        "key", "seq", "start", "p.first", "p.size").where(F.col("start") + F.col("first") >= 0)
 
 
 def exact_matches(docs: DataFrame, index: DataFrame, phrases: Phrases, rarest: int = RAREST) -> DataFrame:
-    """``key, phrase_id, start, length``: every place of every phrase in ``docs``."""
-    starts = (_shifted(index, _rarest(index, phrases, rarest)).where(F.col("start") >= 0)
-              .groupBy("key", "phrase_id", "start").agg(F.count_distinct("offset").alias("met"), F.first("needed").alias("needed"))
-              .where(F.col("met") == F.col("needed")))
-    found = starts.join(phrases.phrases, "phrase_id").groupBy("key").agg(
-        F.collect_list(F.struct("start", "phrase_id", "words")).alias("found"))
+    """``key, seq, start, length``: every place of every phrase in ``docs``."""
+    places = _candidates(index, _rarest(index, phrases, rarest)).join(phrases.sequences, "seq").select(
+        "key", F.struct("seq", (F.col("start") + F.col("first")).alias("start"),
+                        F.slice("words", F.col("first") + 1, F.col("size")).alias("words")).alias("place"))
+    found = places.groupBy("key").agg(F.collect_list("place").alias("found"))
     texts = docs.select(row_key().alias("key"), "text").join(found, "key").select(
         "key", words(F.col("text")).alias("w"), "found")
     agree = F.filter("found", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["words"])) == c["words"])
     return texts.select("key", F.explode(agree).alias("m")).select(
-        "key", "m.phrase_id", "m.start", F.size("m.words").alias("length")).distinct()
+        "key", "m.seq", "m.start", F.size("m.words").alias("length")).distinct()
 
 
 def near_matches(index: DataFrame, phrases: Phrases, slop: int, rarest: int = RAREST) -> DataFrame:
-    """``key, phrase_id, start``: places where a phrase's rarest terms stand nearly as in it.
+    """``key, seq, first, start``: places where a phrase's rarest terms stand nearly as in it.
 
     Each of the ``rarest`` rarest terms is at most ``slop`` words from where the rarest of them
     says it should be. Starts are met in bins of ``slop + 1`` words and their neighbours, so the
     join is an equality.
     """
-    width = slop + 1
-    starts = _shifted(index, _rarest(index, phrases, rarest))
+    width, rare = slop + 1, _rarest(index, phrases, rarest)
+    starts = index.where(~F.col("last")).select("key", "pos", "term").join(_sent(rare), "term").select(
+        "key", "seq", "first", (F.col("pos") - F.col("offset") + F.col("first")).alias("start"), "offset", "rank",
+        F.least("size", F.lit(rarest)).alias("needed"))
     anchors = starts.where(F.col("rank") == 1).select(
-        F.col("key"), F.col("phrase_id"), F.col("start"), F.col("needed"),
+        "key", "seq", "first", "start", "needed",
         F.explode(F.array(*[F.floor(F.col("start") / width) + d for d in (-1, 0, 1)])).alias("bin"))
-    others = starts.select("key", "phrase_id", F.col("start").alias("other"), "offset",
+    others = starts.select("key", "seq", "first", F.col("start").alias("other"), "offset",
                            F.floor(F.col("start") / width).alias("bin"))
-    met = anchors.join(others, ["key", "phrase_id", "bin"]).where(F.abs(F.col("other") - F.col("start")) <= slop)
-    return (met.groupBy("key", "phrase_id", "start").agg(F.count_distinct("offset").alias("met"), F.first("needed").alias("needed"))
-            .where(F.col("met") == F.col("needed")).select("key", "phrase_id", "start"))
+    met = anchors.join(others, ["key", "seq", "first", "bin"]).where(F.abs(F.col("other") - F.col("start")) <= slop)
+    return (met.groupBy("key", "seq", "first", "start").agg(
+        F.count_distinct("offset").alias("met"), F.first("needed").alias("needed"))
+        .where(F.col("met") == F.col("needed")).select("key", "seq", "first", "start"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, rarest: int = RAREST) -> DataFrame:
@@ -142,7 +164,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, rares
     fresh = F.greatest(end - F.greatest("start", F.coalesce(F.max(end).over(order), F.lit(0))), F.lit(0))
     hits = (matches.select("key", "start", "length").distinct().withColumn("fresh", fresh)
             .groupBy("key").agg(F.sum("fresh").cast("long").alias("n_hit")))
-    owned = matches.select("key", "phrase_id").distinct().join(phrases.owners, "phrase_id").groupBy("key").agg(
+    owned = matches.select("key", "seq").distinct().join(phrases.owners, "seq").groupBy("key").agg(
         F.array_sort(F.collect_set("item_id")).alias("items"))
     rows = index.where("last").select("key", "doc_id", F.col("pos").cast("long").alias("n_words"))
     joined = rows.join(hits, "key", "left").join(owned, "key", "left")
