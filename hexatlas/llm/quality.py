@@ -81,7 +81,9 @@ def fit(x: np.ndarray, grades: np.ndarray, n_grades: int, ridge: float = 1e-4, s
         m, v, n = np.zeros_like(p), np.zeros_like(p), len(x)
         for step in range(1, steps + 1):
             t = p[d] + np.concatenate([[0], np.cumsum(np.exp(p[d + 1:]))])
-            tail = 1 / (1 + np.exp(np.clip(t[None, :] - (x @ p[:d])[:, None], -60, 60)))
+            # products in the features' own precision: a float32 matrix is not copied at every step
+            score = (x @ p[:d].astype(x.dtype)).astype(np.float64)
+            tail = 1 / (1 + np.exp(np.clip(t[None, :] - score[:, None], -60, 60)))
             full = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
             rows = np.arange(n)
             likely = np.maximum(full[rows, grades] - full[rows, grades + 1], 1e-9)
@@ -94,7 +96,7 @@ def fit(x: np.ndarray, grades: np.ndarray, n_grades: int, ridge: float = 1e-4, s
             by_t[rows[lower], grades[lower] - 1] -= slope[rows[lower], grades[lower]] / likely[lower]
             down = by_t.sum(0) / n
             gaps = np.array([down[j + 1:].sum() * np.exp(p[d + 1 + j]) for j in range(k - 1)])
-            g = -np.concatenate([x.T @ by_score / n - ridge * p[:d], [down.sum()], gaps])
+            g = -np.concatenate([(by_score.astype(x.dtype) @ x) / n - ridge * p[:d], [down.sum()], gaps])
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Ordinal(p[:d], p[d] + np.concatenate([[0], np.cumsum(np.exp(p[d + 1:]))]))
