@@ -126,7 +126,9 @@ def links(fps: DataFrame, few: int = FEW) -> DataFrame:
     ``fps`` has one distinct non-null ``fp`` a row. Groups of up to ``few`` give every pair
     within two bits; larger ones give stars of such pairs with the same components.
     """
-    shared = written(variants(fps).groupBy("slot", "key").agg(
+    # variants are 64 times as many: dealt out first, so that a task counts a small part of them
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = written(variants(fps.repartition(parts, "fp")).groupBy("slot", "key").agg(
         F.count(F.lit(1)).alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a")).where(F.col("n") > 1),
         "simhash-groups")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
