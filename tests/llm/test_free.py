@@ -250,27 +250,22 @@ def test_base_scores_equal_brute_force(spark, sf):
 
 
 def test_predictive_probabilities_sum_to_one(spark, documents):
-    """Every possible next word after every context, one document each, held out."""
+    """Scores of all texts of up to two words give a matrix similar to that of the transitions
+    (scaled by the probabilities of first words). Its rows sum to one, so its radius is one."""
     train = [(i, t) for i, t in enumerate(["a b a c", "a b a b b", "c a b", "b", "", None, "a b a c"])]
     words = ["a", "b", "c", "zzz"]
-    probe = [(100 + i, f"{u} {w}") for i, (u, w) in enumerate((u, w) for u in words for w in words)] + \
-        [(200 + i, u) for i, u in enumerate(words)]
+    probe = [(100, "")] + [(101 + i, u) for i, u in enumerate(words)]
+    probe += [(200 + 4 * i + j, f"{u} {w}") for i, u in enumerate(words) for j, w in enumerate(words)]
     docs = documents(train + probe).select("doc_id", "text", (F.col("doc_id") >= 100).alias("held"))
-    got = {r["doc_id"]: r["score"] for r in P.Model(docs, "held", sweeps=3).scores().collect()}
-    # P(u w END) over all w and P(u END): the part of "u" cancels once the ends are divided out
-    first = {u: 10 ** got[200 + i] for i, u in enumerate(words)}
-    assert all(0 < p < 1 for p in first.values())
-    start = {}
-    for i, u in enumerate(words):
-        # with e(x) = P(END | x) and s(u) = P(u | start): got = s(u) P(w|u) e(w); got200 = s(u) e(u)
-        start[u] = [10 ** got[100 + 4 * i + j] for j in range(4)]
-    # solve for s and e from the single-word probes and the sum over words being one
-    e = np.full(4, 0.3)
-    for _ in range(500):
-        s = np.array([first[u] for u in words]) / e
-        e = np.clip(1 - np.array([sum(start[u][j] / (s[i] * e[j]) for j in range(4)) for i, u in enumerate(words)]), 1e-3, 0.999) * 0.5 + e * 0.5
-    s = np.array([first[u] for u in words]) / e
-    assert s.sum() < 1.0 + 1e-6  # the rest of the start's probability is the empty text
+    for sweeps in (1, 3):
+        got = {r["doc_id"]: 10 ** r["score"] for r in P.Model(docs, "held", sweeps=sweeps).scores().collect()}
+        m = np.ones((5, 5))
+        m[0, 0] = got[100]
+        for i in range(4):
+            m[1 + i, 0] = got[101 + i]
+            for j in range(4):
+                m[1 + i, 1 + j] = got[200 + 4 * i + j] / got[101 + j]
+        assert abs(max(abs(np.linalg.eigvals(m))) - 1) < 1e-9
 
 
 def test_tables_follow_the_seating_rule():
