@@ -269,10 +269,11 @@ def spans_and_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     shared = written(rows.join(twice, "g"), "suffixes-shared")
     kinds = _classes(shared, ["g", "u"], "suffix-classes")
-    apart = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
+    # a bucket whose classes are all settled has nothing open to find them
+    apart = kinds.where(F.col("n") == 1).select("g", F.lit(True).alias("apart")).distinct()
     found = written(shared.join(kinds, ["g", "u"]).join(apart, "g", "left").select(
         "key", "run", (F.col("n") > 1).alias("settled"),
-        (F.col("kinds").isNotNull() & ((F.col("n") == 1) | (F.col("key") == F.col("least")))).alias("open")), "suffixes-found")
+        (F.col("apart").isNotNull() & ((F.col("n") == 1) | (F.col("key") == F.col("least")))).alias("open")), "suffixes-found")
 
     touched = found.select("key").distinct()
     texts = _bucketed(_packed(docs).join(touched, "key", "left_semi").dropDuplicates(["key"]), "key", "touched")
@@ -280,13 +281,16 @@ def spans_and_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = written(_from_texts(texts, found.where("open").select("key", "run"), cells, ["c1", "c2", "u1", "u2", "run"]),
                   "cells")
     alive = _classes(cut, ["c1", "c2"], "cell-cores").where(F.col("n") > 1).select("c1", "c2")
-    living = written(cut.join(alive, ["c1", "c2"]).drop("c1", "c2"), "cells-alive")
+    living = written(cut.join(alive, ["c1", "c2"]), "cells-alive")
     covers = _classes(living.where(F.col("u1") != 0), ["u1", "u2"], "cell-covers").where(F.col("n") > 1)
     judged = written(living.join(covers, ["u1", "u2"], "left").select(
-        "key", "run", F.col("n").isNotNull().alias("settled"),
-        (F.col("n").isNull() | (F.col("key") == F.col("least"))).alias("open")), "cells-judged")
+        "key", "run", "c1", "c2", F.col("n").isNotNull().alias("settled"), (F.col("key") == F.col("least")).alias("first")),
+        "cells-judged")
+    lone = judged.where(~F.col("settled"))
+    along = judged.where(F.col("settled") & F.col("first")).join(lone.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi")
+    open_ = lone.select("key", "run").union(along.select("key", "run"))
 
-    last = written(_from_texts(texts, judged.where("open").select("key", "run"), single_windows, ["k1", "k2", "start"]),
+    last = written(_from_texts(texts, open_, single_windows, ["k1", "k2", "start"]),
                    "windows")
     again = _classes(last, ["k1", "k2"], "window-classes").where(F.col("n") > 1).select("k1", "k2")
     single = last.join(again, ["k1", "k2"]).select("key", F.col("start").alias("first"), F.col("start").alias("last"))
