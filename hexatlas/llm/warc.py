@@ -10,6 +10,7 @@ files of at most ``RECORDS_PER_FILE`` records, and a reader task holds one file
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
 import re
 import uuid
@@ -44,23 +45,27 @@ def _line(name: str, value: Column) -> Column:
 
 
 def record_text(page_id: Column, kind: Column, url: Column, date: Column, payload: Column, digest: Column,
-                payload_bytes: Column, refers_to: Column) -> Column:
+                payload_bytes: Column, refers_to: Column, own_id: Column | None = None,
+                refers_to_id: Column | None = None) -> Column:
     """One WARC record as text, without the two line ends that close it.
 
     ``digest`` is the bare hex SHA-1 of the whole payload; a revisit keeps it and has no block.
-    The record id is made from the page id, so a task that runs again writes the same record.
+    ``own_id`` and ``refers_to_id`` are record ids; unless given they are made from the page
+    ids, so a task that runs again writes the same record.
     """
-    block = F.when(kind == "response", payload).otherwise(F.lit(""))
+    block = F.when(kind == "revisit", F.lit("")).otherwise(F.coalesce(payload, F.lit("")))
+    own_id = record_id(page_id) if own_id is None else own_id
+    refers_to_id = record_id(refers_to) if refers_to_id is None else refers_to_id
     return F.concat(
         F.lit("WARC/1.0" + CRLF),
         _line("WARC-Type", kind),
-        _line("WARC-Record-ID", F.concat(F.lit("<"), record_id(page_id), F.lit(">"))),
+        _line("WARC-Record-ID", F.concat(F.lit("<"), own_id, F.lit(">"))),
         _line("WARC-Date", date),
         _line("WARC-Target-URI", _clean(url)),
         _line("X-Page-ID", page_id.cast("string")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
         _line("X-Payload-Length", payload_bytes.cast("string")),
-        _line("WARC-Refers-To", F.when(kind == "revisit", F.concat(F.lit("<"), record_id(refers_to), F.lit(">")))),
+        _line("WARC-Refers-To", F.when(kind == "revisit", F.concat(F.lit("<"), refers_to_id, F.lit(">")))),
         _line("X-Refers-To-Page-ID", F.when(kind == "revisit", refers_to.cast("string"))),
         _line("WARC-Profile", F.when(kind == "revisit", F.lit(PROFILE))),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -115,7 +120,10 @@ def _digest(value: str | None) -> str | None:
     bare = value.rpartition(":")[2]
     if re.fullmatch("[0-9a-fA-F]{40}", bare):
         return bare.lower()
-    return base64.b32decode(bare.upper()).hex()
+    try:
+        return base64.b32decode(bare.upper()).hex()
+    except binascii.Error:
+        return bare
 
 
 def _row(fields: dict[str, str], block: bytes, with_payload: bool) -> tuple:
@@ -159,35 +167,77 @@ def read_archives(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     return files.select("content").mapInPandas(run, schema)
 
 
+def _originals(headers: DataFrame, least: int) -> DataFrame:
+    """``payload_digest, payload_bytes, original, original_id`` of each payload of ``least`` bytes or more.
+
+    Only responses hold a payload; the one of the largest page id keeps it, without page ids the
+    one of the least record id.
+    """
+    large = headers.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least))
+    return large.groupBy("payload_digest", "payload_bytes").agg(
+        F.max("page_id").alias("original"), F.min(F.struct(F.col("page_id").isNull(), (-F.col("page_id")).alias("at"), "record_id"))
+        .getField("record_id").alias("original_id"))
+
+
 def resolve_revisits(headers: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
-    """``page_id, original`` of each record whose payload another record keeps.
+    """``page_id, payload_digest, payload_bytes, original, original_id``, a row for each response to be a revisit.
 
-    Of records of equal digest and at least ``least`` bytes, that of the largest page id keeps
-    it. Copies are counted before the shuffle, so a payload held by a third of all pages is one
-    row per task; the join back is against one row per repeated payload.
+    Of responses of equal digest and at least ``least`` bytes, that of the largest page id keeps
+    the payload. Copies are counted before the shuffle, so a payload held by a third of all pages
+    is one row per task; the join back is against one row per repeated payload. Rows that are
+    equal in all columns are one.
     """
-    large = headers.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest", "payload_bytes")
-    kept = (large.groupBy("payload_digest", "payload_bytes")
-            .agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies"))
-            .where(F.col("copies") > 1).drop("copies"))
+    kept = _originals(headers, least)
+    large = headers.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least)).select(
+        "page_id", "payload_digest", "payload_bytes")
     found = large.join(kept, ["payload_digest", "payload_bytes"])
-    return found.where(F.col("page_id") < F.col("original")).select("page_id", "original")
+    return found.where(F.col("page_id") < F.col("original")).select(
+        "page_id", "payload_digest", "payload_bytes", "original", "original_id").distinct()
+
+
+def _input_revisits(headers: DataFrame) -> DataFrame:
+    """``record_id, to_page, to_id`` of each revisit whose response is among ``headers``.
+
+    The response is the one it refers to, else the one that keeps its digest. Where the
+    response gives its payload to another record, that record is meant.
+    """
+    responses = headers.where(F.col("record_type") == "response")
+    by_digest = responses.groupBy("payload_digest").agg(F.min(F.struct(
+        F.col("page_id").isNull(), (-F.col("page_id")).alias("at"), "record_id", "page_id")).alias("d"))
+    by_id = responses.groupBy("record_id").agg(F.min("payload_digest").alias("by_id"))
+    asked = headers.where(F.col("record_type") == "revisit").select(
+        "record_id", "refers_to_id", F.col("payload_digest").alias("own")).distinct()
+    named = asked.join(by_id.withColumnRenamed("record_id", "_id"), F.col("refers_to_id") == F.col("_id"), "left")
+    wanted = named.select("record_id", F.coalesce("by_id", "own").alias("payload_digest"))
+    return wanted.join(by_digest, "payload_digest").groupBy("record_id").agg(F.min("d").alias("d")).select(
+        "record_id", F.col("d.page_id").alias("to_page"), F.col("d.record_id").alias("to_id"))
 
 
 def deduplicate(spark: SparkSession, path: str, out: str, least: int = LEAST_PAYLOAD) -> None:
     """Write the archives below ``path`` again to ``out``, repeated payloads as revisits.
 
-    Headers alone are shuffled to find the originals. Records take fresh headers, since type,
-    lengths and references change.
+    Headers alone are shuffled to find the originals. Records keep their ids and, but for new
+    revisits, their blocks; they take fresh headers, since type, lengths and references change.
+    A revisit in the input refers to the response that keeps its payload; where none is there
+    it keeps what it referred to.
     """
-    revisits = resolve_revisits(read_archives(spark, path, payloads=False), least)
+    headers = read_archives(spark, path, payloads=False)
+    new = resolve_revisits(headers, least).select(
+        F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"),
+        "original", "original_id")
+    old = _input_revisits(headers).withColumnRenamed("record_id", "_record")
     records = read_archives(spark, path, payloads=True)
-    both = records.join(revisits.select(F.col("page_id").alias("_page"), "original"),
-                        F.col("page_id") == F.col("_page"), "left")
+    response, revisit = F.col("record_type") == "response", F.col("record_type") == "revisit"
+    both = records.join(new, response & (F.col("page_id") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
+                        & (F.col("payload_bytes") == F.col("_bytes")), "left")
+    both = both.join(old, revisit & (F.col("record_id") == F.col("_record")), "left")
     kind = F.when(F.col("original").isNotNull(), F.lit("revisit")).otherwise(F.col("record_type"))
+    found = F.col("to_id").isNotNull()
     write_archives(both.select(record_text(
         F.col("page_id"), kind, F.col("target_uri"), F.col("date"), F.col("payload").cast("string"),
-        F.col("payload_digest"), F.col("payload_bytes"), F.coalesce(F.col("original"), F.col("refers_to_page")))), out)
+        F.col("payload_digest"), F.col("payload_bytes"),
+        F.coalesce("original", F.when(found, F.col("to_page")).otherwise(F.col("refers_to_page"))),
+        F.col("record_id"), F.coalesce("original_id", "to_id", "refers_to_id"))), out)
 
 
 def archive_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -201,8 +251,8 @@ def archive_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
 def revisits_of_pages(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) -> DataFrame:
     """Archive ``pages``, resolve revisits, and return the headers read from the new archives.
 
-    One row per row of ``pages``. Page ids are taken to be unique; rows of equal id and payload
-    both stay responses, a null id is never an original of another record and never a revisit.
+    One row per row of ``pages``, repeated rows included. Rows of equal id are told apart by
+    payload; a null id is never an original of another record and never a revisit.
     Extra columns are left out. An empty table writes empty archives and gives no rows.
     """
     spark = pages.sparkSession

@@ -60,6 +60,40 @@ def test_archives_round_trip(spark, tmp_path):
     assert W.revisits_of_pages(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_repeated_rows_of_pages(spark, tmp_path):
+    x, y = "x" * 1200, "y" * 1200
+    rows = [(5, "a", x), (5, "a", x), (7, "b", x), (5, "c", y), (None, "d", x)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = W.revisits_of_pages(pages, str(tmp_path / "w")).collect()
+    assert sorted((r["target_uri"], r["record_type"], r["refers_to_page"]) for r in got) == [
+        ("a", "revisit", 7), ("a", "revisit", 7), ("b", "response", None), ("c", "response", None), ("d", "response", None)]
+
+
+def test_archive_that_holds_revisits(spark, tmp_path):
+    def record(kind, name, body="", page=None, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:x:{name}>", "WARC-Date": "2024-01-01T00:00:00Z",
+                **({"X-Page-ID": str(page)} if page else {}), **{k.replace("_", "-"): v for k, v in more.items()}}
+        lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
+        return f"WARC/1.0\r\n{lines}Content-Length: {len(body.encode())}\r\n\r\n{body}\r\n\r\n"
+
+    x, y = "x" * 1200, "y" * 1200
+    digest = "sha1:" + hashlib.sha1(x.encode()).hexdigest()
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "part-0.warc").write_bytes("".join([
+        record("warcinfo", "info", "software: z\r\n"), record("response", "r1", x, 1), record("response", "r2", x, 2),
+        record("revisit", "v9", page=9, WARC_Payload_Digest=digest, X_Payload_Length="1200"),
+        record("revisit", "named", WARC_Refers_To="<urn:x:r1>"), record("revisit", "lost", WARC_Refers_To="<urn:y:far>"),
+        record("response", "plain", y)]).encode())
+    W.deduplicate(spark, str(source), str(tmp_path / "out"))
+    got = {r["record_id"]: (r["record_type"], r["refers_to_id"], len(r["payload"]))
+           for r in W.read_archives(spark, str(tmp_path / "out"), payloads=True).collect()}
+    assert got == {
+        "urn:x:info": ("warcinfo", None, 13), "urn:x:r1": ("revisit", "urn:x:r2", 0), "urn:x:r2": ("response", None, 1200),
+        "urn:x:v9": ("revisit", "urn:x:r2", 0), "urn:x:named": ("revisit", "urn:x:r2", 0),
+        "urn:x:lost": ("revisit", "urn:y:far", 0), "urn:x:plain": ("response", None, 1200)}
+
+
 # --- SimHash and components ------------------------------------------------------------
 
 def linked(fps):
