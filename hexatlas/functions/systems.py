@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,6 +18,9 @@ def whole_quotient(a: Column, b: int) -> Column:
 class CellSystem:
     """What the tiling operators need to know about a family of cells."""
 
+    #: Resolution whose cells are the folders of a store: some tens to a hundred.
+    block_res: ClassVar[int]
+
     def with_centroid(self, df: DataFrame, res: int) -> DataFrame:
         """Add ``lng, lat`` in degrees for ``cell_id`` at one resolution."""
         raise NotImplementedError
@@ -35,6 +39,14 @@ class CellSystem:
         """Exact number of cells of a resolution: the bound that permits a broadcast."""
         raise NotImplementedError
 
+    def block(self, cell: Column, res: int) -> Column:
+        """The store folder of a cell: its ancestor at ``block_res``, NULL for NULL."""
+        return self.parent(cell, res, self.block_res)
+
+    def curve(self, cell: Column) -> Column:
+        """A number by which cells of one resolution that are near sort near."""
+        raise NotImplementedError
+
 
 @dataclass(frozen=True)
 class Lattice(CellSystem):
@@ -43,6 +55,8 @@ class Lattice(CellSystem):
     ``cell_id = res << 52 | x << 26 | y``. All arithmetic on ids is integer arithmetic.
     """
 
+    block_res: ClassVar[int] = 0
+
     def side(self, res: int) -> int:
         return 1 << (res + 2)
 
@@ -86,14 +100,28 @@ class Lattice(CellSystem):
     def size_at(self, res: int) -> int:
         return self.side(res) ** 2
 
+    def curve(self, cell: Column) -> Column:
+        """Z-order: the bits of column and row in turn."""
+        def spread(v: Column) -> Column:
+            for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+                                (2, 0x3333333333333333), (1, 0x5555555555555555)):
+                v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+            return v
+
+        return F.shiftleft(spread(self.column_of(cell)), 1).bitwiseOR(spread(self.row_of(cell)))
+
 
 @dataclass(frozen=True)
 class Hexagons(CellSystem):
     """Hexagon indexes whose centroids come from a ``cell_dim(cell_id, res, lng, lat)``.
 
-    Keep ``cell_dim`` partitioned by ``res``: every use reads one resolution.
+    Keep ``cell_dim`` partitioned by ``res``: every use reads one resolution. The digits of an
+    index are its path through nested parents, so indexes sort along a curve as they are, and
+    the 122 base cells are the folders of a store.
     """
 
+    block_res: ClassVar[int] = 0
+
     cell_dim: DataFrame
 
     def with_centroid(self, df: DataFrame, res: int) -> DataFrame:
@@ -112,3 +140,6 @@ class Hexagons(CellSystem):
 
     def size_at(self, res: int) -> int:
         return 2 + 120 * 7 ** res
+
+    def curve(self, cell: Column) -> Column:
+        return cell

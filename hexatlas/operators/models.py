@@ -82,11 +82,18 @@ def scores_for_cells(scores: DataFrame, cells: DataFrame, metric: str = "metric"
             .groupBy(metric).agg(F.avg(value).alias("score"), F.count(value).alias("n_cells")))
 
 
-def species_for_cells(cell_model: DataFrame, cells: DataFrame) -> DataFrame:
+def species_for_cells(cell_model: DataFrame, cells: DataFrame, block: Column | None = None) -> DataFrame:
     """Models present in an area: cells each covers and its mean value there.
 
-    Meant for the cell-oriented layout, where an area reads a few row groups.
+    On the cell-oriented layout give ``block``, the folder of a cell of ``cells``: folders that
+    the area does not touch are then never opened. The folders of a grid are few, which is
+    what permits their broadcast; the cells are met by a join of their own.
     """
-    return (cell_model.join(cells.select("cell_id"), "cell_id", "left_semi")
+    rows = cell_model
+    if block is not None:
+        # the comparison marks the side as selective, without which partitions are not pruned
+        touched = cells.select(block.alias("block")).where(F.col("block") >= 0).distinct()
+        rows = rows.join(F.broadcast(touched), "block", "left_semi")
+    return (rows.join(cells.select("cell_id"), "cell_id", "left_semi")
             .groupBy("mdl_key").agg(F.count(F.lit(1)).alias("n_cells"),
                                     F.avg("val").alias("mean_val")))

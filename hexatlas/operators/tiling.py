@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hexatlas.functions import cells
 from hexatlas.functions.systems import CellSystem
+from hexatlas.session import written
 
 # Tile buffer and covering buffer in cell edges, resolution of the stored
 # prune column, polar limit of a covering box in degrees.
@@ -16,6 +17,11 @@ COVER_BUFFER_EDGES = 2.0
 PRUNE_RES = 3
 POLAR_LIMIT = 89.9
 
+# Records of a tile document; a larger tile is several documents.
+PART_ROWS = 50_000
+# A broadcast of coarse cells is 16 bytes a cell: up to 16 MB.
+MOST_BROADCAST_CELLS = 1 << 20
+
 TILE = ["z", "x", "y"]
 # Candidate tiles are taken this much too wide; the exact test follows.
 SLACK = 1e-9
@@ -132,17 +138,33 @@ def tile_records(capped: DataFrame) -> DataFrame:
     return capped.select(*TILE, cells.cell_hex(F.col("cell_id")).alias("h3id"), "value", "n", *total)
 
 
-def tile_documents(records: DataFrame) -> DataFrame:
-    """One JSON document per tile; a tile's records are one list.
+def tile_documents(records: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """JSON documents of tiles, ``z, x, y, part, parts, n_records, body``; parts count from 1.
 
-    A NULL ``n`` is left out of its record rather than written as null.
+    Tiles are counted first. A tile of up to ``part_rows`` records is one document; a larger
+    one is dealt out over numbered parts of about that size by a hash of the row's number, which
+    spreads repeated records too. Records are written first, so a row keeps its number when a
+    task is run again. A NULL ``n`` is left out of its record rather than written as null.
     """
     missing = {"h3id", "value", "n"} - set(records.columns)
     if missing:
         raise ValueError(f"tile records lack columns {sorted(missing)}")
-    listed = records.groupBy(*TILE).agg(
+    rows = written(records.select(*TILE, "h3id", "value", "n").withColumn("_row", F.monotonically_increasing_id()),
+                   "tile-records")
+    counted = rows.groupBy(*TILE).agg(F.count(F.lit(1)).alias("_n"))
+    sized = counted.select(*TILE, F.ceil(F.col("_n") / part_rows).cast("int").alias("parts"))
+    at = (F.pmod(F.xxhash64("_row"), F.col("parts")) + 1).cast("int")
+    dealt = rows.join(sized, TILE).withColumn("part", at)
+    listed = dealt.groupBy(*TILE, "part", "parts").agg(
         F.sort_array(F.collect_list(F.struct("h3id", "value", "n"))).alias("cells"))
-    return listed.select(*TILE, F.to_json(F.struct("cells")).alias("body"))
+    return listed.select(*TILE, "part", "parts", F.size("cells").alias("n_records"),
+                         F.to_json(F.struct("cells")).alias("body"))
+
+
+def tile_index(documents: DataFrame) -> DataFrame:
+    """One row per tile: how many parts and records it has, to be read before its parts."""
+    return documents.groupBy(*TILE).agg(
+        F.max("parts").alias("parts"), F.sum("n_records").alias("n_records"))
 
 
 def covering(tiles: DataFrame, system: CellSystem, prune_res: int = PRUNE_RES) -> DataFrame:
@@ -177,25 +199,33 @@ def covering(tiles: DataFrame, system: CellSystem, prune_res: int = PRUNE_RES) -
 
 
 def prune_keys(tiles: DataFrame, system: CellSystem, prune_res: int = PRUNE_RES) -> DataFrame:
-    """Coarse cells that the wanted tiles may read: a subset of the coarse dimension."""
-    return covering(tiles, system, prune_res).select("hex_prune").distinct()
+    """``hex_prune, block``: coarse cells that the wanted tiles may read, and their store folders."""
+    return covering(tiles, system, prune_res).select("hex_prune").distinct().withColumn(
+        "block", system.block(F.col("hex_prune"), prune_res))
 
 
 def prune_scan(source: DataFrame, tiles: DataFrame, system: CellSystem, layer_res: int,
                prune_res: int = PRUNE_RES) -> DataFrame:
     """Restrict a table that carries ``hex_prune`` to what the wanted tiles can show.
 
-    Apply it to the scan, before any join or aggregate of the layer. It must not be
-    applied to layers that normalise over all cells, nor to summaries.
+    On a store in blocks the folders that no tile touches are never opened: the join on ``block``
+    prunes partitions at run time. Apply it to the scan, before any join or aggregate of the
+    layer. It must not be applied to layers that normalise over all cells, nor to summaries.
     """
     if layer_res < prune_res or "hex_prune" not in source.columns:
         return source
-    return source.join(prune_keys(tiles, system, prune_res), "hex_prune", "left_semi")
+    on = [c for c in ("block", "hex_prune") if c in source.columns]
+    # the comparison marks the side as selective, without which partitions are not pruned
+    keys = prune_keys(tiles, system, prune_res).where(F.col("block") >= 0).select(*on)
+    # the coarse cells of the whole map bound the keys, however many tiles are asked for
+    if system.size_at(prune_res) <= MOST_BROADCAST_CELLS:
+        keys = F.broadcast(keys)
+    return source.join(keys, on, "left_semi").select(source.columns)
 
 
 def prune_one_tile(source: DataFrame, system: CellSystem, z: int, x: int, y: int,
                    layer_res: int, prune_res: int = PRUNE_RES) -> DataFrame:
-    """:func:`prune_scan` for a single tile, as a filter that reaches the files.
+    """:func:`prune_scan` for a single tile, as a filter that reaches folders and row groups.
 
     The covering set is read to the driver; it holds coarse cells alone, whose number
     does not grow with the data.
@@ -203,8 +233,13 @@ def prune_one_tile(source: DataFrame, system: CellSystem, z: int, x: int, y: int
     if layer_res < prune_res or "hex_prune" not in source.columns:
         return source
     tile = source.sparkSession.range(1).select(F.lit(z).alias("z"), F.lit(x).alias("x"), F.lit(y).alias("y"))
-    keys = [r["hex_prune"] for r in prune_keys(tile, system, prune_res).collect()]
-    return source.where(F.col("hex_prune").isin(keys) if keys else F.lit(False))
+    keys = prune_keys(tile, system, prune_res).collect()
+    if not keys:
+        return source.where(F.lit(False))
+    found = source.where(F.col("hex_prune").isin([r["hex_prune"] for r in keys]))
+    if "block" in source.columns:
+        found = found.where(F.col("block").isin(sorted({r["block"] for r in keys})))
+    return found
 
 
 def layer_tiles(layers: list[tuple[DataFrame, int, dict[int, int]]], system: CellSystem,

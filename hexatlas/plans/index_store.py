@@ -26,11 +26,10 @@ def build(occurrences: DataFrame, system: CellSystem, base: str, finest: int = 7
     keys = [k for k in D.TAXONOMY if k in occurrences.columns] + ["date_year"]
     counts = written(D.occurrence_counts(occurrences, keys), "counts")
     ranks = [r for r in D.INDEX_RANKS if r in keys]
-    stores.write_occurrence_store(D.occurrence_store(counts, system, finest), f"{base}/occ_h3")
-    stores.write_cell_index(D.cell_index(counts, system, finest), f"{base}/idx_h3")
-    stores.write_taxon_index(
-        D.taxon_index(counts, system, finest, ranks=ranks, one_lineage=one_lineage),
-        f"{base}/idx_h3_taxon")
+    stores.write_occurrence_store(D.occurrence_store(counts, system, finest), f"{base}/occ_h3", system)
+    stores.write_cell_index(D.cell_index(counts, system, finest), f"{base}/idx_h3", system)
+    taxa = D.taxon_index(counts, system, finest, ranks=ranks, one_lineage=one_lineage)
+    stores.write_taxon_index(D.with_prune_column(taxa, system, D.INDEX_RESOLUTIONS), f"{base}/idx_h3_taxon", system)
 
 
 def layer(spark: SparkSession, base: str, metric: str, system: CellSystem | None = None,

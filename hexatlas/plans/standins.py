@@ -18,6 +18,8 @@ FINEST = 7
 GRID_STEP_M = 500
 GRID_COLUMNS = 720
 GRID_ROWS = 360
+# Side of a store folder in grid cells: 18 x 9 folders.
+GRID_BLOCK = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -88,17 +88,30 @@ def silences(beats: DataFrame, as_of: Column) -> DataFrame:
                     (F.col("last") + limit).alias("alert_at"), "back_at"))
 
 
-def watch(beats: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Streaming alerts: one row per silence, once event time has passed its limit.
+def ticking(spark: SparkSession) -> DataFrame:
+    """A clock for :func:`watch`: the wall time, once a second, as ``t``."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.col("timestamp").alias("t"))
+
+
+def watch(beats: DataFrame, lateness: str = "10 minutes", clock: DataFrame | None = None) -> DataFrame:
+    """Streaming alerts: one row per silence, once time has passed its limit.
 
     A run of beats closer than the limit is one session; its end is the last beat plus the
     limit, which is when the alert falls due. Out-of-order beats within ``lateness`` join
-    or merge sessions; later ones are dropped and cannot revive a host. Time is event
-    time: the watermark moves with the beats of all hosts, not with the wall clock.
+    or merge sessions; later ones are dropped and cannot revive a host.
+
+    Without a ``clock``, time moves with the beats of all hosts, so nothing is said while all are
+    silent. A clock is a second stream with a timestamp ``t``, such as :func:`ticking`: its ticks
+    join the beats before the watermark is taken and move it on by themselves. They belong to
+    no host; their one session is never shown.
     """
-    timed = beats.withColumn("t", beat_time(F.col("timestamp"))).withWatermark("t", lateness)
-    return (timed.groupBy("hostname", F.session_window("t", f"{SILENT_SECONDS} seconds").alias("w"))
+    timed = beats.where(F.col("hostname").isNotNull()).select("hostname", beat_time(F.col("timestamp")).alias("t"))
+    if clock is not None:
+        timed = timed.unionByName(clock.select(F.lit(None).cast("string").alias("hostname"), "t"))
+    return (timed.withWatermark("t", lateness)
+            .groupBy("hostname", F.session_window("t", f"{SILENT_SECONDS} seconds").alias("w"))
             .agg(F.max("t").alias("last_beat"), F.count(F.lit(1)).alias("beats"))
+            .where(F.col("hostname").isNotNull())
             .select("hostname", "last_beat", F.col("w.end").alias("alert_at"), "beats"))
 
 

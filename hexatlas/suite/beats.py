@@ -99,3 +99,17 @@ def alerts(spark: SparkSession, sf: str) -> DataFrame:
     H.run_watch(H.watch(H.stream_beats(spark, _files(spark, sf))), out, scratch_path(spark, "alerts_state"))
     schema = "hostname string, last_beat timestamp, alert_at timestamp, beats bigint"
     return spark.read.schema(schema).parquet(out).select("hostname", _text("last_beat"), _text("alert_at"))
+
+
+# with a clock that has reached the last instant, the stream has said what the batch says then
+@query("HB3_clocked_alerts", _SILENT + f"""
+    SELECT hostname, {_TEXT.format('t')} AS last_beat, {_TEXT.format("t + INTERVAL 960 SECOND")} AS alert_at
+    FROM b, n WHERE coalesce(nxt, as_of) >= t + INTERVAL 960 SECOND""")
+def clocked_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    ticks, out = scratch_path(spark, "ticks"), scratch_path(spark, "alerts")
+    late = F.make_dt_interval(mins=F.lit(10))
+    beats(spark, sf).agg((F.max(H.beat_time(F.col("timestamp"))) + late).alias("t")).write.parquet(ticks)
+    clock = spark.readStream.schema("t timestamp").parquet(ticks)
+    H.run_watch(H.watch(H.stream_beats(spark, _files(spark, sf)), clock=clock), out, scratch_path(spark, "alerts_state"))
+    schema = "hostname string, last_beat timestamp, alert_at timestamp, beats bigint"
+    return spark.read.schema(schema).parquet(out).select("hostname", _text("last_beat"), _text("alert_at"))

@@ -8,6 +8,8 @@ from hexatlas.operators import models as M
 from hexatlas.operators.raster import grid_bounds, layer_documents
 from hexatlas.operators.space import cells_in_polygon, cells_in_polygons
 from hexatlas.plans import standins as S
+from hexatlas.session import scratch_path
+from hexatlas.sources import stores
 from hexatlas.suite.base import (
     MODEL_CELLS, grid_cell_sql, grid_col_sql, grid_row_sql, query, risen, turned)
 
@@ -162,7 +164,10 @@ def area_scores(spark: SparkSession, sf: str) -> DataFrame:
        f"SELECT mdl_key, count(*) AS n_cells, avg(val) AS mean_val FROM ({MODEL_CELLS}) "
        f"WHERE cell_id IN ({_AREA}) GROUP BY 1")
 def area_species(spark: SparkSession, sf: str) -> DataFrame:
-    return M.species_for_cells(S.model_cells(spark, sf), polygon(spark, sf))
+    path = scratch_path(spark, "cell_model")
+    stores.write_cell_models(S.model_cells(spark, sf), path, S.GRID_COLUMNS, S.GRID_BLOCK)
+    return M.species_for_cells(spark.read.parquet(path), polygon(spark, sf),
+                               stores.grid_block(F.col("cell_id"), S.GRID_COLUMNS, S.GRID_BLOCK))
 
 
 @query("T10_grid_bounds",

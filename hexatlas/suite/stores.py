@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hexatlas.functions.cells import MAX_RES, MIN_RES
@@ -103,25 +105,29 @@ def served(spark: SparkSession, sf: str) -> DataFrame:
 @query("S7_cell_store", MODEL_CELLS)
 def cell_store(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "cell_model")
-    stores.write_cell_models(S.model_cells(spark, sf), path)
-    return spark.read.parquet(path)
+    stores.write_cell_models(S.model_cells(spark, sf), path, S.GRID_COLUMNS, S.GRID_BLOCK)
+    return spark.read.parquet(path).drop("block")
 
 
 @query("S8_occurrence_store", _STORE)
 def stored_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "occ_h3")
-    stores.write_occurrence_store(_store(spark, sf), path)
-    return spark.read.parquet(path)
+    stores.write_occurrence_store(_store(spark, sf), path, S.LATTICE)
+    return spark.read.parquet(path).drop("block")
+
+
+_AT3 = "((3::BIGINT << 52) | ((((cell_id >> 26) & 67108863) >> {g}) << 26) | ((cell_id & 67108863) >> {g}))"
+_PRUNE_CASES = "CASE res " + " ".join(f"WHEN {r} THEN {_AT3.format(g=r - 3)}" for r in D.INDEX_RESOLUTIONS if r >= 3) + " END"
 
 
-@query("S8_taxon_index_store", _indices_sql(
+@query("S8_taxon_index_store", f"SELECT *, {_PRUNE_CASES} AS hex_prune FROM (" + _indices_sql(
     " UNION ALL ".join(
         f"SELECT '{rank}' AS rank, \"{rank}\" AS taxon, res, cell_id, aphiaid, 1 AS w "
-        f"FROM ({_tiers_sql([1, 2, 3, 4])})" for rank in ("class", "order")), "rank, taxon, res, cell_id"))
+        f"FROM ({_tiers_sql(D.INDEX_RESOLUTIONS)})" for rank in D.INDEX_RANKS), "rank, taxon, res, cell_id") + ")")
 def stored_index(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "idx_h3_taxon")
-    index = D.taxon_index(S.occurrences(spark, sf, res=4), S.LATTICE, 4, [1, 2, 3, 4], ["class", "order"])
-    stores.write_taxon_index(index, path)
+    index = D.taxon_index(S.occurrences(spark, sf), S.LATTICE, one_lineage=True)
+    stores.write_taxon_index(D.with_prune_column(index, S.LATTICE, D.INDEX_RESOLUTIONS), path, S.LATTICE)
     return rounded(spark.read.parquet(path))
 
 
@@ -133,7 +139,8 @@ _EDITIONS = {
 
 @query("S10_releases", " UNION ALL ".join(
     f"SELECT '{asked}' AS asked, o_orderstatus, count(*) AS n FROM ({_EDITIONS[r]}) GROUP BY 2"
-    for asked, r in (("latest", "v20250601"), ("v20240101", "v20240101"), ("v20250601", "v20250601"))))
+    for asked, r in (("latest", "v20250601"), ("v20240101", "v20240101"), ("v20250601", "v20250601"),
+                     ("rolled back", "v20240101"))))
 def released(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "releases")
     orders = S.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
@@ -145,8 +152,9 @@ def released(spark: SparkSession, sf: str) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("n"))
                 .select(F.lit(asked).alias("asked"), "o_orderstatus", "n"))
 
-    return (counted("latest", None).unionByName(counted("v20240101", "v20240101"))
-            .unionByName(counted("v20250601", "v20250601")))
+    parts = [counted("latest", None), counted("v20240101", "v20240101"), counted("v20250601", "v20250601")]
+    stores.make_current(spark, base, "v20240101")
+    return reduce(DataFrame.unionByName, [*parts, counted("rolled back", None)])
 
 
 @query("S11_occurrence_files", "SELECT l_partkey AS aphiaid, count(*) AS records FROM lineitem GROUP BY 1")
@@ -216,15 +224,15 @@ def release_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("S15_item_collections",
-       "SELECT p_type AS collection, p_partkey AS item_id, p_size AS rows_hint FROM part WHERE p_type IN ('SMALL','ECONOMY','LARGE')")
+       "SELECT p_type AS collection, p_partkey AS item_id, p_size AS rows_hint FROM part")
 def item_files(spark: SparkSession, sf: str) -> DataFrame:
     part = S.table(spark, sf, "part")
-    paths = {}
-    for kind in ("SMALL", "ECONOMY", "LARGE"):
-        paths[kind] = scratch_path(spark, "items")
-        part.where(F.col("p_type") == kind).select(
-            F.col("p_partkey").alias("item_id"), F.col("p_size").alias("rows_hint")).write.parquet(paths[kind])
-    return registry.item_collections(spark, paths)
+    path = scratch_path(spark, "items")
+    (part.select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("item_id"), F.col("p_size").alias("rows_hint"))
+     .write.partitionBy("kind").parquet(path))
+    # the map of collections comes from the data: there are as many as part types
+    kinds = [r["p_type"] for r in part.select("p_type").distinct().collect()]
+    return registry.item_collections(spark, {k: f"{path}/kind={k}" for k in kinds})
 
 
 @query("P3_resolution_columns", "SELECT c_custkey, " + ", ".join(

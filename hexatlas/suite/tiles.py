@@ -11,7 +11,7 @@ from hexatlas.operators.layers import hex_layer
 from hexatlas.plans import standins as S
 from hexatlas.plans.hex_tiles import pyramid, single_tile
 from hexatlas.session import scratch_path
-from hexatlas.sources.stores import write_tile_documents
+from hexatlas.sources.stores import write_blocks, write_tile_documents
 from hexatlas.suite.base import (
     cell_sql, hexed, lat_of, lng_of, north_sql, query, risen, tiled_sql,
     tiles_sql, turned)
@@ -185,7 +185,9 @@ def pruned(spark: SparkSession, sf: str) -> DataFrame:
     orders = S.table(spark, sf, "orders").select(
         S.cell_of_customer(k, 4).alias("cell_id"), S.cents(F.col("o_totalprice")).alias("cents"),
         S.cell_of_customer(k, T.PRUNE_RES).alias("hex_prune"))
-    scanned = T.prune_scan(orders, tiles, S.LATTICE, layer_res=4)
+    path = scratch_path(spark, "located_orders")
+    write_blocks(orders, path, S.LATTICE)
+    scanned = T.prune_scan(spark.read.parquet(path), tiles, S.LATTICE, layer_res=4)
     layer = scanned.groupBy("cell_id").agg(
         (F.sum("cents").cast("double") / F.count(F.lit(1)) / 100).alias("value"),
         F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hexatlas import session
+from hexatlas.functions.systems import Lattice
 from hexatlas.sources import registry as G, releases as V, stores as W
 
 
@@ -54,23 +55,45 @@ def test_an_oversized_model_is_written_by_several_tasks(spark, tmp_path):
     assert len(files) > 1 and spark.read.parquet(str(tmp_path / "hot")).count() == 200_000
 
 
-def test_cell_store_is_sorted(spark, tmp_path):
-    rows = spark.range(5000).selectExpr("id * 7919 % 500 cell_id", "concat('m', id % 10) mdl_key", "1D val")
-    W.write_cell_models(rows, str(tmp_path / "c"), partitions=4)
-    spans = spark.read.parquet(str(tmp_path / "c")).groupBy(F.input_file_name()).agg(
-        F.min("cell_id").alias("a"), F.max("cell_id").alias("b")).orderBy("a").collect()
-    assert len(spans) > 1 and all(x["b"] <= y["a"] for x, y in zip(spans, spans[1:]))
+def test_cell_store_is_sorted_within_its_squares(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id * 7919 % 500 + 1 cell_id", "concat('m', id % 10) mdl_key", "1D val")
+    W.write_cell_models(rows, str(tmp_path / "c"), columns=25, step=10)
+    back = spark.read.parquet(str(tmp_path / "c"))
+    assert back.count() == 5000
+    squares = {(r["cell_id"], r["block"]) for r in back.select("cell_id", "block").distinct().collect()}
+    assert squares == {(c + 1, c // 25 // 10 * 3 + c % 25 // 10) for c in range(500)}
+    spans = back.groupBy(F.input_file_name(), "block").agg(F.min("cell_id").alias("a"), F.max("cell_id").alias("b")).orderBy("block", "a").collect()
+    assert all(x["b"] <= y["a"] for x, y in zip(spans, spans[1:]) if x["block"] == y["block"])
+
+
+def test_an_area_opens_the_squares_it_touches(spark, tmp_path):
+    from hexatlas.operators.models import species_for_cells
+    from tests.test_tiling import files_read
+
+    rows = spark.range(20_000).selectExpr("id * 7919 % 10000 + 1 cell_id", "concat('m', id % 7) mdl_key", "id % 5 + 0D val")
+    W.write_cell_models(rows, str(tmp_path / "c"), columns=100, step=10)
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    # an area without any filter of its own: cells of three squares
+    area = spark.createDataFrame([(c,) for c in (1, 2, 205, 5051, 9999, 9999)], "cell_id long")
+    found = species_for_cells(stored, area, W.grid_block(F.col("cell_id"), 100, 10))
+    want = species_for_cells(rows, area)
+    assert sorted(found.collect()) == sorted(want.collect()) and found.count() > 0
+    touched = spark.range(1).select(*[W.grid_block(F.lit(c), 100, 10).alias(f"c{c}") for c in (1, 2, 205, 5051, 9999)]).first()
+    assert len(set(touched)) == 3
+    inside = files_read(stored.where(F.col("block").isin(list(set(touched)))).select("val"))
+    assert 0 < files_read(found) == inside < files_read(stored.select("val")) / 10
+    assert "dynamicpruning" in plan(found)
 
 
 def test_clustered_stores_prune(spark, tmp_path):
     occ = spark.range(1000).selectExpr("id % 3 * 2 + 3 res", "id cell_id", "id % 9 aphiaid", "'p' phylum", "concat('c', id % 4) class",
                                        "'o' `order`", "2000 date_year", "1L records", "id % 5 hex_prune")
-    W.write_occurrence_store(occ, str(tmp_path / "occ"))
+    W.write_occurrence_store(occ, str(tmp_path / "occ"), Lattice())
     read = spark.read.parquet(str(tmp_path / "occ")).where("res = 5 AND class = 'c1'")
     text = plan(read)
     assert "PartitionFilters: [isnotnull(res" in text and "EqualTo(class,c1)" in text
-    W.write_cell_index(occ, str(tmp_path / "idx"))
-    W.write_taxon_index(occ.withColumnsRenamed({"phylum": "rank", "class": "taxon"}), str(tmp_path / "tax"))
+    W.write_cell_index(occ, str(tmp_path / "idx"), Lattice())
+    W.write_taxon_index(occ.withColumnsRenamed({"phylum": "rank", "class": "taxon"}), str(tmp_path / "tax"), Lattice())
     assert spark.read.parquet(str(tmp_path / "tax")).where("rank = 'p'").count() == 1000
     view = W.serve(spark, str(tmp_path / "idx"), "idx_view")
     assert spark.sql("SELECT count(*) c FROM idx_view").head()["c"] == view.count() == 1000
@@ -82,6 +105,14 @@ def test_releases(spark, tmp_path):
         W.write_release(spark.range(n), base, name)
     assert W.read_release(spark, base).count() == 5
     assert W.read_release(spark, base, "v20240101").count() == 3
+    assert all("release=v20250101" in f for f in W.read_release(spark, base).inputFiles())
+    # a folder without a commit record, as a writer leaves it that fails, is never current
+    spark.range(9).write.parquet(f"{base}/release=v20990101")
+    assert W.read_release(spark, base).count() == 5
+    W.make_current(spark, base, "v20240101")
+    assert W.current_release(spark, base) == "v20240101" and W.read_release(spark, base).count() == 3
+    with pytest.raises(Exception, match="(?i)path"):
+        W.read_release(spark, str(tmp_path / "none"))
     with pytest.raises(Exception, match="(?i)already exists"):
         W.write_release(spark.range(1), base, "v20240101")
 

@@ -155,6 +155,90 @@ def test_one_tile_prune_reaches_the_files(spark, tmp_path):
     assert "In(hex_prune" in plan and 0 < pruned.count() < 2000
 
 
+def files_read(df):
+    """Files that the scans of an executed query opened, by their own metric."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    total, pending = 0, [plan]
+    while pending:
+        node = pending.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            pending.append(node.executedPlan())
+        elif kind in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "ResultQueryStageExec"):
+            pending.append(node.plan())
+        elif kind == "FileSourceScanExec":
+            total += node.metrics().apply("numFiles").value()
+        children = node.children()
+        pending += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+class Fine(Lattice):
+    block_res = 1
+
+
+def test_ten_tiles_open_few_files_of_a_store(spark, tmp_path):
+    from hexatlas.sources.stores import write_blocks
+
+    path = str(tmp_path / "blocks")
+    rows = spark.range(40_000).selectExpr("id * 137507 % 360000 - 180000 x", "id * 61803 % 160000 - 80000 y").select(
+        LAT.cell_at(F.col("x"), F.col("y"), 6).alias("cell_id"), LAT.cell_at(F.col("x"), F.col("y"), 3).alias("hex_prune"),
+        (F.col("x") % 10).cast("double").alias("value"))
+    write_blocks(rows, path, Fine())
+    stored = spark.read.parquet(path)
+    whole = files_read(stored.select("value"))
+    asked = tiles_of(spark, *[(8, 120 + i % 5, 100 + i // 5) for i in range(10)])
+    pruned = T.prune_scan(stored, asked, Fine(), layer_res=6)
+    # every file of the folders that the ten tiles touch, and of no other
+    touched = {r["block"] for r in T.prune_keys(asked, Fine()).collect()}
+    in_touched = files_read(stored.where(F.col("block").isin(list(touched))).select("value"))
+    assert 0 < len(touched) <= 6 and 0 < files_read(pruned) == in_touched <= whole / 10
+    assert "dynamicpruning" in pruned._jdf.queryExecution().executedPlan().toString()
+    plain = T.prune_scan(rows, asked, Fine(), layer_res=6)
+    assert pruned.count() > 0 and pruned.drop("block").exceptAll(plain).count() == 0 == plain.exceptAll(pruned.drop("block")).count()
+
+
+def test_curve_is_the_interleaved_bits_and_files_are_compact(spark, tmp_path):
+    cells = [LAT.pack(5, F.lit(x).cast("long"), F.lit(y).cast("long")) for x, y in ((0, 0), (0, 1), (1, 0), (3, 5), (127, 127))]
+    got = [spark.range(1).select(LAT.curve(c).alias("c")).first()["c"] for c in cells]
+    def curve(x, y):
+        return sum(((x >> i & 1) << 2 * i + 1) | ((y >> i & 1) << 2 * i) for i in range(26))
+    assert got == [curve(0, 0), curve(0, 1), curve(1, 0), curve(3, 5), curve(127, 127)]
+    big = spark.range(1).select(LAT.curve(F.lit((24 << 52) | ((1 << 26) - 1 << 26) | ((1 << 26) - 1)).cast("long")).alias("c"))
+    assert big.first()["c"] == curve((1 << 26) - 1, (1 << 26) - 1)
+
+
+def test_rows_coarser_than_the_prune_column_have_no_block(spark, tmp_path):
+    from hexatlas.sources.stores import write_cell_index
+
+    rows = spark.createDataFrame([(1, 5, None), (3, (3 << 52) | (7 << 26) | 9, (3 << 52) | (7 << 26) | 9)],
+                                 "res int, cell_id bigint, hex_prune bigint")
+    write_cell_index(rows, str(tmp_path / "i"), LAT)
+    back = {r["res"]: r["block"] for r in spark.read.parquet(str(tmp_path / "i")).collect()}
+    assert back == {1: None, 3: 1}
+
+
+def test_a_large_tile_is_documents_of_bounded_parts(spark, tmp_path):
+    from hexatlas.sources.stores import write_tile_documents
+
+    hot = spark.range(200_000).selectExpr("1 z", "0 x", "1 y", "concat('c', id div 3) h3id", "id % 7 + 0.5D value", "id n")
+    same = spark.range(60_000).selectExpr("1 z", "1 x", "1 y", "'c' h3id", "1D value", "1L n")
+    small = spark.createDataFrame([(2, 3, 3, "a", 1.0, None)], "z int, x int, y int, h3id string, value double, n bigint")
+    records = hot.union(same).union(small)
+    path = str(tmp_path / "docs")
+    write_tile_documents(T.tile_documents(records, part_rows=5000), path)
+    docs = spark.read.parquet(path)
+    index = {(r["z"], r["x"], r["y"]): (r["parts"], r["n_records"]) for r in T.tile_index(docs).collect()}
+    assert index == {(1, 0, 1): (40, 200_000), (1, 1, 1): (12, 60_000), (2, 3, 3): (1, 1)}
+    assert docs.agg(F.max("n_records")).first()[0] < 5600
+    assert docs.where("z = 1 AND x = 0").select("part").distinct().count() == 40
+    back = docs.select("z", "x", "y", F.explode(F.from_json("body", "cells array<struct<h3id:string,value:double,n:bigint>>")["cells"]).alias("c"))
+    back = back.select("z", "x", "y", "c.h3id", "c.value", "c.n")
+    assert back.exceptAll(records).count() == 0 and records.exceptAll(back).count() == 0
+    assert T.tile_documents(records.limit(0)).count() == 0
+
+
 def test_hexagons_take_centroids_from_the_dimension(spark):
     dim = spark.createDataFrame([(0x85283473FFFFFFF, 5, -122.0, 37.3), (0x832834FFFFFFFFF, 3, -121.0, 38.0)],
                                 "cell_id bigint, res int, lng double, lat double")
@@ -179,7 +263,10 @@ def test_stored_tile_reads_little_and_loses_nothing(spark, tmp_path):
         want = single_tile(index_store.layer(spark, base, "n", LAT, **filters), LAT, 6, 40, 30)
         assert got.count() > 0 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
         plan = got._jdf.queryExecution().executedPlan().toString()
-        assert ("hex_prune INSET" in plan or "hex_prune IN" in plan or "In(hex_prune" in plan) == ("taxon" not in filters)
+        assert "hex_prune INSET" in plan or "hex_prune IN" in plan or "In(hex_prune" in plan
+        folders = [line for line in plan.splitlines() if "PartitionFilters" in line]
+        assert folders and ("taxon" in filters or all(
+            "block" in line.split("PartitionFilters")[1].split("PushedFilters")[0] for line in folders))
     with pytest.raises(ValueError):
         index_store.layer(spark, base, "weight")
 
