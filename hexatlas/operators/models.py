@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hexatlas.operators.ranking import dense_ids
-from hexatlas.operators.space import box_overlap
+from hexatlas.operators.space import Ring, box_meets_ring, box_overlap
 
 
 def model_registry(model_cells: DataFrame) -> DataFrame:
@@ -51,13 +51,18 @@ def catalogue_items(boxes: DataFrame, href: Column, collection: Column,
 
 
 def search(items: DataFrame, collections: list[str] | None = None,
-           bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Items of the collections whose box meets ``bbox``; both filters reach the scan."""
+           bbox: tuple[float, float, float, float] | None = None, intersects: Ring | None = None) -> DataFrame:
+    """Items of the collections whose box meets ``bbox`` and the polygon ``intersects``.
+
+    The filters reach the scan, the polygon's by its extent.
+    """
     found = items
     if collections is not None:
         found = found.where(F.col("collection").isin(collections))
     if bbox is not None:
         found = found.where(box_overlap(bbox))
+    if intersects is not None:
+        found = found.where(box_meets_ring(intersects))
     return found
 
 

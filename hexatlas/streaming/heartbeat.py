@@ -110,8 +110,9 @@ def watch(beats: DataFrame, lateness: str = "10 minutes", clock: DataFrame | Non
         timed = timed.unionByName(clock.select(F.lit(None).cast("string").alias("hostname"), "t"))
     return (timed.withWatermark("t", lateness)
             .groupBy("hostname", F.session_window("t", f"{SILENT_SECONDS} seconds").alias("w"))
-            .agg(F.max("t").alias("last_beat"), F.count(F.lit(1)).alias("beats"))
-            .where(F.col("hostname").isNotNull())
+            .agg(F.max("t").alias("last_beat"), F.count("hostname").alias("beats"))
+            # on the count, not on the key: that filter would be pushed below the watermark
+            .where(F.col("beats") > 0)
             .select("hostname", "last_beat", F.col("w.end").alias("alert_at"), "beats"))
 
 

@@ -21,10 +21,10 @@ _LNG = "((cell_id-1)%720+0.5)*0.5::DOUBLE-180.0"
 _LAT = "90.0-((cell_id-1)//720+0.5)*0.5::DOUBLE"
 
 
-def _inside_sql(lng: str, lat: str) -> str:
+def _inside_sql(lng: str, lat: str, ring: list[tuple[float, float]] = RING) -> str:
     """Even-odd rule, one term per edge."""
     terms = []
-    for (x1, y1), (x2, y2) in zip(RING, RING[1:] + RING[:1]):
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
         terms.append(f"(CASE WHEN (({y1}::DOUBLE>{lat}) <> ({y2}::DOUBLE>{lat})) AND {lng} < "
                      f"({x2 - x1}::DOUBLE)*({lat}-({y1}::DOUBLE))/({y2}::DOUBLE-({y1}::DOUBLE))+({x1}::DOUBLE) "
                      "THEN 1 ELSE 0 END)")
@@ -109,6 +109,34 @@ def search(spark: SparkSession, sf: str) -> DataFrame:
                     (150.75, -10.25, -140.25, 40.5)).select("item_id", "href")
 
 
+# across the antimeridian, with a notch
+SEAM = [(150.0, -30.3), (205.0, -42.1), (188.0, 3.7), (216.0, 20.9), (170.0, 37.7)]
+
+
+def _meets_ring_sql(ring: list[tuple[float, float]]) -> str:
+    """The same test, edge by edge, at a turn to either side."""
+    south, north = min(p[1] for p in ring), max(p[1] for p in ring)
+    turns = []
+    for turn in (0, 360, -360):
+        left, right, terms = f"(xmin+{turn}.0::DOUBLE)", f"(xmax+{turn}.0::DOUBLE)", []
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            sides = ", ".join(f"({bx - ax!r}::DOUBLE)*({y}-({ay!r}::DOUBLE))-({by - ay!r}::DOUBLE)*({x}-({ax!r}::DOUBLE))"
+                              for x in (left, right) for y in ("ymin", "ymax"))
+            terms.append(f"({left}<={max(ax, bx)!r} AND {right}>={min(ax, bx)!r} AND ymin<={max(ay, by)!r} AND ymax>={min(ay, by)!r} "
+                         f"AND least({sides})<=0 AND greatest({sides})>=0)")
+        turns += terms + [_inside_sql(left, "ymin", ring)]
+    return f"ymin<={north} AND ymax>={south} AND ({' OR '.join(turns)})"
+
+
+@query("T15_item_search_polygon", " UNION ALL ".join(
+    f"SELECT '{name}' AS area, collection, item_id FROM ({_SMALL}) WHERE {_meets_ring_sql(ring)}"
+    for name, ring in (("notch", RING), ("seam", SEAM))))
+def search_polygon(spark: SparkSession, sf: str) -> DataFrame:
+    found = [M.search(items(spark, sf), intersects=ring).select(F.lit(name).alias("area"), "collection", "item_id")
+             for name, ring in (("notch", RING), ("seam", SEAM))]
+    return found[0].unionByName(found[1])
+
+
 @query("T16_search_page", f"""
     WITH f AS (SELECT item_id FROM ({_SMALL}) WHERE {_MEETS})
     SELECT item_id, (SELECT count(*) FROM f) AS number_matched,

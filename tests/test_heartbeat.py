@@ -100,6 +100,37 @@ def test_stream_with_out_of_order_and_late_beats(spark, tmp_path):
     assert run(spark, src, out, state) == [("a", "00:20", 3), ("a", "01:05", 1)]
 
 
+def test_a_clock_tells_when_every_host_is_silent(spark, tmp_path):
+    src, ticks, out, state = (tmp_path / n for n in ("in", "ticks", "out", "state"))
+    src.mkdir()
+
+    def tick(minute):
+        spark.createDataFrame([(at(minute),)], "t string").selectExpr("cast(t as timestamp) t").write.mode("append").parquet(str(ticks))
+
+    def run_clocked():
+        clock = spark.readStream.schema("t timestamp").parquet(str(ticks))
+        H.run_watch(H.watch(H.stream_beats(spark, str(src)), "10 minutes", clock), str(out), str(state))
+        rows = spark.read.schema("hostname string, last_beat timestamp, alert_at timestamp, beats bigint").parquet(str(out))
+        return sorted((r["hostname"], r["l"], r["beats"]) for r in rows.select(
+            "hostname", F.date_format("last_beat", "HH:mm").alias("l"), "beats").collect())
+
+    drop(src, "1.json", [beat("a", at(0)), beat("a", at(10)), beat("b", at(3)), beat(None, at(4))])
+    tick(11)
+    assert run_clocked() == []
+    # nobody beats any more; the clock passes b's limit (19) plus the allowance, then a's (26)
+    tick(30)
+    assert run_clocked() == [("b", "00:03", 1)]
+    tick(37)
+    assert run_clocked() == [("a", "00:10", 2), ("b", "00:03", 1)]
+    # a beat from before the limit arrives too late to revive b; a real one starts a new run
+    drop(src, "2.json", [beat("b", at(5)), beat("b", at(40))])
+    tick(50)
+    assert run_clocked() == [("a", "00:10", 2), ("b", "00:03", 1)]
+    tick(80)
+    assert run_clocked() == [("a", "00:10", 2), ("b", "00:03", 1), ("b", "00:40", 1)]
+    assert H.ticking(spark).isStreaming and H.ticking(spark).dtypes == [("t", "timestamp")]
+
+
 def test_stream_needs_no_python_worker(spark, tmp_path):
     (tmp_path / "x").mkdir()
     text = H.watch(H.stream_beats(spark, str(tmp_path / "x")))._jdf.queryExecution().analyzed().toString()
