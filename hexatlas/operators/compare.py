@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hexatlas.operators.ranking import hashed_splits, with_bucket
+from hexatlas.operators.ranking import BUCKET_ROWS, ranged
 
 TOLERANCE = 1e-9
-# whole records are dear to compare: fewer split points than for plain keys
-RECORD_SPLITS = 31
 # copies of one record are written out this many at a time
 CHUNK = 1_000_000
 _NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
@@ -25,16 +23,16 @@ def type_mismatches(left: DataFrame, right: DataFrame, keys: list[str]) -> list[
     return [c for c in shared if a[c] != b[c] and not (_is_number(a[c]) and _is_number(b[c]))]
 
 
-def _positions(records: DataFrame) -> DataFrame:
+def _positions(records: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per copy of ``_k, _is_left, _rec, _c`` with its place ``_i`` within key and side.
 
-    Places follow record order. Records are cut into buckets at split points drawn from the
-    data and ranked by weight inside (key, side, bucket); a key with a third of all rows is
-    many tasks. Copies take consecutive places and are only written out afterwards, in
+    Places follow record order. Distinct records are cut into ranges by key, side and record, as
+    many as there are rows for, and ranked by weight inside (key, side, range); a key with a
+    third of all rows is many ranges. Copies take consecutive places and are only written out afterwards, in
     chunks, so a record repeated a billion times is ranked as one row.
     """
     within = ["_k", "_is_left", "_bucket"]
-    bucketed = with_bucket(records, "_rec", hashed_splits(records, "_rec", RECORD_SPLITS))
+    bucketed = ranged(records, ["_k", "_is_left", "_rec"], rows)
     # at most one row per bucket for each key and side
     earlier = (Window.partitionBy("_k", "_is_left").orderBy("_bucket")
                .rowsBetween(Window.unboundedPreceding, -1))

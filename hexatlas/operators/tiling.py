@@ -19,6 +19,8 @@ POLAR_LIMIT = 89.9
 
 # Records of a tile document; a larger tile is several documents.
 PART_ROWS = 50_000
+# Rows of the fullest tile that ask for one salt more where tiles are capped.
+SALT_ROWS = 1_000_000
 # A broadcast of coarse cells is 16 bytes a cell: up to 16 MB.
 MOST_BROADCAST_CELLS = 1 << 20
 
@@ -98,37 +100,32 @@ def count_copies(layer: DataFrame, unique: bool = False) -> DataFrame:
     return layer.groupBy("cell_id", "value", "n").agg(F.count(F.lit(1)).alias("_copies"))
 
 
-def _first_rows(rows: DataFrame, group: list[str], cap: int) -> DataFrame:
-    window = (Window.partitionBy(*group).orderBy("cell_id", "value", "n")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    room = F.lit(cap) - (F.col("_upto") - F.col("_copies"))
-    return (rows.withColumn("_upto", F.sum("_copies").over(window))
-            .where(room > 0)
-            .withColumn("_copies", F.least(F.col("_copies"), room)).drop("_upto"))
-
-
-def cap_tiles(tiled: DataFrame, cap: int, salts: int = 64) -> DataFrame:
+def cap_tiles(tiled: DataFrame, cap: int, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Keep the first ``cap`` rows of each tile by cell id, with the tile's ``n_total`` rows.
 
-    Input rows carry ``_copies``; ``n_total`` shows where a tile was cut. At low zoom one
-    tile holds the whole layer. Ranking inside (tile, salt) first leaves at most
-    ``salts * cap`` rows for the final ranking of any tile, and keeps exactly the same rows,
-    because a row among the first ``cap`` of its tile is among the first ``cap`` of its
-    salt. Copies of a row are counted, never spread, so a heavily repeated row is one row
-    here and is written out again only up to the cap.
+    Input rows carry ``_copies``; ``n_total`` shows where a tile was cut. Every row stands for a
+    copy at least, so the first ``cap`` distinct rows of a tile hold its first ``cap`` copies:
+    each task cuts its rows to those before they are shuffled, by (tile, salt) and then by tile.
+    Salts come from the counts, one for ``salt_rows`` rows of the fullest tile. Only what is
+    left is summed up, so copies are counted, never spread, and written out up to the cap.
     """
     if cap < 1:
         raise ValueError("a cap keeps one row at least")
-    whole = [*TILE, "_salt"]
-    salted = tiled.withColumn("_salt", F.pmod(F.xxhash64("cell_id", "value"), F.lit(salts)))
-    order = Window.partitionBy(*whole).orderBy("cell_id", "value", "n")
-    counted = salted.withColumns({
-        "_all": F.sum("_copies").over(Window.partitionBy(*whole)), "_at": F.row_number().over(order)})
-    first = _first_rows(counted, whole, cap)
-    # every salt keeps its first row, which says how many rows the salt had
-    total = F.sum(F.when(F.col("_at") == 1, F.col("_all"))).over(Window.partitionBy(*TILE))
-    kept = _first_rows(first.withColumn("n_total", total).drop("_salt", "_all", "_at"), TILE, cap)
-    return (kept.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    totals = tiled.groupBy(*TILE).agg(F.sum("_copies").alias("n_total"), F.count(F.lit(1)).alias("_rows"))
+    fullest = totals.agg(F.coalesce(F.max("_rows"), F.lit(0))).scalar()
+    salts = F.greatest(F.ceil(fullest / F.lit(salt_rows)), F.lit(1))
+    order = ["cell_id", "value", "n"]
+    salted = tiled.withColumn("_salt", F.pmod(F.xxhash64("cell_id", "value"), salts))
+    first = salted
+    for group in ([*TILE, "_salt"], TILE):
+        at = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        first = first.withColumn("_at", at).where(F.col("_at") <= cap).drop("_at")
+    window = Window.partitionBy(*TILE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    room = F.lit(cap) - (F.col("_upto") - F.col("_copies"))
+    kept = (first.withColumn("_upto", F.sum("_copies").over(window)).where(room > 0)
+            .withColumn("_copies", F.least(F.col("_copies"), room)))
+    return (kept.drop("_upto", "_salt").join(totals.drop("_rows"), TILE)
+            .withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
             .drop("_i", "_copies"))
 
 

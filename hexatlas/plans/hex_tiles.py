@@ -13,6 +13,7 @@ from hexatlas.operators.layers import Layer, hex_layer
 from hexatlas.operators.tiling import (
     TILE, cap_tiles, count_copies, layer_tiles, one_tile, prune_one_tile)
 from hexatlas.plans import index_store
+from hexatlas.session import written
 
 
 def checked_res(z: float, res: int | None) -> int:
@@ -22,6 +23,26 @@ def checked_res(z: float, res: int | None) -> int:
     return picked
 
 
+def mean_layer(values: DataFrame, system: CellSystem, finest: int, scale: float = 1.0) -> Layer:
+    """Mean and count per cell as a layer of every resolution up to ``finest``, from one scan.
+
+    ``values`` has ``cell_id`` at ``finest`` and a whole-numbered ``value`` (the mean is divided by
+    ``scale``). Sums and counts merge: they are written once per finest cell, and a coarser
+    resolution sums the written table. NULL values are neither summed nor counted.
+    """
+    sums = written(values.where(F.col("value").isNotNull()).groupBy("cell_id").agg(
+        F.sum("value").alias("_sum"), F.count(F.lit(1)).alias("n")), "layer-sums")
+
+    def at(res: int) -> DataFrame:
+        if res > finest:
+            raise ValueError(f"the layer stops at resolution {finest}")
+        rows = sums if res == finest else sums.groupBy(
+            system.parent(F.col("cell_id"), finest, res).alias("cell_id")).agg(F.sum("_sum").alias("_sum"), F.sum("n").alias("n"))
+        return rows.select("cell_id", (F.col("_sum").cast("double") / F.col("n") / scale).alias("value"), "n")
+
+    return at
+
+
 def pyramid(layer: Layer, system: CellSystem, zooms: list[int], res: int | None = None,
             cap: int | None = None, top: int = MAX_RES,
             unique: bool = False) -> DataFrame:

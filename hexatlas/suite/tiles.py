@@ -9,7 +9,7 @@ from hexatlas.functions.systems import Hexagons
 from hexatlas.operators import tiling as T
 from hexatlas.operators.layers import hex_layer
 from hexatlas.plans import standins as S
-from hexatlas.plans.hex_tiles import pyramid, single_tile
+from hexatlas.plans.hex_tiles import mean_layer, pyramid, single_tile
 from hexatlas.session import scratch_path
 from hexatlas.sources.stores import write_blocks, write_tile_documents
 from hexatlas.suite.base import (
@@ -84,7 +84,9 @@ def seam_tile(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT z, x, y, {hexed('cell_id')} AS h3id, value, n FROM ({tiled_sql(z, r)})"
     for z, r in ((3, 2), (4, 3), (5, 4), (6, 5))))
 def whole_pyramid(spark: SparkSession, sf: str) -> DataFrame:
-    return pyramid(layer_of(spark, sf), S.LATTICE, [3, 4, 5, 6])
+    prices = S.table(spark, sf, "orders").select(
+        S.cell_of_customer(F.col("o_custkey"), 5).alias("cell_id"), S.cents(F.col("o_totalprice")).alias("value"))
+    return pyramid(mean_layer(prices, S.LATTICE, 5, scale=100), S.LATTICE, [3, 4, 5, 6], unique=True)
 
 
 # hexagon indexes of customers at resolution 5; a cell lies where its least customer does

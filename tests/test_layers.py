@@ -139,13 +139,13 @@ def test_percentiles_are_linear(spark):
     assert tuple(row) == pytest.approx((2.98, 50.5, 98.02, 1.0, 100.0))
 
 
-@pytest.mark.parametrize("splits", [1, 3, 127])
-def test_percentiles_of_skewed_values(spark, splits):
+@pytest.mark.parametrize("rows", [3, 500, 10_000])
+def test_percentiles_of_skewed_values(spark, rows):
     rng = np.random.default_rng(1)
     values = np.concatenate([np.full(3000, 7.25), rng.normal(0, 100, 4000), [7.25, 7.25, -1e9, 1e9]])
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     probs = {f"p{i}": p for i, p in enumerate((0.0, 0.01, 0.25, 0.4999, 0.5, 0.77, 0.98, 1.0))}
-    got = exact_percentiles(df, "v", probs, splits).head()
+    got = exact_percentiles(df, "v", probs, rows).head()
     assert tuple(got) == pytest.approx(tuple(np.percentile(values, [100 * p for p in probs.values()])))
 
 
@@ -166,22 +166,41 @@ def test_summaries(spark):
     assert tuple(empty) == (None, None, None, None, 0)
 
 
-@pytest.mark.parametrize("splits", [1, 5, 127])
-def test_dense_ids(spark, splits):
+@pytest.mark.parametrize("rows", [9, 400, 10_000])
+def test_dense_ids(spark, rows):
     names = [f"model|{(i * 7919) % 1000:04d}" for i in range(700)] * 3 + [None]
     df = spark.createDataFrame([(n,) for n in names], "k string")
-    got = {r["k"]: r["i"] for r in dense_ids(df, "k", "i", splits=splits).collect()}
+    got = {r["k"]: r["i"] for r in dense_ids(df, "k", "i", rows=rows).collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted({n for n in names if n}))}
 
 
 def test_rank_plans_have_no_single_partition_window(spark):
-    for df in (dense_ids(spark.range(1000).selectExpr("id k"), "k", "i"),
-               exact_percentiles(spark.range(1000).selectExpr("id * 1D v"), "v", {"a": 0.5})):
+    for df in (dense_ids(spark.range(1000).selectExpr("id k"), "k", "i", rows=100),
+               exact_percentiles(spark.range(1000).selectExpr("id * 1D v"), "v", {"a": 0.5}, rows=100)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         after = [line for line in plan.splitlines() if "Window [" in line]
         assert after and all("_bucket" in line for line in after)
 
 
+def test_buckets_stay_even_with_a_million_values_and_a_hot_key(spark):
+    from hexatlas.operators import compare
+    from hexatlas.operators.ranking import ranged
+
+    df = spark.range(1_000_000).selectExpr("id * 7919 % 1000003 v")
+    sizes = [r["count"] for r in ranged(df, ["v"], rows=50_000).groupBy("_bucket").count().collect()]
+    assert sum(sizes) == 1_000_000 and 18 <= len(sizes) <= 20 and max(sizes) < 100_000
+    # half of all records have one key: the ranges go on inside it
+    keyed = df.selectExpr("named_struct('k', if(v % 2 = 0, 0, v)) _k", "true _is_left", "named_struct('v', v) _rec")
+    sizes = [r["count"] for r in ranged(keyed, ["_k", "_is_left", "_rec"], rows=50_000).groupBy("_bucket").count().collect()]
+    assert sum(sizes) == 1_000_000 and max(sizes) < 100_000
+    got = exact_percentiles(df, "v", {"a": 0.25, "b": 0.5, "c": 1.0}, rows=1000).head()
+    values = np.sort(np.arange(1_000_000) * 7919 % 1000003)
+    assert tuple(got) == pytest.approx(tuple(np.percentile(values, [25, 50, 100])))
+    few = spark.createDataFrame([(1, True, r, c) for r, c in (("b", 2), ("a", 1), ("c", 3))], "_k int, _is_left boolean, _rec string, _c long")
+    for rows in (1, 100):
+        assert sorted((r["_i"], r["_rec"]) for r in compare._positions(few, rows).collect()) == list(enumerate("abbccc"))
+
+
 def test_nothing_is_lost_to_rounding_in_exact_means(spark):
     df = spark.createDataFrame([(10,), (20,), (33,)], "c bigint")
     assert math.isclose(df.agg(L.exact_mean(F.col("c"))).head()[0], 0.21)

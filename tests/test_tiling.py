@@ -60,10 +60,19 @@ def test_cap_keeps_the_first_rows_by_cell_and_counts_copies(spark):
     layer = spark.createDataFrame(rows, "cell_id bigint, value double, n bigint").selectExpr("0 z", "0 x", "0 y", "*")
     for cap in (1, 10, 48, 300, 10000):
         counted = layer.groupBy("z", "x", "y", "cell_id", "value", "n").agg(F.count(F.lit(1)).alias("_copies"))
-        got = [tuple(r) for r in T.cap_tiles(counted, cap, salts=8).select("cell_id", "value", "n").collect()]
+        got = [tuple(r) for r in T.cap_tiles(counted, cap, salt_rows=60).select("cell_id", "value", "n").collect()]
         assert sorted(got) == sorted(rows)[:cap]
 
 
+def test_tasks_cut_tiles_before_the_shuffle(spark):
+    rows = spark.range(100_000).selectExpr("int(id div 1000000) z", "int(id div 1000000) x", "int(id div 1000000) y", "id cell_id", "1D value", "1L n", "id % 3 + 1 _copies")
+    capped = T.cap_tiles(rows, 50, salt_rows=10_000)
+    plan = capped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 3 and "Partial" in plan
+    got = capped.orderBy("cell_id").collect()
+    assert len(got) == 50 and {r["n_total"] for r in got} == {199_999} and [r["cell_id"] for r in got[:7]] == [0, 1, 1, 2, 2, 2, 3]
+
+
 def test_a_third_of_all_rows_in_one_copy(spark):
     hot = spark.range(200_000).selectExpr(f"{LAT_CELL}L cell_id", "1D value", "1L n")
     rest = spark.range(400).selectExpr(f"(1L << 52) | ((id div 8 % 8) << 26) | (id % 8) cell_id", "2D value", "id n")
