@@ -138,6 +138,22 @@ def tile_pixels(raster: DataFrame, z: int, left: float, top: float, step_x: floa
                     F.when(F.col("cell_id") != 0, 255).otherwise(0).alias("mask")))
 
 
+def whole_tiles(pixels: DataFrame) -> DataFrame:
+    """Every tile that has a pixel with all its 65,536: those outside the raster have id 0 and mask 0.
+
+    A tile's rows of pixels are made first and meet the stored rows, of at most 256 pixels
+    each; what a row lacks is added in place. Only stored pixels are shuffled.
+    """
+    side = F.sequence(F.lit(0), F.lit(TILE_PIXELS - 1))
+    stored = pixels.groupBy(*TILE, "py").agg(F.collect_list(F.struct("px", "cell_id", "mask")).alias("_row"))
+    made = pixels.select(*TILE).distinct().withColumn("py", F.explode(side))
+    row = F.coalesce("_row", F.array().cast("array<struct<px:int,cell_id:bigint,mask:int>>"))
+    absent = F.transform(F.array_except(side, F.transform(row, lambda p: p["px"])), lambda p: F.struct(
+        p.alias("px"), F.lit(0).cast("bigint").alias("cell_id"), F.lit(0).alias("mask")))
+    full = made.join(stored, [*TILE, "py"], "left").withColumn("_p", F.explode(F.concat(row, absent)))
+    return full.select(*TILE, "_p.px", "py", "_p.cell_id", "_p.mask")
+
+
 def value_range(mapped: DataFrame) -> tuple[Column, Column]:
     """Least and greatest value of a map as scalars for :func:`coloured`."""
     return (mapped.agg(F.min("value").alias("m")).scalar(),

@@ -62,17 +62,31 @@ def prune_tables(spark: SparkSession, only: list[str] | None = None) -> dict[str
     return {r["name"].lower(): PRUNE_COLUMN for r in listed}
 
 
-def describe(spark: SparkSession, registry: Mapping[str, str], dataset: str) -> dict:
-    """What a client can ask for: tables, resolution columns, zoom breaks, datasets."""
+def describe(spark: SparkSession, registry: Mapping[str, str], dataset: str, tables: list[str] | None = None) -> dict:
+    """What a client can ask for: tables, resolution columns, zoom breaks, datasets.
+
+    ``tables`` are the dataset's own, as :func:`attach` returns them; without it every view of
+    the session is listed, scratch tables never.
+    """
+    listed = [r["name"] for r in table_list(spark, tables).collect()]
+    views = {t.name for t in spark.catalog.listTables() if t.isTemporary}
     return {
         "dataset": dataset,
-        "tables": [r["name"] for r in table_list(spark).collect()],
+        "tables": [t for t in listed if t in views],
         "res_columns": [f"hex_h3res{r}" for r in range(MIN_RES, MAX_RES + 1)],
         "zoom_breaks": ZOOM_BREAKS,
         "datasets": sorted(registry),
     }
 
 
+def described(spark: SparkSession, registry: Mapping[str, str], dataset: str, tables: list[str] | None = None) -> DataFrame:
+    """:func:`describe` as rows ``kind, place, item``, places counted from 1."""
+    info = describe(spark, registry, dataset, tables)
+    rows = [(kind, i + 1, item if isinstance(item, str) else f"{item:g}") for kind in ("tables", "res_columns", "zoom_breaks", "datasets")
+            for i, item in enumerate(info[kind])]
+    return spark.createDataFrame(rows, "kind string, place int, item string")
+
+
 def item_collections(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Items of several collections as one table with the collection id as a column."""
     parts = [spark.read.parquet(p).withColumn("collection", F.lit(c)) for c, p in paths.items()]

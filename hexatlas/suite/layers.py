@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexatlas.functions import cells, keys
@@ -27,6 +29,46 @@ def sql_layer(spark: SparkSession, sf: str) -> DataFrame:
     return L.typed(L.sql_layer(spark, text, order_obs=wide)(5))
 
 
+# the forms of a layer's text: what is asked of Spark, and the same for the other engine
+_FORMS = {
+    "cte": ("WITH big AS (SELECT * FROM order_obs WHERE cents > 10000000) "
+            "SELECT cell{{res}} AS cell_id, SUM(cents) / 1 AS value, COUNT(*) AS n FROM big GROUP BY 1"),
+    "recursive": ("WITH RECURSIVE below(id, depth) AS (SELECT taxonID, 0 FROM taxon WHERE parentNameUsageID IS NULL "
+                  "UNION ALL SELECT t.taxonID, b.depth + 1 FROM taxon t JOIN below b ON t.parentNameUsageID = b.id) "
+                  "SELECT id AS cell_id, depth AS value, CAST(NULL AS BIGINT) AS n FROM below"),
+    "union": ("SELECT cell{{ res }} AS cell_id, 1 AS value, COUNT(*) AS n FROM order_obs WHERE o_orderstatus = 'F' GROUP BY 1 "
+              "UNION ALL SELECT cell{{ res }}, 2, COUNT(*) FROM order_obs WHERE o_orderstatus <> 'F' GROUP BY 1"),
+    "values": "SELECT * FROM (VALUES (17, 0.5, 3), (18, -1.25, 4)) AS v(cell_id, value, n) {{bbox}}",
+    "in": ("SELECT o_custkey AS cell_id, MAX(cents) AS value, COUNT(*) AS n FROM order_obs "
+           "WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) GROUP BY 1"),
+}
+_VIEWS = f"""order_obs AS (SELECT o_custkey, o_orderstatus, {cell_sql('o_custkey', 4)} AS cell4,
+      CAST(round(o_totalprice*100) AS BIGINT) AS cents FROM orders),
+    taxon AS (SELECT p_partkey+1 AS taxonID, -length(p_type) AS parentNameUsageID FROM part
+      UNION ALL SELECT DISTINCT -length(p_type), 0 FROM part UNION ALL SELECT 0, NULL)"""
+
+
+def _form_sql(name: str, text: str) -> str:
+    plain = text.replace("{{res}}", "4").replace("{{ res }}", "4").replace("{{bbox}}", "")
+    inner = f"SELECT '{name}' AS form, CAST(cell_id AS BIGINT) AS cell_id, CAST(value AS DOUBLE) AS value, CAST(n AS BIGINT) AS n FROM ({plain})"
+    return f"SELECT * FROM (WITH {_VIEWS} {inner})"
+
+
+@query("P10_sql_forms", " UNION ALL ".join(_form_sql(n, t) for n, t in _FORMS.items()))
+def sql_forms(spark: SparkSession, sf: str) -> DataFrame:
+    orders, part = S.table(spark, sf, "orders"), S.table(spark, sf, "part")
+    k, kind = F.col("o_custkey"), (-F.length("p_type")).cast("bigint")
+    views = {
+        "order_obs": orders.select("o_custkey", "o_orderstatus", S.cell_of_customer(k, 4).alias("cell4"), S.cents(F.col("o_totalprice")).alias("cents")),
+        "taxon": part.select((F.col("p_partkey") + 1).cast("bigint").alias("taxonID"), kind.alias("parentNameUsageID")).union(
+            part.select(kind, F.lit(0).cast("bigint")).distinct()).union(spark.range(1).selectExpr("id", "cast(null as bigint)")),
+        "customer": S.table(spark, sf, "customer"),
+    }
+    parts = [L.typed(L.sql_layer(spark, text, **views)(4)).select(F.lit(name).alias("form"), "cell_id", "value", "n")
+             for name, text in _FORMS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("P2_clamped_resolution",
        f"SELECT cell_id, count(*) AS n FROM (SELECT {cell_sql('o_custkey', 7)} AS cell_id FROM orders) GROUP BY 1")
 def clamped(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,12 +159,11 @@ def urlsafe_decoding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("P11_json_safe",
-       f"SELECT event_id-100 AS cell_id, CASE WHEN isnan({_ODD}) THEN 'NaN' WHEN isinf({_ODD}) "
+       f"SELECT event_id-100 AS cell_id, CASE WHEN event_type='error' THEN NULL WHEN isnan({_ODD}) THEN 'NaN' WHEN isinf({_ODD}) "
        f"THEN CASE WHEN {_ODD}>0 THEN 'Infinity' ELSE '-Infinity' END "
-       f"ELSE CAST(value AS VARCHAR) END AS text FROM events WHERE event_type<>'error'")
+       f"ELSE CAST(value AS VARCHAR) END AS text FROM events")
 def json_text(spark: SparkSession, sf: str) -> DataFrame:
-    return (odd_values(spark, sf).where(F.col("event_type") != "error")
-            .select("cell_id", json_safe(F.col("value")).alias("text")))
+    return odd_values(spark, sf).select("cell_id", json_safe(F.col("value")).alias("text"))
 
 
 _SUMMARY = ("SELECT min(value) AS min, max(value) AS max, "

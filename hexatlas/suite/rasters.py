@@ -157,6 +157,35 @@ def colour_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return raster_tiles(order_values(spark, sf), pixels(spark, sf), palette(spark)).select("z", "x", "y", "px", "py", "r", "g", "b", "a")
 
 
+_WHOLE = (f"SELECT z, x, y, px, py, coalesce(cell_id, 0) AS cell_id, coalesce(mask, 0) AS mask FROM (SELECT * FROM (SELECT DISTINCT z, x, y FROM ({_PIXELS})), "
+          "(SELECT CAST(i AS INTEGER) AS px FROM range(256) a(i)), (SELECT CAST(i AS INTEGER) AS py FROM range(256) b(i))) "
+          f"LEFT JOIN ({_PIXELS}) USING (z, x, y, px, py)")
+
+
+@query("A8_whole_tile_profile", f"""
+    WITH p AS ({_WHOLE}), c AS (SELECT z,x,y,cell_id,count(*) AS c FROM p GROUP BY ALL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY z,x,y ORDER BY c DESC, cell_id) AS k FROM c),
+    b AS (SELECT z,x,y,string_agg(cell_id||':'||c, ',' ORDER BY k) AS top_ids FROM t WHERE k<=10 GROUP BY ALL)
+    SELECT z,x,y, count(*) FILTER (mask>0) AS valid_px, CAST(65536 AS BIGINT) AS total_px,
+      count(*) FILTER (cell_id=0) AS zero_px, count(*) FILTER (cell_id<0) AS negative_px,
+      min(cell_id) AS id_min, max(cell_id) AS id_max, any_value(top_ids) AS top_ids
+    FROM p JOIN b USING (z,x,y) GROUP BY z,x,y""")
+def whole_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return R.tile_profile(R.whole_tiles(pixels(spark, sf)))
+
+
+# every pixel of every tile, counted by what is shown
+@query("C6_whole_tiles",
+       f"WITH v AS (SELECT p.z, p.x, p.y, mask, value FROM ({_WHOLE}) p LEFT JOIN ({_VALUES}) v ON v.cell_id=p.cell_id AND p.cell_id>0), "
+       f"k AS (SELECT min(value) AS lo, max(value) AS hi FROM ({_VALUES})), "
+       f"s AS (SELECT v.*, {_byte_sql('value', 'lo', 'hi')} AS byte FROM v, k) "
+       "SELECT z,x,y,r,g,b, CASE WHEN mask>0 AND isfinite(value) THEN a ELSE 0 END AS a, count(*) AS px "
+       f"FROM s JOIN ({_PALETTE}) USING (byte) GROUP BY ALL")
+def colour_whole_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = raster_tiles(order_values(spark, sf), pixels(spark, sf), palette(spark), whole=True)
+    return drawn.groupBy("z", "x", "y", "r", "g", "b", "a").agg(F.count(F.lit(1)).alias("px"))
+
+
 @query("C5_mask_tiles",
        f"SELECT z,x,y,px,py, 17 AS r, 34 AS g, 255 AS b, CASE WHEN mask>0 AND isfinite(value) THEN 128 ELSE 0 END AS a "
        f"FROM ({_VALUED})")

@@ -52,6 +52,20 @@ def tables(spark: SparkSession, sf: str) -> DataFrame:
     return listed.join(_counts(spark, names), "name")
 
 
+# with each table's rows, so that the list is of tables that can be read
+@query("S2_described", f"""
+    SELECT 'tables' AS kind, CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS place, name AS item, n_rows FROM ({_COUNTS})
+    UNION ALL SELECT 'res_columns', CAST(i AS INTEGER), 'hex_h3res'||i, NULL FROM range(1, 11) t(i)
+    UNION ALL SELECT 'zoom_breaks', CAST(p AS INTEGER), v, NULL FROM (SELECT unnest(
+      ['0','2.2','3.4','4.6','5.8','7','8.2','9.4','10.6','11.8','22']) AS v, unnest(range(1, 12)) AS p)
+    UNION ALL SELECT 'datasets', 1, 'main', NULL""")
+def describe(spark: SparkSession, sf: str) -> DataFrame:
+    names = registry.attach(spark, sf, registry.discover(spark, sf))
+    rows = registry.described(spark, {"main": sf}, "main", names)
+    counts = _counts(spark, names).select(F.lit("tables").alias("kind"), F.col("name").alias("item"), "n_rows")
+    return rows.join(counts, ["kind", "item"], "left").select("kind", "place", "item", "n_rows")
+
+
 _STORE = (f"WITH occ AS ({OCCURRENCES}) SELECT res, cell_id, hex_prune, aphiaid, phylum, class, \"order\", "
           f"date_year, count(*) AS records FROM ({_tiers_sql([3, 5, 7])}) GROUP BY ALL")
 

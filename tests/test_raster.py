@@ -173,3 +173,17 @@ def test_parity(spark):
     assert tuple(parity_totals(tile_parity(a, a, ["v"])).head()) == (1, 1, 0)
     nulls = a.withColumn("v", F.lit(None).cast("int"))
     assert tile_parity(nulls, nulls, ["v"]).head()["differing"] == 0
+
+
+def test_whole_tiles_have_every_pixel(spark):
+    px = spark.createDataFrame([(1, 0, 0, 3, 7, 5, 255), (1, 0, 0, 255, 7, 6, 255), (1, 0, 0, 0, 255, 0, 0), (1, 1, 0, 9, 9, -4, 255)],
+                               "z int, x int, y int, px int, py int, cell_id bigint, mask int")
+    whole = R.whole_tiles(px)
+    counts = {(r["x"], r["y"]): (r["total_px"], r["valid_px"], r["negative_px"], r["id_max"]) for r in R.tile_profile(whole).collect()}
+    assert counts == {(0, 0): (65_536, 2, 0, 6), (1, 0): (65_536, 1, 1, 0)}
+    assert whole.select("z", "x", "y", "px", "py").distinct().count() == 2 * 65_536
+    assert px.exceptAll(whole.select(px.columns)).count() == 0
+    assert whole.where("px < 0 OR px > 255 OR py < 0 OR py > 255").count() == 0 and R.whole_tiles(px.limit(0)).count() == 0
+    from hexatlas.plans.raster_tiles import raster_tiles
+    shown = raster_tiles(spark.createDataFrame([(5, 1.0), (6, 2.0)], "cell_id bigint, value double"), px, single_colour="#102030", whole=True)
+    assert shown.count() == 2 * 65_536 and shown.where("a > 0").count() == 2

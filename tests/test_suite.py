@@ -1,5 +1,11 @@
 """Every registered query against its SQL, and the shape of its plan."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -42,3 +48,15 @@ def test_scans_read_only_what_they_use(spark, sf):
     plan = entry.queries()["A5_cell_index"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+
+
+def test_the_rest_stands_without_the_training_data_operators(tmp_path):
+    """A copy without that subpackage and its tests imports and registers every other query."""
+    root = Path(entry.__file__).parent
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache")
+    shutil.copytree(root, tmp_path / "copy", ignore=skip)
+    code = "import __spark_entry__ as e, tests.test_suite as t; print(len(e.queries()), len(e.oracle_sql()), len(t.NAMES))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True,
+                          env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")})
+    assert said.returncode == 0, said.stderr
+    assert said.stdout.split() == [str(len(NAMES))] * 3
