@@ -111,13 +111,12 @@ def cap_tiles(tiled: DataFrame, cap: int, salt_rows: int = SALT_ROWS) -> DataFra
     """
     if cap < 1:
         raise ValueError("a cap keeps one row at least")
-    totals = tiled.groupBy(*TILE).agg(F.sum("_copies").alias("n_total"), F.count(F.lit(1)).alias("_rows"))
-    fullest = totals.agg(F.coalesce(F.max("_rows"), F.lit(0))).scalar()
-    salts = F.greatest(F.ceil(fullest / F.lit(salt_rows)), F.lit(1))
+    totals = written(tiled.groupBy(*TILE).agg(
+        F.sum("_copies").alias("n_total"), F.count(F.lit(1)).alias("_rows")), "tile-totals")
+    salts = -(-(totals.agg(F.max("_rows")).first()[0] or 0) // salt_rows)
     order = ["cell_id", "value", "n"]
-    salted = tiled.withColumn("_salt", F.pmod(F.xxhash64("cell_id", "value"), salts))
-    first = salted
-    for group in ([*TILE, "_salt"], TILE):
+    first = tiled.withColumn("_salt", F.pmod(F.xxhash64("cell_id", "value"), F.lit(max(1, salts))))
+    for group in ([*TILE, "_salt"], TILE) if salts > 1 else (TILE,):
         at = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
         first = first.withColumn("_at", at).where(F.col("_at") <= cap).drop("_at")
     window = Window.partitionBy(*TILE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
