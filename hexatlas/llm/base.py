@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hexatlas.session import scratch_path
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -43,3 +45,39 @@ def word_count(text: Column) -> Column:
 def crc_fold(ids: Column, folds: int) -> Column:
     """``crc32(id as text) mod folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(ids.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
+
+
+def aside(docs: DataFrame, used: list[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step`` applied to ``docs`` while the columns that it does not use have other names.
+
+    So no column of ``docs`` clashes with one that ``step`` makes for itself. Columns that come
+    back new follow those of ``docs`` and replace any of the same name.
+    """
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in used}
+    done = step(docs.toDF(*[names.get(c, c) for c in docs.columns]))
+    new = [c for c in done.columns if c not in used and c not in names.values()]
+    return done.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns if c not in new], *new)
+
+
+class Scratch:
+    """Tables of one job in the shared folder, each deleted when the next ones stand.
+
+    A table is only deleted after everything derived from it is written, so a lost executor
+    never needs it again.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, list[str]] = {}
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        self.paths.setdefault(label, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            for path in self.paths.pop(label, []):
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from hexatlas.llm.base import ascii_lower, query, table
+from hexatlas.llm.base import aside, ascii_lower, query, table
 from hexatlas.session import written
 
 #: A word: a run of anything but the ASCII characters outside a-z and 0-9, of lower-cased text.
@@ -176,7 +176,14 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, rares
 
 
 def clean(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of ``docs`` in which no phrase of ``items`` occurs."""
+    """The rows of ``docs`` in which no phrase of ``items`` occurs, with all their columns, whatever their names.
+
+    A null or empty text holds no phrase and stays, and so does every row where there are no items.
+    """
+    return aside(docs, ["doc_id", "text"], lambda plain: _clean(plain, items, length))
+
+
+def _clean(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
     found = contamination(docs, items, length).where("contaminated").select(F.col("key").alias("_key")).distinct()
     return docs.join(found, row_key() == F.col("_key"), "left_anti")
 

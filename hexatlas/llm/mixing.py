@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from hexatlas.llm.base import query, table, word_count
+from hexatlas.llm.base import aside, query, table, word_count
 from hexatlas.session import written
 
 BUCKETS = 1024
@@ -71,13 +71,19 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", size
     not above zero: 1). A null source is a source. Documents of equal key are ordered by id;
     rows that repeat an id are one document of several copies, and share what the budget
     leaves at the cut equally, rounded down. An empty table gives an empty one. Columns of
-    ``docs`` named like the three results are replaced.
+    ``docs`` named like the three results are replaced, others are kept, whatever their names.
     """
+    used = [doc_id, source, size] + ([] if weight is None else [weight])
+    return aside(docs, used, lambda plain: _mix(plain, doc_id, source, size, weight, share, most, source_weights, seed))
+
+
+def _mix(docs: DataFrame, doc_id: str, source: str, size: str, weight: str | None, share: float, most: float,
+         source_weights: tuple[int, ...], seed: str) -> DataFrame:
     w = F.lit(1.0) if weight is None else F.when(F.col(weight) > 0, F.col(weight)).otherwise(F.lit(1.0))
     key = -F.log(uniform(F.col(doc_id), seed)) / w.cast("double")
     # key -> (0, 1) without changing its order, then two digits of it
     part = F.least(F.floor((F.lit(1.0) - F.exp(-key)) * BUCKETS * BUCKETS), F.lit(BUCKETS * BUCKETS - 1))
-    kept = [c for c in docs.columns if c not in ("source_size", "target", "taken")]
+    kept = docs.columns
     keyed = docs.select(*kept, key.alias("_key"), part.cast("int").alias("_part"),
                         F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
     small = written(keyed.select(F.col(source).alias("source"), F.col(doc_id).alias("_id"), "_key", "_part", "_size"),
@@ -128,10 +134,13 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", size
 
 
 def quality_weighted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``weight``: 2 where a label says good, 1/2 where one says bad, else 1."""
+    """``docs`` with ``weight``: 2 where a label says good, 1/2 where one says bad, else 1.
+
+    A column of ``docs`` of that name is replaced.
+    """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     weight = F.when(F.col("_quality") >= 1, F.lit(2.0)).when(F.col("_quality") < 1, F.lit(0.5)).otherwise(F.lit(1.0))
-    return docs.join(known, "doc_id", "left").withColumn("weight", weight).drop("_quality")
+    return aside(docs, ["doc_id"], lambda plain: plain.join(known, "doc_id", "left").withColumn("weight", weight).drop("_quality"))
 
 
 _SQL = r"""

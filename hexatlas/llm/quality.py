@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from hexatlas.llm.base import query, table
+from hexatlas.llm.base import aside, query, table
 
 #: Rated documents that the model is fitted on at most.
 SAMPLE = 8000
@@ -170,10 +170,7 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose grade is more likely above the lowest than not, as they were."""
     model = train(docs, ratings_of(labels), GRADES)
-    names = docs.columns
-    plain = docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(names) if c != "text"})
-    scored = score(plain, model).where(F.col("tails")[0] >= KEEP).drop("expected_grade", "tails")
-    return scored.withColumnsRenamed({f"_{i}": c for i, c in enumerate(names) if c != "text"}).select(*names)
+    return aside(docs, ["text"], lambda plain: score(plain, model).where(F.col("tails")[0] >= KEEP).drop("expected_grade", "tails"))
 
 
 @query("op9_quality")

@@ -32,7 +32,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hexatlas.llm.base import query, table
+from hexatlas.llm.base import aside, query, table
 from hexatlas.session import scratch_path, written
 
 LENGTH = 400
@@ -345,8 +345,13 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", with_text: bool = F
 def without_repeats(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` and ``n_chars``, if there is one, counted anew.
 
-    A document of which nothing is left goes; one that had no text stays. Other columns are kept.
+    A document of which nothing is left goes; one that had no text stays. Other columns, whatever
+    their names, are kept.
     """
+    return aside(docs, [id_column, "text", "n_chars"], lambda plain: _without_repeats(plain, id_column))
+
+
+def _without_repeats(docs: DataFrame, id_column: str) -> DataFrame:
     found = deduplicated(docs.select(id_column, "text"), id_column, with_text=True)
     changed = found.where(F.col("n_removed") > 0).select(
         F.col("key").alias("_key"), F.col("kept").alias("_kept")).dropDuplicates(["_key"])
