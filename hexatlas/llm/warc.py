@@ -5,6 +5,10 @@ writer's line separator, so a written part file is a plain (or gzipped) WARC/1.0
 store that Spark writes to will do. They are read with Spark's binary-file reader and cut by
 ``Content-Length``, never by looking for a marker in a payload. A writer task makes several
 files of at most ``RECORDS_PER_FILE`` records, and a reader task holds one file at a time.
+
+Headers alone are shuffled by digest. What changes goes back to the archives as one row a file,
+and the task that reads a file writes its records again. A small table of changes is sent to the
+files; a large one is met with them by path, which moves the archives as they are, compressed.
 """
 
 from __future__ import annotations
@@ -21,17 +25,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hexatlas.llm.base import query, table
-from hexatlas.session import scratch_path
+from hexatlas.session import scratch_path, written
 
 CRLF = "\r\n"
 RECORDS_PER_FILE = 2000
 LEAST_PAYLOAD = 1000
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 BATCH_BYTES = 4 << 20
+#: A gzip member leaves at most so many bytes to be looked at again.
+GZIP_STEP = 1 << 16
 
 HEADERS = ("record_id string, record_type string, target_uri string, date string, page_id long, "
            "payload_digest string, payload_bytes long, refers_to_id string, refers_to_page long")
 RECORDS = HEADERS + ", payload binary"
+#: Where a record stands: its archive, and its number there from 0.
+PLACES = HEADERS + ", file string, at int"
 
 
 def _clean(value: Column) -> Column:
@@ -87,11 +95,13 @@ def _bytes_of(content: bytes) -> bytes:
     """The archive's bytes; gzip members one after the other are unpacked."""
     if content[:2] != b"\x1f\x8b":
         return content
-    parts = []
-    while content:
+    parts, view, at = [], memoryview(content), 0
+    while at < len(content):
         one = zlib.decompressobj(wbits=31)
-        parts.append(one.decompress(content))
-        content = one.unused_data
+        while at < len(content) and not one.eof:
+            parts.append(one.decompress(view[at:at + GZIP_STEP]))
+            at = min(at + GZIP_STEP, len(content))
+        at -= len(one.unused_data)
     return b"".join(parts)
 
 
@@ -138,33 +148,46 @@ def _row(fields: dict[str, str], block: bytes, with_payload: bool) -> tuple:
     return (*row, block) if with_payload else row
 
 
+def _frames(rows: Iterator[tuple[tuple, int]], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of rows, each a few MB by the bytes given with them, so that a file never stands in memory twice."""
+    out, held = [], 0
+    types = {c: "Int64" for c in ("page_id", "payload_bytes", "refers_to_page")}
+    for row, size in rows:
+        out.append(row)
+        held += size
+        if held >= BATCH_BYTES:
+            yield pd.DataFrame(out, columns=names).astype(types)
+            out, held = [], 0
+    if out:
+        yield pd.DataFrame(out, columns=names).astype(types)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
+            .schema("path string, modificationTime timestamp, length long, content binary").load(path)
+            .select(F.col("path").alias("file"), "content"))
+
+
 def read_archives(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
-    """Records of all archives below ``path``: headers, and the block if ``payloads``.
+    """Records of all archives below ``path``: headers and either the block or their places.
 
     The digest and length of a response are taken from the bytes read, those of a revisit from
-    its header fields. Batches go out every few MB, so a file's records never stand in memory
-    a second time.
+    its header fields.
     """
-    schema = RECORDS if payloads else HEADERS
+    schema = RECORDS if payloads else PLACES
     names = [x.split()[0] for x in schema.split(", ")]
-    types = {"page_id": "Int64", "payload_bytes": "Int64", "refers_to_page": "Int64"}
+
+    def rows(batch: pd.DataFrame) -> Iterator[tuple[tuple, int]]:
+        for file, content in zip(batch["file"], batch["content"]):
+            for at, (fields, block) in enumerate(parse(content)):
+                row = _row(fields, block, payloads)
+                yield (row, len(block)) if payloads else ((*row, file, at), 500)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                rows, held = [], 0
-                for fields, block in parse(content):
-                    rows.append(_row(fields, block, payloads))
-                    held += len(block) if payloads else 500
-                    if held >= BATCH_BYTES:
-                        yield pd.DataFrame(rows, columns=names).astype(types)
-                        rows, held = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=names).astype(types)
-
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
-             .schema("path string, modificationTime timestamp, length long, content binary").load(path))
-    return files.select("content").mapInPandas(run, schema)
+            yield from _frames(rows(batch), names)
+
+    return _files(spark, path).mapInPandas(run, schema)
 
 
 def _originals(headers: DataFrame, least: int) -> DataFrame:
@@ -180,23 +203,19 @@ def _originals(headers: DataFrame, least: int) -> DataFrame:
 
 
 def resolve_revisits(headers: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
-    """``page_id, payload_digest, payload_bytes, original, original_id``, a row for each response to be a revisit.
+    """``headers`` that are to be revisits, with ``original`` and ``original_id``.
 
     Of responses of equal digest and at least ``least`` bytes, that of the largest page id keeps
     the payload. Copies are counted before the shuffle, so a payload held by a third of all pages
-    is one row per task; the join back is against one row per repeated payload. Rows that are
-    equal in all columns are one.
+    is one row per task; the join back is against one row per repeated payload.
     """
-    kept = _originals(headers, least)
-    large = headers.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least)).select(
-        "page_id", "payload_digest", "payload_bytes")
-    found = large.join(kept, ["payload_digest", "payload_bytes"])
-    return found.where(F.col("page_id") < F.col("original")).select(
-        "page_id", "payload_digest", "payload_bytes", "original", "original_id").distinct()
+    large = headers.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least))
+    found = large.join(_originals(headers, least), ["payload_digest", "payload_bytes"])
+    return found.where(F.col("page_id") < F.col("original"))
 
 
 def _input_revisits(headers: DataFrame) -> DataFrame:
-    """``record_id, to_page, to_id`` of each revisit whose response is among ``headers``.
+    """``headers`` of each revisit whose response is there too, with ``to_page`` and ``to_id``.
 
     The response is the one it refers to, else the one that keeps its digest. Where the
     response gives its payload to another record, that record is meant.
@@ -206,38 +225,60 @@ def _input_revisits(headers: DataFrame) -> DataFrame:
         F.col("page_id").isNull(), (-F.col("page_id")).alias("at"), "record_id", "page_id")).alias("d"))
     by_id = responses.groupBy("record_id").agg(F.min("payload_digest").alias("by_id"))
     asked = headers.where(F.col("record_type") == "revisit").select(
-        "record_id", "refers_to_id", F.col("payload_digest").alias("own")).distinct()
+        "file", "at", "refers_to_id", F.col("payload_digest").alias("own"))
     named = asked.join(by_id.withColumnRenamed("record_id", "_id"), F.col("refers_to_id") == F.col("_id"), "left")
-    wanted = named.select("record_id", F.coalesce("by_id", "own").alias("payload_digest"))
-    return wanted.join(by_digest, "payload_digest").groupBy("record_id").agg(F.min("d").alias("d")).select(
-        "record_id", F.col("d.page_id").alias("to_page"), F.col("d.record_id").alias("to_id"))
+    wanted = named.select("file", "at", F.coalesce("by_id", "own").alias("payload_digest"))
+    return wanted.join(by_digest, "payload_digest").select(
+        "file", "at", F.col("d.page_id").alias("to_page"), F.col("d.record_id").alias("to_id"))
+
+
+def _changed(spark: SparkSession, path: str, changes: DataFrame) -> DataFrame:
+    """Records of all archives below ``path``, those that ``changes`` names as revisits.
+
+    ``changes``: file, at, to_page, to_id; they are one row a file here, no more than the file has
+    records, and that file stands in the task's memory already.
+    """
+    per_file = changes.groupBy("file").agg(F.collect_list(F.struct(
+        "at", F.col("to_page").cast("string").alias("to_page"), "to_id")).alias("changes"))
+    # written, so that its size is known where the join is planned
+    per_file = written(per_file.withColumnRenamed("file", "_file"), "warc-changes")
+    names = [x.split()[0] for x in RECORDS.split(", ")]
+    kind, to_id, to_page, payload = (names.index(c) for c in ("record_type", "refers_to_id", "refers_to_page", "payload"))
+
+    def rows(batch: pd.DataFrame) -> Iterator[tuple[tuple, int]]:
+        for content, listed in zip(batch["content"], batch["changes"]):
+            new = {c["at"]: c for c in (() if listed is None else listed)}
+            for at, (fields, block) in enumerate(parse(content)):
+                row = list(_row(fields, block, True))
+                if at in new:
+                    page = new[at]["to_page"]
+                    row[kind], row[to_id], row[to_page] = "revisit", new[at]["to_id"], None if page is None else int(page)
+                if row[kind] == "revisit":
+                    row[payload] = None
+                yield tuple(row), len(row[payload] or b"") + 500
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield from _frames(rows(batch), names)
+
+    both = _files(spark, path).join(per_file, F.col("file") == F.col("_file"), "left")
+    return both.select("content", "changes").mapInPandas(run, RECORDS)
 
 
 def deduplicate(spark: SparkSession, path: str, out: str, least: int = LEAST_PAYLOAD) -> None:
     """Write the archives below ``path`` again to ``out``, repeated payloads as revisits.
 
-    Headers alone are shuffled to find the originals. Records keep their ids and, but for new
-    revisits, their blocks; they take fresh headers, since type, lengths and references change.
-    A revisit in the input refers to the response that keeps its payload; where none is there
-    it keeps what it referred to.
+    Records keep their ids and, but for new revisits, their blocks; they take fresh headers,
+    since type, lengths and references change. A revisit in the input refers to the response that
+    keeps its payload; where none is there it keeps what it referred to.
     """
-    headers = read_archives(spark, path, payloads=False)
+    headers = written(read_archives(spark, path, payloads=False), "warc-headers")
     new = resolve_revisits(headers, least).select(
-        F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"),
-        "original", "original_id")
-    old = _input_revisits(headers).withColumnRenamed("record_id", "_record")
-    records = read_archives(spark, path, payloads=True)
-    response, revisit = F.col("record_type") == "response", F.col("record_type") == "revisit"
-    both = records.join(new, response & (F.col("page_id") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
-                        & (F.col("payload_bytes") == F.col("_bytes")), "left")
-    both = both.join(old, revisit & (F.col("record_id") == F.col("_record")), "left")
-    kind = F.when(F.col("original").isNotNull(), F.lit("revisit")).otherwise(F.col("record_type"))
-    found = F.col("to_id").isNotNull()
-    write_archives(both.select(record_text(
-        F.col("page_id"), kind, F.col("target_uri"), F.col("date"), F.col("payload").cast("string"),
-        F.col("payload_digest"), F.col("payload_bytes"),
-        F.coalesce("original", F.when(found, F.col("to_page")).otherwise(F.col("refers_to_page"))),
-        F.col("record_id"), F.coalesce("original_id", "to_id", "refers_to_id"))), out)
+        "file", "at", F.col("original").alias("to_page"), F.col("original_id").alias("to_id"))
+    records = _changed(spark, path, new.union(_input_revisits(headers)))
+    write_archives(records.select(record_text(
+        F.col("page_id"), F.col("record_type"), F.col("target_uri"), F.col("date"), F.col("payload").cast("string"),
+        F.col("payload_digest"), F.col("payload_bytes"), F.col("refers_to_page"), F.col("record_id"), F.col("refers_to_id"))), out)
 
 
 def archive_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:

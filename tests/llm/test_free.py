@@ -1,5 +1,6 @@
 """The operators that SQL cannot express, against brute force and odd rows."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -94,6 +95,12 @@ def test_archive_that_holds_revisits(spark, tmp_path):
         "urn:x:lost": ("revisit", "urn:y:far", 0), "urn:x:plain": ("response", None, 1200)}
 
 
+def test_gzip_members_of_any_size():
+    parts = [bytes(i % 251 for i in range(n)) for n in (0, 1, 5000, 0, 300_000)] + [random.Random(n).randbytes(n) for n in (70_000, 10)] * 3
+    assert W._bytes_of(b"".join(map(gzip.compress, parts))) == b"".join(parts)
+    assert W._bytes_of(b"WARC/1.0") == b"WARC/1.0" and W._bytes_of(b"") == b""
+
+
 # --- SimHash and components ------------------------------------------------------------
 
 def linked(fps):
