@@ -16,8 +16,8 @@ where that can still change something:
    along, so that an open one still finds it.
 
 A window's identity is 128 bits made of four gram identifiers. Suffixes of all documents are
-compared by hash keys alone: the hot buckets of frequent passages are counted before the
-shuffle and met by a skew-safe equality join, and no bucket is ever gathered in one task. Texts
+compared by hash keys alone. Buckets are counted before the shuffle; rows of a hot one are dealt
+over salts, as many as its count asks for, so no hot bucket is gathered in one task. Texts
 travel compressed, once, and only touched documents are read again, from a bucketed table.
 """
 
@@ -38,6 +38,9 @@ from hexatlas.session import scratch_path, written
 LENGTH = 400
 GRAM = 100
 CELL = 16
+#: A key is hot that more than one row in ``HOT_SHARE`` (and more than ``LEAST_HOT``) has: there
+#: are never more than ``HOT_SHARE`` hot keys.
+HOT_SHARE, LEAST_HOT = 4096, 1000
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -246,60 +249,83 @@ def _from_texts(texts: DataFrame, runs: DataFrame, cut, columns: list[str]) -> D
     return texts.join(listed, "key").select("key", "packed", "runs").mapInPandas(run, schema)
 
 
-def _bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
-    """``df`` as a table bucketed by ``key``: later joins on it do not move it again."""
+def _bucketed(df: DataFrame, key: str, label: str) -> tuple[DataFrame, str]:
+    """``df`` as a table bucketed by ``key``, and its name: later joins on it do not move it again."""
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, key).option("path", scratch_path(spark, label)).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
-def _classes(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """``keys, n, least``: how many rows agree, and the least document among them."""
-    return written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")), label)
+def _classes(rows: DataFrame, keys: list[str], label: str, several: bool = False) -> DataFrame:
+    """``keys, n, least``: how many rows agree (``several``: more than one), and the least document among them."""
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
+    return written(found.where("n > 1") if several else found, label)
 
 
-def spans_and_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``key, first, last`` of runs of repeated windows, and ``key, packed`` of documents with any.
+def _meet(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str], count: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``facts``, whose ``keys`` are unique and which tell how many rows have them.
+
+    Rows of a hot key are dealt by ``by`` over as many salts as keep each below the limit, and
+    the key's fact is sent to all of these. Both tables are written ones, as they are read twice.
+    """
+    limit = max(LEAST_HOT, rows.count() // HOT_SHARE)
+    hot = F.col(count) > limit
+    salts = F.ceil(F.col(count) / F.lit(limit)).cast("long")
+    few = F.broadcast(facts.where(hot).select(*keys, salts.alias("_salts")))
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_salts")), F.lit(0).cast("long"))
+    dealt = rows.join(few, keys, "left").withColumn("_salt", salt).drop("_salts")
+    last = F.when(hot, salts - 1).otherwise(F.lit(0).cast("long"))
+    sent = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return dealt.join(sent, [*keys, "_salt"], how).drop("_salt")
+
+
+def spans_and_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """``key, first, last`` of runs of repeated windows, ``key, packed`` of documents with any, and
+    the name of the session's table that holds these.
 
     ``docs`` has ``key`` (of document and text) and ``text``.
     """
     rows = written(_filed(docs), "suffixes")
-    twice = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    shared = written(rows.join(twice, "g"), "suffixes-shared")
+    twice = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "suffix-buckets")
+    shared = written(_meet(rows, twice, ["g"], ["key", "run"]).drop("n"), "suffixes-shared")
     kinds = _classes(shared, ["g", "u"], "suffix-classes")
     # a bucket whose classes are all settled has nothing open to find them
-    apart = kinds.where(F.col("n") == 1).select("g", F.lit(True).alias("apart")).distinct()
-    found = written(shared.join(kinds, ["g", "u"]).join(apart, "g", "left").select(
+    apart = written(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), (F.min("n") == 1).alias("apart")), "suffix-apart")
+    judged_kinds = written(_meet(kinds, apart, ["g"], ["u"], "kinds").drop("kinds"), "suffix-kinds")
+    found = written(_meet(shared, judged_kinds, ["g", "u"], ["key", "run"]).select(
         "key", "run", (F.col("n") > 1).alias("settled"),
-        (F.col("apart").isNotNull() & ((F.col("n") == 1) | (F.col("key") == F.col("least")))).alias("open")), "suffixes-found")
+        (F.col("apart") & ((F.col("n") == 1) | (F.col("key") == F.col("least")))).alias("open")), "suffixes-found")
 
     touched = found.select("key").distinct()
-    texts = _bucketed(_packed(docs).join(touched, "key", "left_semi").dropDuplicates(["key"]), "key", "touched")
+    texts, name = _bucketed(_packed(docs).join(touched, "key", "left_semi").dropDuplicates(["key"]), "key", "touched")
 
     cut = written(_from_texts(texts, found.where("open").select("key", "run"), cells, ["c1", "c2", "u1", "u2", "run"]),
                   "cells")
-    alive = _classes(cut, ["c1", "c2"], "cell-cores").where(F.col("n") > 1).select("c1", "c2")
-    living = written(cut.join(alive, ["c1", "c2"]), "cells-alive")
-    covers = _classes(living.where(F.col("u1") != 0), ["u1", "u2"], "cell-covers").where(F.col("n") > 1)
-    judged = written(living.join(covers, ["u1", "u2"], "left").select(
-        "key", "run", "c1", "c2", F.col("n").isNotNull().alias("settled"), (F.col("key") == F.col("least")).alias("first")),
-        "cells-judged")
+    alive = _classes(cut, ["c1", "c2"], "cell-cores", several=True).drop("least")
+    living = written(_meet(cut, alive, ["c1", "c2"], ["key", "run"]).drop("n"), "cells-alive")
+    # cells that cover nothing comparable have the same keys: they are kept out of the join
+    whole, partial = living.where(F.col("u1") != 0), living.where(F.col("u1") == 0)
+    covers = _classes(whole, ["u1", "u2"], "cell-covers", several=True)
+    judged = written(_meet(whole, covers, ["u1", "u2"], ["key", "run"], how="left").select(
+        "key", "run", "c1", "c2", F.col("n").isNotNull().alias("settled"), (F.col("key") == F.col("least")).alias("first"))
+        .union(partial.select("key", "run", "c1", "c2", F.lit(False), F.lit(None).cast("boolean"))), "cells-judged")
     lone = judged.where(~F.col("settled"))
     along = judged.where(F.col("settled") & F.col("first")).join(lone.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi")
     open_ = lone.select("key", "run").union(along.select("key", "run"))
 
     last = written(_from_texts(texts, open_, single_windows, ["k1", "k2", "start"]),
                    "windows")
-    again = _classes(last, ["k1", "k2"], "window-classes").where(F.col("n") > 1).select("k1", "k2")
-    single = last.join(again, ["k1", "k2"]).select("key", F.col("start").alias("first"), F.col("start").alias("last"))
+    again = _classes(last, ["k1", "k2"], "window-classes", several=True).drop("least")
+    single = _meet(last, again, ["k1", "k2"], ["key", "start"]).select(
+        "key", F.col("start").alias("first"), F.col("start").alias("last"))
 
     def spans(judgement: DataFrame, unit: int) -> DataFrame:
         first = F.floor(F.col("run") / unit).cast("long")
         return judgement.where("settled").select("key", first.alias("first"), (first + F.pmod("run", F.lit(unit))).alias("last"))
 
-    return spans(found, 1024).union(spans(judged, 32)).union(single), texts
+    return spans(found, 1024).union(spans(judged, 32)).union(single), texts, name
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", with_text: bool = False) -> DataFrame:
@@ -313,7 +339,7 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", with_text: bool = F
     """
     keyed = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
         .withColumn("key", F.xxhash64("doc_id", "text"))
-    spans, texts = spans_and_texts(keyed)
+    spans, texts, name = spans_and_texts(keyed)
     # windows of one document that are next to each other need not be listed one by one
     listed = spans.groupBy("key").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
 
@@ -329,6 +355,7 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", with_text: bool = F
     changed = texts.join(listed, "key").select("key", "packed", "firsts", "lasts").mapInPandas(
         run, "key long, n_removed long, n_spans long, sha string, kept string")
     changed = written(changed, "removed").withColumnRenamed("key", "_key")
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # leaves the session's list of tables as it was
     rows = keyed if with_text else keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"),
                                                 F.sha2(F.col("text").cast("binary"), 256).alias("own"))
     if with_text:

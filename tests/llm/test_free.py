@@ -16,6 +16,7 @@ import corpus_pipeline
 from hexatlas.llm import (
     licenses as L, pitman_yor as P, quality as Q, simhash as S, substrings as B, toxicity as T, warc as W)
 from hexatlas.llm.components import components
+from hexatlas.session import written
 
 NOTHING = [(1, None), (2, ""), (3, " \n\t")]
 
@@ -170,7 +171,10 @@ def brute_removed(texts, length=400):
     return out
 
 
-def test_substrings_equal_brute_force(spark, documents):
+@pytest.mark.parametrize("least_hot", [B.LEAST_HOT, 2])
+def test_substrings_equal_brute_force(spark, documents, monkeypatch, least_hot):
+    """Also where nearly every repeated bucket, class, cell and window is dealt over salts."""
+    monkeypatch.setattr(B, "LEAST_HOT", least_hot)
     rng = random.Random(3)
     prose = lambda n: "".join(rng.choice("abcdefghé ") for _ in range(n))
     shared, other = prose(900), prose(420)
@@ -183,6 +187,27 @@ def test_substrings_equal_brute_force(spark, documents):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_hot_keys_are_dealt_over_salts(spark, monkeypatch):
+    """One key with half of all rows meets its fact in many tasks, and no row is lost or repeated."""
+    monkeypatch.setattr(B, "LEAST_HOT", 100)
+    rows = written(spark.range(20000).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).alias("g"),
+                                             F.col("id").alias("key"), F.lit(0).alias("run")), "hot-rows")
+    facts = B._classes(rows, ["g"], "hot-facts")
+    met = B._meet(rows, facts, ["g"], ["key", "run"])
+    assert met.count() == met.select("key").distinct().count() == 20000
+    assert met.where("g = -1 and n <> 10000 or g <> -1 and n <> 1").isEmpty()
+    plain = B._meet(rows, facts.where("g <> -1"), ["g"], ["key", "run"], how="left")
+    assert plain.where("n is null").count() == 10000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        each = B._meet(rows, facts, ["g"], ["key", "run"]).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert each < 2 * 20000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_substrings_across_chunks(spark, documents, monkeypatch):
     """The helpers on a text of several chunks, where runs are cut at their borders."""
     rng = random.Random(4)
@@ -197,7 +222,9 @@ def test_substrings_across_chunks(spark, documents, monkeypatch):
 def test_repeated_rows_and_cut_texts(spark, documents):
     text = "".join(random.Random(9).choice("klmnopqr") for _ in range(600))
     docs = documents([(1, text), (1, text), (2, "short"), (3, None), (None, "ü" + text[:450] + "end")])
+    before = {t.name for t in spark.catalog.listTables()}
     got = B.deduplicated(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before
     assert sorted((r["n_bytes"], r["n_removed"]) for r in got.collect()) == [(0, 0), (5, 0), (455, 450), (600, 600), (600, 600)]
     left = {(r["doc_id"], r["text"], r["n_chars"]) for r in B.without_repeats(docs).collect()}
     assert left == {(2, "short", 5), (3, None, 0), (None, "üend", 4)}
