@@ -6,13 +6,19 @@ their bigram multisets cannot exceed ``2 min / (min + max)`` of the two sizes, s
 compared only with templates whose size allows the threshold; most parts have none or share no
 bigram with any. Templates are few and come from the caller; each text is looked at on its own,
 in one pass without a shuffle.
+
+A notice inside a longer line is found by windows: at each place of the text's words where one of
+a template's bigrams stands, as many bigrams as the template has (fewer at the end of the text).
+A window of that size that begins otherwise is no more similar than the one that begins at its
+first such bigram, so no embedded notice is lost. Each bigram enters and leaves a template's
+window once.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,6 +89,10 @@ class Templates:
         self.sizes, self.names, self.grams = [m[0] for m in made], [m[1] for m in made], [m[2] for m in made]
         self.known = set().union(*self.grams) if made else set()
         self.first = {w for w, _ in self.known}
+        self.holders: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for i, grams in enumerate(self.grams):
+            for g in grams:
+                self.holders[g].append(i)
         self.threshold = threshold
         # 2 min / (min + max) >= t  <=>  min / max >= t / (2 - t)
         self.bound = threshold / (2 - threshold)
@@ -112,6 +122,43 @@ class Templates:
                 found.append((-dice, self.names[i]))
         return (-min(found)[0], min(found)[1]) if found else None
 
+    def embedded(self, text: str) -> dict[int, tuple[float, int, str]]:
+        """``-dice, -size, name`` of the most similar template at each place of a window that states one.
+
+        Of equally similar templates the larger is taken, then the one of the least name.
+        """
+        words = normalised(text)
+        if self.first.isdisjoint(words):
+            return {}
+        hits: dict[int, list[tuple[int, tuple[str, str]]]] = defaultdict(list)
+        for at, g in enumerate(zip(words, words[1:])):
+            for i in self.holders.get(g, ()):
+                hits[i].append((at, g))
+        found: dict[int, tuple[float, int, str]] = {}
+        for i, places in hits.items():
+            # the threshold needs that share of a template's bigrams at least
+            if len(places) < self.sizes[i] * self.bound - 1e-9:
+                continue
+            for at, dice in self._windows(i, places, len(words) - 1):
+                stated = (-dice, -self.sizes[i], self.names[i])
+                found[at] = min(found.get(at, stated), stated)
+        return found
+
+    def _windows(self, i: int, places: list[tuple[int, tuple[str, str]]], total: int) -> Iterator[tuple[int, float]]:
+        """Place and Dice of the windows that begin at ``places`` (of the template's bigrams) and reach the threshold."""
+        size, grams, inside, common, end = self.sizes[i], self.grams[i], Counter(), 0, 0
+        for at, g in places:
+            while end < len(places) and places[end][0] < at + size:
+                entering = places[end][1]
+                inside[entering] += 1
+                common += inside[entering] <= grams[entering]
+                end += 1
+            dice = 2 * common / (size + min(size, total - at))
+            if dice >= self.threshold:
+                yield at, dice
+            common -= inside[g] <= grams[g]
+            inside[g] -= 1
+
 
 def parts(text: str) -> Iterator[tuple[str, int, str]]:
     """Kind, number and text of each part; a part that is the whole of a larger one is left out."""
@@ -125,12 +172,14 @@ def parts(text: str) -> Iterator[tuple[str, int, str]]:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, license, dice, part, n_parts`` for every row of ``docs``.
-
-    ``license`` is the template most similar to any part of the whole text (null if none reaches
-    ``threshold``; of equals the least name), ``part`` what it was found in, ``n_parts`` how many
-    parts state any licence, ``licenses`` their distinct names in order. Null and empty texts
-    have no parts with words. Repeated rows are scanned each; a null id is kept.
+    """``doc_id, license, dice, part, n_parts, n_windows, licenses`` for every row of ``docs``.
+
+    ``license`` is the template most similar to any part of the whole text (of equals the least
+    name), and where no part reaches ``threshold`` that of the most similar window (of equals the
+    larger, then the least name); null if none does. ``part`` is what it was found in, ``n_parts``
+    how many parts state any licence, ``n_windows`` at how many places a window does, ``licenses``
+    the distinct names of both in order. Null and empty texts have no parts with words. Repeated
+    rows are scanned each; a null id is kept. Texts may be of any length.
     """
     texts = TEMPLATES if templates is None else templates
 
@@ -140,14 +189,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 found = [(-m[0], m[1], kind) for kind, _, p in parts(text or "") if (m := known.best(p))]
+                inside = known.embedded(text or "").values()
                 top = min(found) if found else (None, None, None)
-                out.append((doc_id, top[1], None if top[0] is None else -top[0], top[2], len(found),
-                            ",".join(sorted({f[1] for f in found}))))
-            yield pd.DataFrame(out, columns=["doc_id", "license", "dice", "part", "n_parts", "licenses"]).astype(
+                if inside and not found:
+                    dice, _, name = min(inside)
+                    top = (dice, name, "window")
+                out.append((doc_id, top[1], None if top[0] is None else -top[0], top[2], len(found), len(inside),
+                            ",".join(sorted({f[1] for f in found} | {f[2] for f in inside}))))
+            yield pd.DataFrame(out, columns=["doc_id", "license", "dice", "part", "n_parts", "n_windows", "licenses"]).astype(
                 {"doc_id": "Int64", "dice": "Float64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, license string, dice double, part string, n_parts long, licenses string")
+    return rows.mapInPandas(run, "doc_id long, license string, dice double, part string, n_parts long, n_windows long, "
+                           "licenses string")
 
 
 def _sql() -> str:
@@ -171,9 +225,23 @@ m AS (SELECT r, kind, i, name, 2.0::DOUBLE * CAST(common AS DOUBLE) / (CAST(ps.s
   FROM c JOIN ps USING (r, kind, i) JOIN ts USING (name)),
 b AS (SELECT r, kind, i, max(dice) AS dice, min_by(name, (-dice, name)) AS name FROM m WHERE dice >= {THRESHOLD} GROUP BY ALL),
 o AS (SELECT r, min_by(name, (-dice, name, kind)) AS license, max(dice) AS dice, min_by(kind, (-dice, name, kind)) AS part,
-  count(*) AS n_parts, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM b GROUP BY 1)
-SELECT doc_id, license, dice, part, CAST(coalesce(n_parts, 0) AS BIGINT) AS n_parts, coalesce(licenses, '') AS licenses
-FROM d LEFT JOIN o USING (r)"""
+  count(*) AS n_parts FROM b GROUP BY 1),
+w AS (SELECT r, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM d),
+wb AS (SELECT r, len(w) - 1 AS total, unnest(range(1, len(w))) AS s,
+  unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
+wt AS (SELECT r, total, s, g, name, n FROM wb JOIN tg USING (g)),
+wc AS (SELECT a.r, a.name, a.s, a.total, z.g, least(count(*), z.n) AS n FROM wt a JOIN ts USING (name)
+  JOIN wt z ON z.r = a.r AND z.name = a.name AND z.s BETWEEN a.s AND a.s + ts.size - 1 GROUP BY a.r, a.name, a.s, a.total, z.g, z.n),
+wd AS (SELECT r, name, s, CAST(size AS BIGINT) AS size, 2.0::DOUBLE * CAST(sum(n) AS DOUBLE)
+  / (CAST(size AS DOUBLE) + CAST(least(size, total - s + 1) AS DOUBLE)) AS dice FROM wc JOIN ts USING (name) GROUP BY r, name, s, total, size),
+wm AS (SELECT r, s, min_by(name, (-dice, -size, name)) AS name, max(dice) AS dice, min_by(size, (-dice, -size, name)) AS size
+  FROM wd WHERE dice >= {THRESHOLD} GROUP BY ALL),
+wo AS (SELECT r, min_by(name, (-dice, -size, name)) AS license, max(dice) AS dice, count(*) AS n_windows FROM wm GROUP BY 1),
+l AS (SELECT r, string_agg(name, ',' ORDER BY name) AS licenses FROM (SELECT r, name FROM b UNION SELECT r, name FROM wm) GROUP BY 1)
+SELECT doc_id, coalesce(o.license, wo.license) AS license, coalesce(o.dice, wo.dice) AS dice,
+  coalesce(part, CASE WHEN wo.r IS NOT NULL THEN 'window' END) AS part, CAST(coalesce(n_parts, 0) AS BIGINT) AS n_parts,
+  CAST(coalesce(n_windows, 0) AS BIGINT) AS n_windows, coalesce(licenses, '') AS licenses
+FROM d LEFT JOIN o USING (r) LEFT JOIN wo USING (r) LEFT JOIN l USING (r)"""
 
 
 @query("op2_licenses", _sql())

@@ -42,6 +42,47 @@ def test_license_parts_and_bounds(spark, documents):
         assert [i for i, ok in enumerate(best) if ok] == list(near)
 
 
+def test_embedded_notices_equal_brute_force():
+    """Windows at every place, not only at a template's bigrams; and no better window lies elsewhere."""
+    rng = random.Random(12)
+    texts = {"one": "a b c d e", "two": "a b c d e f g", "twice": "a b a b a b c", "far": "p q r", "single": "z"}
+    known = L.Templates(texts, 0.8)
+    stated = 0
+    for _ in range(300):
+        words = [rng.choice("abcdefgpqrx") for _ in range(rng.randrange(0, 12))]
+        for _ in range(rng.randrange(0, 3)):
+            notice = rng.choice(list(texts.values())).split()
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = notice if rng.random() < 0.6 else notice[:-1] + ["x"]
+        want, tops = {}, {}
+        for name, t in texts.items():
+            grams = L.bigrams(t.split())
+            size = sum(grams.values())
+            for at in range(len(words) - 1 if size else 0):
+                window = L.bigrams(words[at:at + size + 1])
+                dice = 2 * sum((window & grams).values()) / (size + sum(window.values()))
+                tops[name] = max(tops.get(name, 0), dice)
+                if dice >= 0.8 and (words[at], words[at + 1]) in grams:
+                    want[at] = min(want.get(at, (0, 0, "")), (-dice, -size, name))
+        got = known.embedded(" ".join(words))
+        assert got == want
+        best = max(tops.values(), default=0)
+        assert (-min(got.values())[0] if got else 0) == (best if best >= 0.8 else 0)
+        stated += len(got)
+    assert stated > 100
+
+
+def test_notices_inside_longer_lines(spark, documents):
+    mit = " ".join(L.TEMPLATES["MIT-text"].split())
+    long = "word " * 50_000
+    docs = documents([*NOTHING, (4, "We say: Released under the MIT License. And so on for ever and ever"),
+                      (5, f"MIT License Copyright 2020 someone {mit} THE SOFTWARE IS PROVIDED AS IS {long}"),
+                      (6, f"{long} released under the BSD 3-clause\nlicense {long}"), (7, "under the license of the software " * 20)])
+    got = {r["doc_id"]: (r["license"], r["part"], r["n_parts"], r["licenses"]) for r in L.scan(docs).collect()}
+    assert got == {1: (None, None, 0, ""), 2: (None, None, 0, ""), 3: (None, None, 0, ""), 4: ("MIT", "window", 0, "MIT"),
+                   5: ("MIT-text", "window", 0, "MIT-text"), 6: ("BSD-3-Clause", "window", 0, "BSD-3-Clause"), 7: (None, None, 0, "")}
+
+
 # --- WARC -----------------------------------------------------------------------------
 
 def test_archives_round_trip(spark, tmp_path):
