@@ -38,6 +38,8 @@ LEAST_RATIO, RATIOS_PER_DOCUMENT = 12.0, (1 / 15, 1 / 8, 1 / 5, 1 / 3)
 #: One document of so many is set aside to choose that growth and to calibrate the score.
 ASIDE = 3
 SHORTEST, LONGEST, LONGEST_WORD = 4, 9, 24
+#: Least bytes of the pieces of a longer run, as scripts without spaces have them.
+PIECES = (6, 9)
 FIGURES = 8
 
 
@@ -45,11 +47,31 @@ def _plain(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower()
 
 
+def pieces(run: bytes) -> set[bytes]:
+    """The distinct pieces of a run of 6 and of 9 bytes, or the fewest more that end a character,
+    from each of its characters on."""
+    at = [i for i, c in enumerate(run) if c & 0xC0 != 0x80] + [len(run)]
+    found = set()
+    for least in PIECES:
+        end = 0
+        for begin in at[:-1]:
+            while end < len(at) - 1 and at[end] < begin + least:
+                end += 1
+            if at[end] >= begin + least:
+                found.add(run[begin:at[end]])
+    return found
+
+
 def segments(text: str | None) -> set[bytes]:
-    """The distinct words of a text and their beginnings of 4 to 9 bytes, after a space."""
+    """The distinct words of a text and their beginnings of 4 to 9 bytes, after a space.
+
+    A run of more than 24 bytes without a space is no word; its pieces stand for the whole of it.
+    """
     found = set()
     for w in set(_plain(text).split()):
-        w = w[:LONGEST_WORD]
+        if len(w) > LONGEST_WORD:
+            found |= pieces(w)
+            continue
         found.add(b" " + w)
         for k in range(SHORTEST, min(len(w), LONGEST + 1)):
             found.add(b" " + w[:k])

@@ -296,6 +296,35 @@ def test_toxicity_of_held_out_texts(spark, documents):
     assert T.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_texts_without_spaces(spark, documents):
+    """Marks stand deep inside one long run: all of it has to be learned from."""
+    rng = random.Random(8)
+    letters, marks = "あいうえおかきくけこさしすせそ", ("ぬねのはひ", "まみむめも")
+    def run(toxic):
+        parts = ["".join(rng.choice(letters) for _ in range(rng.randrange(20, 60))) for _ in range(4)]
+        return (rng.choice(marks) if toxic else "").join(parts)
+    rows = [(i, run(i % 4 == 0)) for i in range(400)]
+    docs, labels = documents(rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = T.train(docs, labels.where("doc_id % 5 <> 0"))
+    got = {r["doc_id"]: r["score"] for r in T.score(docs, model).collect()}
+    held = [i for i in got if i % 5 == 0]
+    assert sum((got[i] >= 0.5) == (i % 4 == 0) for i in held) >= 0.9 * len(held)
+
+
+def test_pieces_are_whole_characters_and_cover_the_run():
+    rng = random.Random(6)
+    for _ in range(50):
+        text = "".join(rng.choice("aéあ😀") for _ in range(rng.randrange(12, 60)))
+        raw = text.encode()
+        want = set()
+        for i in range(len(text)):
+            for least in T.PIECES:
+                ends = [j for j in range(i, len(text) + 1) if len(text[i:j].encode()) >= least]
+                want |= {text[i:ends[0]].encode()} if ends else set()
+        assert T.pieces(raw) == want
+    assert T.segments("ab " + "x" * 300) == {b" ab", b"x" * 6, b"x" * 9}
+
+
 def test_windows_cover_the_text():
     for raw in (b"", b"a", b"a b c " * 100, b"x" * 1000, b"y" * 47 + b" z" * 60):
         cut = T.windows(raw)
