@@ -86,6 +86,45 @@ def differing(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(changed, lambda i: paragraphs(i, at(a, i), at(b, i))))
 
 
+def edits(a: Column, b: Column) -> Column:
+    """``struct<removed, added>`` of places ``array<struct<section, paragraph, piece>>`` (from 0).
+
+    ``removed`` are the pieces of ``a`` that ``b`` does not have, ``added`` those of ``b`` that ``a``
+    does not have, each by its place in its own tree. Branches are met by hash, wherever they stand,
+    so an insertion does not mark what follows it; only sections, then paragraphs, that the other
+    side lacks are opened. A paragraph without pieces is its piece -1. Texts that hold the same
+    pieces in another order or number, and so differ without a piece of their own, part at the
+    places of ``differing`` on both sides. Equal texts have none.
+    """
+    def lacking(x: Column, y: Column) -> Column:
+        paragraphs = F.flatten(F.transform(y, lambda s: F.transform(s["paragraphs"], lambda p: p["hash"])))
+        leaves = F.flatten(F.transform(y, lambda s: F.flatten(F.transform(s["paragraphs"], lambda p: p["pieces"]))))
+
+        def numbered(parts: Column) -> Column:
+            return F.transform(parts, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+
+        def place(s: Column, p: Column, i: Column) -> Column:
+            return F.struct(s.alias("section"), p.alias("paragraph"), i.alias("piece"))
+
+        def in_paragraph(s: Column, p: Column) -> Column:
+            own = F.filter(numbered(p["v"]["pieces"]), lambda q: ~F.array_contains(leaves, q["v"]))
+            bare = F.array(place(s, p["i"], F.lit(-1)))
+            return F.when(F.size(p["v"]["pieces"]) == 0, bare).otherwise(F.transform(own, lambda q: place(s, p["i"], q["i"])))
+
+        def in_section(s: Column) -> Column:
+            own = F.filter(numbered(s["v"]["paragraphs"]), lambda p: ~F.array_contains(paragraphs, p["v"]["hash"]))
+            return F.flatten(F.transform(own, lambda p: in_paragraph(s["i"], p)))
+
+        hashes = F.transform(y, lambda s: s["hash"])
+        changed = F.filter(numbered(x), lambda s: ~F.array_contains(hashes, s["v"]["hash"]))
+        return F.flatten(F.transform(changed, in_section))
+
+    removed, added = lacking(a, b), lacking(b, a)
+    moved = (F.size(removed) == 0) & (F.size(added) == 0) & (root(a) != root(b))
+    return F.struct(F.when(moved, differing(a, b)).otherwise(removed).alias("removed"),
+                    F.when(moved, differing(a, b)).otherwise(added).alias("added"))
+
+
 def fingerprint(tree_column: Column) -> Column:
     """The root of a tree, a slash, and a short hash of each piece in order, as one string.
 

@@ -124,6 +124,24 @@ def test_fingerprints_tell_texts_apart_and_locate_edits(spark):
     assert got[2]["fa"] == got[2]["fb"] and got[3]["fa"] != got[3]["fb"] and got[4]["fa"] != got[4]["fb"]
 
 
+def test_edits_are_located_after_insertions(spark):
+    body = "One. Two.\nThree.\n\nFour. Five.\nSix. Seven."
+    pairs = [(body, body, [], []),
+             (body, "New.\n" + body, [], [(0, 0, 0)]),
+             (body, "New. Newer.\n\n" + body, [], [(0, 0, 0), (0, 0, 1)]),
+             ("Gone.\n" + body, body, [(0, 0, 0)], []),
+             (body, "New.\n\n" + body.replace(" Five", " Nine"), [(1, 0, 1)], [(0, 0, 0), (2, 0, 1)]),
+             (body, body.replace("Three.\n", "Three.\n\n"), [], [(1, 0, -1)]),
+             (None, "", [], []),
+             ("", "Word", [(0, 0, -1)], [(0, 0, 0)]),
+             ("A.\nB.", "B.\nA.", [(0, 0, 0), (0, 1, 0)], [(0, 0, 0), (0, 1, 0)])]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(pairs)], "i int, a string, b string")
+    trees = rows.select("i", M.tree(F.col("a")).alias("ta"), M.tree(F.col("b")).alias("tb"))
+    got = {r["i"]: r["e"] for r in trees.select("i", M.edits(F.col("ta"), F.col("tb")).alias("e")).collect()}
+    for i, (_, _, removed, added) in enumerate(pairs):
+        assert ([tuple(p) for p in got[i]["removed"]], [tuple(p) for p in got[i]["added"]]) == (removed, added), i
+
+
 @pytest.mark.parametrize("per_bucket", [1, 3, 1000])
 def test_next_document_across_ranges(spark, documents, per_bucket):
     texts = [(i * i % 977, f"text {i}") for i in range(60)]
