@@ -65,13 +65,14 @@ def pieces(run: bytes) -> set[bytes]:
 def segments(text: str | None) -> set[bytes]:
     """The distinct words of a text and their beginnings of 4 to 9 bytes, after a space.
 
-    A run of more than 24 bytes without a space is no word; its pieces stand for the whole of it.
+    Of a run of more than 24 bytes without a space the first 24 are its word, and its pieces
+    stand for the whole of it.
     """
     found = set()
     for w in set(_plain(text).split()):
         if len(w) > LONGEST_WORD:
             found |= pieces(w)
-            continue
+            w = w[:LONGEST_WORD]
         found.add(b" " + w)
         for k in range(SHORTEST, min(len(w), LONGEST + 1)):
             found.add(b" " + w[:k])
