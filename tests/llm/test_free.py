@@ -435,7 +435,7 @@ def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, sizes = docs.columns, [docs.count()]
     assert [n for n, _ in corpus_pipeline.STAGES] == [
-        "quality classifier", "simhash near-dedup", "suffix-array dedup", "benchmark decontamination", "mixing to target weights"]
+        "quality classifier", "near-dedup", "suffix-array dedup", "benchmark decontamination", "mixing to target weights"]
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         before = docs
         docs = spark.createDataFrame(stage(spark, before, sf).toPandas())
