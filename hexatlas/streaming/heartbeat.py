@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 STALE_MINUTES = 15
 # the first age that counts as more than 15 whole minutes
 SILENT_SECONDS = (STALE_MINUTES + 1) * 60
+# Spark joins sessions that touch: beats as far apart as the limit, or farther, are two runs
+SESSION_GAP = f"{SILENT_SECONDS - 1} seconds 999 milliseconds 999 microseconds"
 
 SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()),
@@ -96,9 +98,9 @@ def ticking(spark: SparkSession) -> DataFrame:
 def watch(beats: DataFrame, lateness: str = "10 minutes", clock: DataFrame | None = None) -> DataFrame:
     """Streaming alerts: one row per silence, once time has passed its limit.
 
-    A run of beats closer than the limit is one session; its end is the last beat plus the
-    limit, which is when the alert falls due. Out-of-order beats within ``lateness`` join
-    or merge sessions; later ones are dropped and cannot revive a host.
+    A run of beats closer than the limit is one session; it ends a microsecond before the last
+    beat plus the limit, which is when the alert falls due. Out-of-order beats within ``lateness``
+    join or merge sessions; later ones are dropped and cannot revive a host.
 
     Without a ``clock``, time moves with the beats of all hosts, so nothing is said while all are
     silent. A clock is a second stream with a timestamp ``t``, such as :func:`ticking`: its ticks
@@ -109,11 +111,12 @@ def watch(beats: DataFrame, lateness: str = "10 minutes", clock: DataFrame | Non
     if clock is not None:
         timed = timed.unionByName(clock.select(F.lit(None).cast("string").alias("hostname"), "t"))
     return (timed.withWatermark("t", lateness)
-            .groupBy("hostname", F.session_window("t", f"{SILENT_SECONDS} seconds").alias("w"))
+            .groupBy("hostname", F.session_window("t", SESSION_GAP).alias("w"))
             .agg(F.max("t").alias("last_beat"), F.count("hostname").alias("beats"))
             # on the count, not on the key: that filter would be pushed below the watermark
             .where(F.col("beats") > 0)
-            .select("hostname", "last_beat", F.col("w.end").alias("alert_at"), "beats"))
+            .select("hostname", "last_beat",
+                    (F.col("last_beat") + F.make_dt_interval(secs=F.lit(SILENT_SECONDS))).alias("alert_at"), "beats"))
 
 
 def run_watch(alerts: DataFrame, out: str, checkpoint: str) -> None:

@@ -100,6 +100,18 @@ def test_stream_with_out_of_order_and_late_beats(spark, tmp_path):
     assert run(spark, src, out, state) == [("a", "00:20", 3), ("a", "01:05", 1)]
 
 
+def test_the_stream_says_a_silence_of_exactly_the_limit(spark, tmp_path):
+    src, out, state = (tmp_path / n for n in ("in", "out", "state"))
+    src.mkdir()
+    # sixteen minutes are a silence, a second less is none, as in the batch
+    beats = [beat("a", at(0)), beat("a", at(16)), beat("b", at(0)), beat("b", at(15, 59)), beat("c", at(90))]
+    drop(src, "1.json", beats)
+    assert run(spark, src, out, state) == [("a", "00:00", 1), ("a", "00:16", 1), ("b", "00:15", 2)]
+    quiet = H.silences(frame(spark, beats), instant(at(80))).select("hostname", F.date_format("last_beat", "HH:mm"), "alert_at")
+    said = spark.read.schema("hostname string, last_beat timestamp, alert_at timestamp").parquet(str(out))
+    assert sorted(quiet.collect()) == sorted(said.select("hostname", F.date_format("last_beat", "HH:mm"), "alert_at").collect())
+
+
 def test_a_clock_tells_when_every_host_is_silent(spark, tmp_path):
     src, ticks, out, state = (tmp_path / n for n in ("in", "ticks", "out", "state"))
     src.mkdir()
