@@ -79,7 +79,11 @@ def sql_layer(spark: SparkSession, template: str, **views: DataFrame) -> Layer:
 
     ``views`` are registered as temporary views first, under their keyword names. The text
     is wrapped as a subquery, so a command (which has none) fails to parse and is not run.
+
+    A recursion may give any number of rows: the session's limit of a million, an error beyond
+    it, is lifted. Endless ones still end with an error at the limit of levels.
     """
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return lambda res: spark.sql(f"SELECT * FROM (\n{sql_text(template, res)}\n)")

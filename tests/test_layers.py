@@ -82,6 +82,15 @@ def test_forms_of_sql_layers(spark, form):
     assert sorted((r["cell_id"], r["value"]) for r in rows) == WANT[form]
 
 
+def test_a_recursion_of_more_than_a_million_rows(spark):
+    below = spark.range(1_050_000).selectExpr("id + 1 as id", "0L as parent")
+    text = ("WITH RECURSIVE t(id, depth) AS (SELECT 0L, 0 UNION ALL SELECT b.id, t.depth + 1 FROM below b JOIN t ON b.parent = t.id) "
+            "SELECT id AS cell_id, depth AS value FROM t")
+    assert L.typed(L.sql_layer(spark, text, below=below)(5)).agg(F.count("cell_id"), F.sum("value")).head() == (1_050_001, 1_050_000.0)
+    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT_EXCEEDED"):
+        L.sql_layer(spark, "WITH RECURSIVE t(i) AS (SELECT 0 UNION ALL SELECT i + 1 FROM t) SELECT i AS cell_id, 1 AS value FROM t")(5).count()
+
+
 def test_commands_are_refused_before_they_run(spark):
     with pytest.raises(Exception, match="PARSE"):
         L.sql_layer(spark, "CREATE TEMPORARY VIEW made_by_a_layer AS SELECT 1 AS cell_id")(5)
