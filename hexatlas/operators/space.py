@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hexatlas.session import written
+
 Ring = list[tuple[float, float]]
 
 
@@ -50,6 +52,7 @@ def cells_in_polygon(located: DataFrame, ring: Ring) -> DataFrame:
 # grid lines do not run through vertices or centroids.
 BIN_SIDES = [32.0, 8.0, 2.0, 0.5, 0.125]
 BIN_START = 0.00098765432101
+LEAST_BINS = 256
 
 _CROSSES = "((ay > {lat}) != (by > {lat}) AND {lng} < (bx - ax) * ({lat} - ay) / (by - ay) + ax)"
 _EAST, _NORTH = f"({BIN_START}D + (_c + 1) * _s)", f"({BIN_START}D + (_r + 1) * _s)"
@@ -62,15 +65,16 @@ def _bin_no(v: str) -> str:
 def _sided_edges(polygons: DataFrame) -> DataFrame:
     """``poly_id, _s, ax, ay, bx, by``: each edge, with its polygon's bin side.
 
-    The side is the finest at which the polygon's box has no more than two bins per vertex (16
-    at least), so bins are as many as vertices whatever the size of the polygon.
+    The side is the finest at which the polygon's box has no more than two bins per vertex (256
+    at least), so bins are as many as vertices whatever the size of the polygon, and a polygon of
+    few vertices does not meet every centroid far around it.
     """
     lngs, lats = F.transform("ring", lambda p: p["lng"]), F.transform("ring", lambda p: p["lat"])
     spans = polygons.groupBy("poly_id").agg(
         F.sum(F.size("ring")).alias("_k"), (F.max(F.array_max(lngs)) - F.min(F.array_min(lngs))).alias("_w"),
         (F.max(F.array_max(lats)) - F.min(F.array_min(lats))).alias("_h"))
     sides = ", ".join(f"{b!r}D" for b in BIN_SIDES)
-    fit = f"filter(array({sides}), b -> (_w / b + 2) * (_h / b + 2) <= greatest(16, 2 * _k))"
+    fit = f"filter(array({sides}), b -> (_w / b + 2) * (_h / b + 2) <= greatest({LEAST_BINS}, 2 * _k))"
     sided = spans.selectExpr("poly_id", f"coalesce(try_element_at({fit}, -1), {BIN_SIDES[0]!r}D) as _s")
     following = F.concat(F.slice("ring", F.lit(2), F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1))
     edges = polygons.where(F.size("ring") > 0).select("poly_id", F.explode(F.arrays_zip(
@@ -119,15 +123,21 @@ def cells_in_polygons(located: DataFrame, polygons: DataFrame) -> DataFrame:
     hole. Bins carry single edges, never a ring: a polygon of any number of vertices is spread
     over as many bins. From a centroid go north along its meridian's bin side to the bin's
     corner: only edges in the bin can be passed, and whether the corner is inside is known, so
-    the parity at the centroid follows. A bin without edges is inside as a whole or not at all.
+    the parity at the centroid follows. A bin without edges is inside as a whole or not at all:
+    its centroids are pairs as they are met, without an aggregation.
     """
-    edges = _sided_edges(polygons)
+    edges = written(_sided_edges(polygons), "polygon-edges")
     sides = [r["_s"] for r in edges.select("_s").distinct().collect()]
     if not sides:
         return polygons.select("poly_id").limit(0).crossJoin(located.select("cell_id").limit(0))
-    inside = _odd_corners(edges).selectExpr(
-        "poly_id", "_s", "_r", "_c", *[f"cast(null as double) as {c}" for c in ("ax", "ay", "bx", "by")])
-    bins = _edge_bins(edges).select("poly_id", "_s", "_r", "_c", "ax", "ay", "bx", "by").unionByName(inside)
+    place = ["poly_id", "_s", "_r", "_c"]
+    # written, as both are read twice; merged, as a table of few polygons looks small enough to be sent whole
+    crossed = written(_edge_bins(edges).select(*place, "ax", "ay", "bx", "by"), "polygon-bins")
+    inside = written(_odd_corners(edges).select(*place), "polygon-corners")
+    occupied = crossed.select(*place).distinct()
+    corners = inside.join(occupied, place, "left_semi").selectExpr(
+        *place, *[f"cast(null as double) as {c}" for c in ("ax", "ay", "bx", "by")])
+    bins = crossed.unionByName(corners)
     listed = ", ".join(f"{b!r}D" for b in sides)
     points = located.select("cell_id", "lng", "lat").distinct().withColumn("_s", F.expr(f"explode(array({listed}))")).selectExpr(
         "*", f"{_bin_no('lat')} as _r", f"{_bin_no('lng')} as _c")
@@ -138,8 +148,10 @@ def cells_in_polygons(located: DataFrame, polygons: DataFrame) -> DataFrame:
     # the edge is passed on the way to the corner, whose own parity is the row without an edge
     passed = (f"({_CROSSES.format(lat='lat', lng='lng')} != {_CROSSES.format(lat=_NORTH, lng=_EAST)}) "
               f"!= ({strip('ax', 'ay')} != {strip('bx', 'by')})")
-    met = points.join(bins, ["_s", "_r", "_c"]).selectExpr("poly_id", "cell_id", "lng", "lat", f"if(ax is null or {passed}, 1, 0) as _p")
-    return met.groupBy("poly_id", "cell_id", "lng", "lat").agg(F.sum("_p").alias("_p")).where("_p % 2 = 1").select("poly_id", "cell_id")
+    met = points.join(bins.hint("merge"), ["_s", "_r", "_c"]).selectExpr("poly_id", "cell_id", "lng", "lat", f"if(ax is null or {passed}, 1, 0) as _p")
+    parted = met.groupBy("poly_id", "cell_id", "lng", "lat").agg(F.sum("_p").alias("_p")).where("_p % 2 = 1").select("poly_id", "cell_id")
+    whole = points.join(inside.join(occupied, place, "left_anti").hint("merge"), ["_s", "_r", "_c"]).select("poly_id", "cell_id")
+    return whole.unionByName(parted)
 
 
 def ring_meets_box(ring: Ring, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hexatlas.operators import models as M
+from hexatlas.operators import space
 from hexatlas.operators.space import cells_in_polygon, cells_in_polygons
 
 STAR = [(0.0, 10.0), (3.0, 3.0), (10.0, 3.0), (4.0, -2.0), (7.0, -9.0), (0.0, -5.0), (-7.0, -9.0), (-4.0, -2.0), (-10.0, 3.0), (-3.0, 3.0)]
@@ -169,3 +170,16 @@ def test_footprints_and_area_reports(spark):
     assert {tuple(r) for r in M.scores_for_cells(scores, area).collect()} == {("bird", 3.0, 2), ("fish", None, 0)}
     cm = spark.createDataFrame([(1, "m", 1.0), (2, "m", 2.0), (3, "k", 5.0)], "cell_id int, mdl_key string, val double")
     assert [tuple(r) for r in M.species_for_cells(cm, area).collect()] == [("m", 2, 1.5)]
+
+
+def test_a_polygon_of_few_vertices_meets_few_centroids_outside(spark):
+    """Bins of a diamond hold a few times the centroids that are inside, not all of a third of the map."""
+    polys = spark.createDataFrame([(1, [(12.0, 0.0), (0.0, 8.0), (-12.0, 0.0), (0.0, -8.0)])], "poly_id int, ring array<struct<lng: double, lat: double>>")
+    edges = space._sided_edges(polys)
+    side = edges.select("_s").distinct().head()[0]
+    bins = space._edge_bins(edges).select("_r", "_c").union(space._odd_corners(edges).select("_r", "_c")).distinct().count()
+    assert bins <= space.LEAST_BINS and bins * side * side < 3 * 2 * 12 * 8
+    points = spark.range(120 * 80).selectExpr("id as cell_id", "(id % 120) * 0.25 - 14.913 as lng", "floor(id / 120) * 0.25 - 9.887 as lat")
+    want = {r["cell_id"] for r in points.where("abs(lng) / 12 + abs(lat) / 8 < 1").collect()}
+    got = [r["cell_id"] for r in cells_in_polygons(points, polys).collect()]
+    assert set(got) == want and len(got) == len(want) > 2000
