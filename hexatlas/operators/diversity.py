@@ -23,16 +23,18 @@ def roll_up(counts: DataFrame, system: CellSystem, finest: int, tiers: list[int]
             keys: list[str], measure: str) -> DataFrame:
     """A measure counted per finest cell and key, summed at each coarser resolution.
 
-    A cascade: every tier comes from the next finer one, which has far fewer rows than the
-    records, and the finest is passed through as it is. The tiers of one plan share their
-    exchanges, so none is worked out twice.
+    Rows are dealt once, by key and coarsest ancestor: a key's cells of any resolution below one
+    ancestor are then in one task, so no resolution is shuffled, and a key with a third of all
+    rows is spread over the ancestors. The finest is passed through as it is.
     """
-    parts, rows, at = [], counts.select("cell_id", *keys, measure), finest
+    def at(res: int) -> Column:
+        return F.col("cell_id") if res == finest else system.parent(F.col("cell_id"), finest, res)
+
+    dealt = counts.select(at(min(tiers)).alias("_top"), "cell_id", *keys, measure).repartition("_top", *keys)
+    parts = []
     for res in sorted(tiers, reverse=True):
-        if res != at:
-            up = system.parent(F.col("cell_id"), at, res).alias("cell_id")
-            rows = rows.select(up, *keys, measure).groupBy("cell_id", *keys).agg(F.sum(measure).alias(measure))
-            at = res
+        rows = dealt if res == finest else dealt.select("_top", at(res).alias("cell_id"), *keys, measure).groupBy(
+            "_top", "cell_id", *keys).agg(F.sum(measure).alias(measure))
         parts.append(rows.select(F.lit(res).alias("res"), "cell_id", *keys, measure))
     return reduce(DataFrame.unionByName, parts)
 

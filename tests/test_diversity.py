@@ -117,3 +117,17 @@ def test_descendants(spark):
     assert sorted(r["taxonID"] for r in D.descendants(taxon, roots).collect()) == [2, 4, 5, 9, 10]
     deep = spark.range(1, 61).selectExpr("id taxonID", "nullif(id - 1, 0) parentNameUsageID")
     assert D.descendants(deep, spark.range(1, 2).selectExpr("id taxonID")).count() == 60
+
+
+def test_a_roll_up_shuffles_once_for_all_resolutions(spark):
+    system = Lattice()
+    rows = spark.range(400).selectExpr("id % 90 as k", "id % 3 as aphiaid", "1L as records").select(
+        system.cell_at(F.col("k") * 3700 - 170000, F.col("k") * 1700 - 80000, 7).alias("cell_id"), "aphiaid", "records")
+    counts = rows.groupBy("cell_id", "aphiaid").agg(F.sum("records").alias("records"))
+    found = D.roll_up(counts, system, 7, [1, 4, 7], ["aphiaid"], "records")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # by cell only where the rows are first counted, once in each of the three resolutions' plans
+    assert plan.count("hashpartitioning(cell_id") == 3 and plan.count("hashpartitioning(_top") == 3
+    want = rows.groupBy(system.parent(F.col("cell_id"), 7, 4).alias("cell_id"), "aphiaid").agg(F.sum("records").alias("records"))
+    got = found.where("res = 4").select("cell_id", "aphiaid", "records")
+    assert sorted(got.collect()) == sorted(want.collect())
