@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hexatlas.operators.ranking import BUCKET_ROWS, ranged
+from hexatlas.session import written
 
 TOLERANCE = 1e-9
+# a key of more copies on a side is spread over tasks; all others are paired, about TASK_ROWS in a task
+HOT_COPIES = 100_000
+TASK_ROWS = 500_000
 # copies of one record are written out this many at a time
 CHUNK = 1_000_000
 _NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
@@ -42,6 +46,18 @@ def _positions(records: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = (bucketed.join(offsets, within)
               .withColumn("_first", F.col("_before") + upto - F.col("_c")))
+    return _copied(placed)
+
+
+def _positions_by_key(records: DataFrame) -> DataFrame:
+    """The same for keys of few copies, each ranked in the one task that has the key."""
+    upto = F.sum("_c").over(Window.partitionBy("_k", "_is_left").orderBy("_rec")
+                            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return _copied(records.withColumn("_first", upto - F.col("_c")))
+
+
+def _copied(placed: DataFrame) -> DataFrame:
+    """One row per copy, from the place ``_first`` of each record's first one."""
     return (placed
             .withColumn("_start", F.expr(f"explode(sequence(0L, _c - 1L, {CHUNK}L))"))
             .withColumn("_j", F.expr(f"explode(sequence(_start, least(_start + {CHUNK}L, _c) - 1L))"))
@@ -55,7 +71,8 @@ def result_diff(left: DataFrame, right: DataFrame, keys: list[str],
     ``kind`` is ``missing_left``, ``missing_right`` (a record or a whole column on one side
     only), ``count`` (a key repeated unequally often), ``type`` or ``value``. Rows equal on
     both sides cancel in one aggregation that combines before its shuffle, however often
-    they repeat. What is left is compared by key, and repeats of a key by position; say
+    they repeat. What is left is written once and compared by key, and repeats of a key by
+    position, in as many tasks as its copies ask for; a hot key is many tasks. Say
     ``unique_keys`` when no side repeats a key, and nothing needs a position.
     """
     a_types, b_types = dict(left.dtypes), dict(right.dtypes)
@@ -73,13 +90,13 @@ def result_diff(left: DataFrame, right: DataFrame, keys: list[str],
     def side(df: DataFrame, sign: int) -> DataFrame:
         return df.select(F.struct(*keys).alias("_k"), record.alias("_rec"), F.lit(sign).alias("_sign"))
 
-    excess = (side(left, 1).unionByName(side(right, -1))
+    excess = written((side(left, 1).unionByName(side(right, -1))
               .groupBy("_k", "_rec").agg(F.sum("_sign").alias("_net"))
               .where(F.col("_net") != 0)
-              .select("_k", "_rec", (F.col("_net") > 0).alias("_is_left"), F.abs("_net").alias("_c")))
-    sizes = excess.groupBy("_k").agg(
+              .select("_k", "_rec", (F.col("_net") > 0).alias("_is_left"), F.abs("_net").alias("_c"))), "excess")
+    sizes = written(excess.groupBy("_k").agg(
         F.sum(F.when(F.col("_is_left"), F.col("_c")).otherwise(0)).alias("_na"),
-        F.sum(F.when(F.col("_is_left"), 0).otherwise(F.col("_c"))).alias("_nb"))
+        F.sum(F.when(F.col("_is_left"), 0).otherwise(F.col("_c"))).alias("_nb")), "excess-sizes")
 
     one_sided = F.when(F.col("_na") == 0, "missing_left").when(F.col("_nb") == 0, "missing_right") \
         .otherwise("count")
@@ -87,11 +104,21 @@ def result_diff(left: DataFrame, right: DataFrame, keys: list[str],
         "_k", F.lit("").alias("field"), one_sided.alias("kind"),
         F.col("_na").cast("string").alias("a"), F.col("_nb").cast("string").alias("b"))
 
-    even = excess.join(sizes.where("_na = _nb").select("_k"), "_k", "left_semi")
-    placed = even.withColumn("_i", F.lit(0)) if unique_keys else _positions(even)
-    paired = placed.groupBy("_k", "_i").agg(
-        F.max(F.when(F.col("_is_left"), F.col("_rec"))).alias("_a"),
-        F.max(F.when(~F.col("_is_left"), F.col("_rec"))).alias("_b"))
+    # written, as a small table is then known to be one and the rest stays where it is
+    apart = (F.col("_na") != F.col("_nb")) if unique_keys else (F.col("_na") != F.col("_nb")) | (F.col("_na") > HOT_COPIES)
+    aside = written(sizes.where(apart), "excess-aside")
+    copies = sizes.where(~apart).agg(F.sum(F.col("_na") + F.col("_nb"))).first()[0] or 0
+    few = excess.join(aside.select("_k"), "_k", "left_anti").repartition(-(-copies // TASK_ROWS) or 1, "_k")
+
+    def pairs(placed: DataFrame) -> DataFrame:
+        return placed.groupBy("_k", "_i").agg(
+            F.max(F.when(F.col("_is_left"), F.col("_rec"))).alias("_a"),
+            F.max(F.when(~F.col("_is_left"), F.col("_rec"))).alias("_b"))
+
+    paired = pairs(few.withColumn("_i", F.lit(0)) if unique_keys else _positions_by_key(few))
+    hot = aside.where("_na = _nb").select("_k")
+    if not unique_keys and not hot.isEmpty():
+        paired = paired.unionByName(pairs(_positions(excess.join(hot, "_k", "left_semi"))))
     found = []
     for c in compared:
         x, y = F.col(f"_a.{c}"), F.col(f"_b.{c}")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from hexatlas.operators import compare
 from hexatlas.operators.compare import list_diff, result_diff, type_mismatches
 
 SCHEMA = "k string, value double, n bigint"
@@ -73,3 +74,17 @@ def test_a_hot_key_that_differs_everywhere_is_paired_in_order(spark):
     gap = F.col("b").cast("double") - F.col("a").cast("double")
     assert found.where((gap < 0.24) | (gap > 0.26)).count() == 0
     assert result_diff(a, a.withColumn("value", F.col("value") + 1e-10), ["k"]).count() == 0
+
+
+def test_pairing_deals_its_rows_over_tasks_by_their_number(spark, monkeypatch):
+    # left to the size in bytes, all of these well compressed rows are one task
+    monkeypatch.setattr(compare, "TASK_ROWS", 5_000)
+    monkeypatch.setattr(compare, "HOT_COPIES", 50)
+    rows = spark.range(20_000).selectExpr("id k", "id * 1D value")
+    hot = spark.range(100).selectExpr("-1L k", "id * 1D value")
+    a = rows.unionByName(rows).unionByName(hot)
+    b = a.withColumn("value", F.col("value") + F.when(F.col("k") % 1_000 == -1, 0.5).when(F.col("k") == 7, 0.25).otherwise(1e-10))
+    found = result_diff(a, b, ["k"])
+    assert {(r["k"], r["n"]) for r in found.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()} == {(-1, 100), (7, 2)}
+    even = result_diff(rows.unionByName(rows), rows.unionByName(rows).withColumn("value", F.col("value") + 0.5), ["k"])
+    assert even.count() == 40_000 and even.rdd.getNumPartitions() >= 16
