@@ -184,16 +184,26 @@ def masked(valued: DataFrame, colour_text: str) -> DataFrame:
 def tile_profile(pixels: DataFrame, top: int = 10) -> DataFrame:
     """Per tile: pixel counts, id range, and the most frequent ids as ``id:count,...``.
 
+    All counts are of pixels. Without ``px, py`` each row is one; with them rows that share a place
+    are one pixel, counted once in the total and once under each id and kind that it has.
     Pixels are first counted per tile and id, so both parts work on the counted rows.
     """
     ident = F.col("cell_id")
+    place = [c for c in ("px", "py") if c in pixels.columns]
+    if place:
+        pixels = pixels.groupBy(*TILE, *place, "cell_id").agg(F.max("mask").alias("mask"))
     counted = pixels.groupBy(*TILE, "cell_id").agg(
         F.count(F.lit(1)).alias("c"), F.sum((F.col("mask") > 0).cast("long")).alias("v"))
-    summed = counted.groupBy(*TILE).agg(
-        F.sum("v").alias("valid_px"), F.sum("c").alias("total_px"),
-        F.sum(F.when(ident == 0, F.col("c")).otherwise(0)).alias("zero_px"),
-        F.sum(F.when(ident < 0, F.col("c")).otherwise(0)).alias("negative_px"),
-        F.min(ident).alias("id_min"), F.max(ident).alias("id_max"))
+    parts = [F.sum("v").alias("valid_px"), F.sum("c").alias("total_px"),
+             F.sum(F.when(ident == 0, F.col("c")).otherwise(0)).alias("zero_px"),
+             F.sum(F.when(ident < 0, F.col("c")).otherwise(0)).alias("negative_px")]
+    names = ["valid_px", "total_px", "zero_px", "negative_px"]
+    summed = counted.groupBy(*TILE).agg(*parts, F.min(ident).alias("id_min"), F.max(ident).alias("id_max"))
+    if place:
+        one = pixels.groupBy(*TILE, *place).agg(
+            F.max((F.col("mask") > 0).cast("long")).alias("valid_px"), F.lit(1).cast("long").alias("total_px"),
+            F.max(F.when(ident == 0, 1).otherwise(0)).alias("zero_px"), F.max(F.when(ident < 0, 1).otherwise(0)).alias("negative_px"))
+        summed = one.groupBy(*TILE).agg(*[F.sum(c).alias(c) for c in names]).join(summed.drop(*names), TILE)
     rank = F.row_number().over(
         Window.partitionBy(*TILE).orderBy(F.desc("c"), F.asc("cell_id")))
     best = (counted.withColumn("_r", rank).where(F.col("_r") <= top)

@@ -175,6 +175,14 @@ def test_parity(spark):
     assert tile_parity(nulls, nulls, ["v"]).head()["differing"] == 0
 
 
+def test_a_pixel_of_two_rows_is_one_pixel_of_the_profile(spark):
+    px = spark.createDataFrame([(1, 0, 0, 3, 7, 5, 255), (1, 0, 0, 3, 7, 0, 0), (1, 0, 0, 4, 7, 5, 255), (1, 0, 0, 4, 7, 5, 255), (1, 0, 0, 5, 7, -2, 255)],
+                               "z int, x int, y int, px int, py int, cell_id bigint, mask int")
+    r = R.tile_profile(R.whole_tiles(px)).head()
+    assert (r["valid_px"], r["total_px"], r["zero_px"], r["negative_px"]) == (3, 65_536, 65_534, 1)
+    assert r["top_ids"] == "0:65534,5:2,-2:1"
+
+
 def test_whole_tiles_have_every_pixel(spark):
     px = spark.createDataFrame([(1, 0, 0, 3, 7, 5, 255), (1, 0, 0, 255, 7, 6, 255), (1, 0, 0, 0, 255, 0, 0), (1, 1, 0, 9, 9, -4, 255)],
                                "z int, x int, y int, px int, py int, cell_id bigint, mask int")
