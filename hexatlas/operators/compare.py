@@ -164,25 +164,15 @@ def tile_parity(left: DataFrame, right: DataFrame, bands: list[str],
                 pixel: tuple[str, ...] = ("px", "py")) -> DataFrame:
     """Per tile: pixels compared and pixels that differ in any band or are on one side only.
 
-    Both sides go through one aggregation by pixel; no pixel is paired with another.
+    A pixel is the same where both sides have the same rows for it, however many these are.
+    Equal rows cancel in one aggregation; no pixel is paired with another.
     """
     on = [*tile, *pixel]
-    # one plain column per band and side keeps the aggregation on its hash path
-    def side(df: DataFrame, mine: str, other: str) -> DataFrame:
-        return df.select(
-            *on, F.lit(mine == "a").alias("_left"), F.lit(mine == "b").alias("_right"),
-            *[F.col(c).alias(f"{mine}_{c}") for c in bands],
-            *[F.lit(None).cast(df.schema[c].dataType).alias(f"{other}_{c}") for c in bands])
-
-    both = side(left, "a", "b").unionByName(side(right, "b", "a"))
-    per_pixel = both.groupBy(*on).agg(
-        F.max("_left").alias("_left"), F.max("_right").alias("_right"),
-        *[F.max(f"{s}_{c}").alias(f"{s}_{c}") for s in "ab" for c in bands])
-    same = F.col("_left") & F.col("_right")
-    for c in bands:
-        same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    both = left.select(*on, *bands, F.lit(1).alias("_s")).unionByName(right.select(*on, *bands, F.lit(-1).alias("_s")))
+    net = both.groupBy(*on, *bands).agg(F.sum("_s").alias("_net"))
+    per_pixel = net.groupBy(*on).agg(F.max((F.col("_net") != 0).cast("long")).alias("_differs"))
     return per_pixel.groupBy(*tile).agg(
-        F.count(F.lit(1)).alias("pixels"), F.sum((~same).cast("long")).alias("differing"))
+        F.count(F.lit(1)).alias("pixels"), F.sum("_differs").alias("differing"))
 
 
 def parity_totals(per_tile: DataFrame) -> DataFrame:

@@ -175,6 +175,14 @@ def test_parity(spark):
     assert tile_parity(nulls, nulls, ["v"]).head()["differing"] == 0
 
 
+def test_parity_sees_every_row_of_a_pixel(spark):
+    schema = "z int, x int, y int, px int, py int, v int"
+    a = spark.createDataFrame([(0, 0, 0, 0, 0, 9), (0, 0, 0, 0, 0, 3), (0, 0, 0, 0, 1, 9), (0, 0, 0, 0, 1, None)], schema)
+    b = spark.createDataFrame([(0, 0, 0, 0, 0, 9), (0, 0, 0, 0, 0, 4), (0, 0, 0, 0, 1, None), (0, 0, 0, 0, 1, 9)], schema)
+    assert tuple(tile_parity(a, b, ["v"]).select("pixels", "differing").head()) == (2, 1)
+    assert tuple(tile_parity(a, a, ["v"]).select("pixels", "differing").head()) == (2, 0)
+
+
 def test_a_pixel_of_two_rows_is_one_pixel_of_the_profile(spark):
     px = spark.createDataFrame([(1, 0, 0, 3, 7, 5, 255), (1, 0, 0, 3, 7, 0, 0), (1, 0, 0, 4, 7, 5, 255), (1, 0, 0, 4, 7, 5, 255), (1, 0, 0, 5, 7, -2, 255)],
                                "z int, x int, y int, px int, py int, cell_id bigint, mask int")
