@@ -137,8 +137,8 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(kept.index("text")).to_pylist()
-            tails = [model.tails(features(t)[None, :])[0] for t in texts]
+            # one text at a time is decoded beside the batch
+            tails = [model.tails(features(t.as_py())[None, :])[0] for t in b.column(kept.index("text"))]
             grades = pa.array([float(t.sum()) for t in tails], pa.float64())
             lists = pa.array([t.tolist() for t in tails], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns, grades, lists], [*kept, "expected_grade", "tails"])
