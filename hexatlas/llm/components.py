@@ -7,20 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from hexatlas.session import written
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+#: Links that make a task of a round worth while: fewer are not spread over more tasks.
+ROWS = 20_000
 
 
-def _to_least(neighbours: DataFrame, keep) -> DataFrame:
-    """Link what ``keep`` leaves of each node's neighbours to the least node around it.
-
-    The least neighbour is a partial aggregate and joined back, so a node with a third of all
-    edges is never one group in memory.
-    """
-    least = neighbours.groupBy("a").agg(F.min("b").alias("_m")).select(
-        F.col("a").alias("_n"), F.least("_n", "_m").alias("_m"))
-    joined = neighbours.join(least, F.col("a") == F.col("_n"))
-    return joined.where(keep(F.col("a"), F.col("b"))).select(F.col("b").alias("a"), F.col("_m").alias("b"))
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -29,24 +21,36 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Alternating large-star and small-star rounds: each links the larger (smaller) neighbours of
     every node to its least one, until every edge points at a root. The number of rounds grows
     with the logarithm of the longest path. Every round is written to the shared folder, so
-    lost executors cost one round at most. Loops and repeated edges change nothing; no edges
-    give no rows.
+    lost executors cost one round at most. The least neighbour is a partial aggregate and joined
+    back, so a node with a third of all edges is never one group in memory. Rounds over few links
+    are done in few tasks. Loops and repeated edges change nothing; no edges give no rows.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     now = written(edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     while True:
-        large = _to_least(_both_ways(now), lambda a, b: b > a).where(F.col("a") != F.col("b")).distinct()
+        tasks = 1 + now.count() // ROWS
+
+        def few(df: DataFrame) -> DataFrame:
+            return df.coalesce(tasks) if tasks < parts else df
+
+        now = few(now)
+        # an edge's larger node goes to the least node around its smaller one
+        around = _both_ways(now).groupBy("a").agg(F.min("b").alias("_m")).select(
+            F.col("a").alias("_n"), F.least("_n", "_m").alias("_m"))
+        large = few(few(now.join(around, F.col("b") == F.col("_n")).select("a", F.col("_m").alias("b"))).distinct())
         # small star: a node's smaller neighbours and itself go to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("_m")).withColumnRenamed("a", "_n")
-        joined = large.join(least, F.col("a") == F.col("_n"))
+        joined = few(large.join(least, F.col("a") == F.col("_n")))
         small = joined.select(F.col("b").alias("a"), F.col("_m").alias("b")).union(
-            least.select(F.col("_n").alias("a"), F.col("_m").alias("b")))
-        after = written(small.where(F.col("a") != F.col("b")).distinct(), label)
+            few(least).select(F.col("_n").alias("a"), F.col("_m").alias("b")))
+        now = few(written(few(small.where(F.col("a") != F.col("b")).distinct()), label))
         # done when no node is both below a root and a root, and none has two roots
-        inner = after.select("a").intersect(after.select("b")).limit(1)
-        several = after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("a").limit(1)
-        now = after
-        if not inner.union(several).take(1):
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+            now.select("b", F.lit(0), F.lit(1)))
+        open_ = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where(
+            F.col("below") + F.col("above") > 1)
+        if open_.isEmpty():
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -124,7 +124,8 @@ def links(fps: DataFrame, few: int = FEW) -> DataFrame:
     """``a, b``: links that connect just the fingerprints within two bits of each other.
 
     ``fps`` has one distinct non-null ``fp`` a row. Groups of up to ``few`` give every pair
-    within two bits; larger ones give stars of such pairs with the same components.
+    within two bits; larger ones give stars of such pairs with the same components. A link may be
+    given more than once.
     """
     # variants are 64 times as many: dealt out first, so that a task counts a small part of them
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -138,7 +139,7 @@ def links(fps: DataFrame, few: int = FEW) -> DataFrame:
     right = left.withColumnRenamed("a", "b")
     several = left.join(right, ["slot", "key"]).where(F.col("a") > F.col("b")).where(near).select("a", "b")
     large = members.where(F.col("n") > few).select("slot", "fp")
-    return two.union(several).union(_two_wildcards(large)).distinct()
+    return two.union(several).union(_two_wildcards(large))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", few: int = FEW) -> DataFrame:

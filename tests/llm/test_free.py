@@ -196,6 +196,21 @@ def test_components_of_a_long_path(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_rounds_over_few_links_are_few_tasks(spark):
+    """On a session that deals every shuffle over many partitions, a round of few links is written by one task."""
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        found = components(spark.range(300).selectExpr("id a", "id + 1 b"))
+        assert len(found.inputFiles()) == 1
+        assert {(r["node"], r["root"]) for r in found.collect()} == {(i, 0) for i in range(301)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # --- exact substrings -----------------------------------------------------------------
 
 def brute_removed(texts, length=400):
