@@ -287,6 +287,14 @@ def test_repeated_rows_and_cut_texts(spark, documents):
     assert B.without_repeats(docs).columns == docs.columns and B.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_scratch_of_substrings_is_dropped(spark, documents, monkeypatch):
+    left, text = [], "".join(random.Random(9).choices("klmnopqr", k=600))
+    monkeypatch.setattr(B.Scratch, "__init__", lambda self, s: (setattr(self, "spark", s), setattr(self, "paths", {}), left.append(self))[0])
+    got = B.deduplicated(documents([(1, text), (2, text[:500] + "x"), (3, "short")]))
+    assert sorted(r["n_removed"] for r in got.collect()) == [0, 500, 500]
+    assert [list(s.paths) for s in left] == [["removed"]]
+
+
 # --- toxicity and quality ---------------------------------------------------------------
 
 def invented(rng, n, extra=()):
