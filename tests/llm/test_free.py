@@ -275,6 +275,20 @@ def test_substrings_across_chunks(spark, documents, monkeypatch):
     assert got == {1: (4000, 3), 2: (1000, 1)}
 
 
+def test_periods_of_a_document_are_one_row(spark, documents):
+    """A repeated word files a suffix in each of its periods: they are one row of the document, also where it has gaps."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = [noise(150) + "and " * 400 + noise(k) + "and " * 300 + noise(90) for k in range(0, 300, 60)]
+    texts += ["the " * 500, "thé " * 90 + noise(5) + "thé " * 90, noise(700)]
+    docs = documents(list(enumerate(texts)))
+    filed = B._filed(docs.select(F.col("doc_id").alias("key"), "text"))
+    assert filed.groupBy("g", "u", "key").count().where("count > 1").isEmpty()
+    assert filed.where("key < 5").groupBy("key").count().agg(F.max("count")).first()[0] < 60
+    got = {r["doc_id"]: tuple(r)[2:] for r in B.deduplicated(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removed([t.encode() for t in texts])
+
+
 def test_repeated_rows_and_cut_texts(spark, documents):
     text = "".join(random.Random(9).choice("klmnopqr") for _ in range(600))
     docs = documents([(1, text), (1, text), (2, "short"), (3, None), (None, "ü" + text[:450] + "end")])
