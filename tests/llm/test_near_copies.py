@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hexatlas.llm import near_copies as N
+from hexatlas.llm import simhash
 
 
 def shingle_set(text):
@@ -71,6 +72,46 @@ def test_stage_leaves_one_of_each_group(spark, sf, documents, planted):
     assert corpus_pipeline.distinct(spark, docs.limit(0), sf).count() == 0
 
 
+def within_two_bits(rng, size, edits, alike):
+    """Two texts of ``size`` words whose fingerprints ``op6`` links, and whose shingle sets are alike or not."""
+    while True:
+        a = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        b = list(a)
+        for at in rng.sample(range(5, size - 5), edits):
+            b[at] = f"x{rng.randrange(5000)}"
+        a, b = " ".join(a), " ".join(b)
+        x, y = shingle_set(a), shingle_set(b)
+        if (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 2 and (5 * len(x & y) >= 4 * len(x | y)) == alike:
+            return a, b
+
+
+def test_stage_compares_what_fingerprints_link_first(spark, sf, documents, monkeypatch):
+    """Of pairs within two bits of each other the alike ones are linked, and not met by their shingles any more."""
+    rng, proposed, met = random.Random(5), [], []
+    by_fingerprint, met_by_shingles = N.by_fingerprint, N._met
+    rows = list(enumerate([*within_two_bits(rng, 200, 1, True), *within_two_bits(rng, 200, 1, True), *within_two_bits(rng, 60, 2, False),
+                           "one two three four five six", "one  TWO three four five six", "a text of its own"], 1))
+    monkeypatch.setattr(N, "by_fingerprint", lambda prints: (proposed.append(by_fingerprint(prints).collect()), by_fingerprint(prints))[1])
+    monkeypatch.setattr(N, "_met", lambda *of: (met.append(met_by_shingles(*of).count()), met_by_shingles(*of))[1])
+    got = {r["doc_id"] for r in corpus_pipeline.distinct(spark, documents(rows), sf).collect()}
+    assert got == {1, 3, 5, 6, 7, 9} == {c for _, c in brute(rows)}
+    assert [len(pairs) for pairs in proposed] == [3] and sum(met) == 0
+
+
+def test_stage_leaves_one_of_a_group_without_ids_or_with_repeated_ids(spark, sf, documents):
+    base = "one two three four five six seven eight nine ten"
+    rows = [(None, None), (None, ""), (None, " \n"),  # a group without words and ids
+            (None, "alpha beta gamma delta epsilon zeta"), (None, "alpha  beta gamma delta epsilon zeta"),
+            (3, base), (5, base.replace(" ", "  ")), (None, base.upper()),  # 5 is a copy of 3 and, in another row, a text of its own
+            (5, "a text that is like no other one here"), (5, "a text that is like  no other one here"),
+            (7, "twice the same row of one document"), (7, "twice the same row of one document")]
+    got = [(r["doc_id"], " ".join((r["text"] or "").lower().split()))
+           for r in corpus_pipeline.distinct(spark, documents(rows), sf).collect()]
+    assert sorted(got, key=repr) == sorted([
+        (None, ""), (None, "alpha beta gamma delta epsilon zeta"), (3, base), (5, "a text that is like no other one here"),
+        (7, "twice the same row of one document"), (7, "twice the same row of one document")], key=repr)
+
+
 CLASHING = ["_key", "key", "_keep", "_own", "_size", "_quality", "_text", "_0", "found", "n_hit", "_part", "last", "h", "a.b"]
 
 
